@@ -1,2 +1,2 @@
-from colonnade.catalog import profiling  # noqa: F401
+from colonnade.catalog import charting, cleaning, profiling, selection  # noqa: F401
 from colonnade.catalog.base import ORACLES, QUERIES  # noqa: F401
