@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 
@@ -149,17 +150,17 @@ def studentized_range_sf(q: float, groups: int, df: float) -> float:
     return max(0.0, 1 - float(np.trapezoid(density * values, s) / np.trapezoid(density, s)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _NORMAL.inv_cdf(v) if 0 < v < 1 else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(normal_cdf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df, strict=True)])
 
