@@ -1,2 +1,2 @@
-from colonnade.catalog import charting, cleaning, profiling, regression, selection, surviving, testing  # noqa: F401
+from colonnade.catalog import charting, cleaning, profiling, regression, selection, surviving, temporal, testing  # noqa: F401
 from colonnade.catalog.base import ORACLES, QUERIES  # noqa: F401
