@@ -104,8 +104,12 @@ class GlmFit:
         return GlmFit(**{**self.__dict__, "covariance": cov})
 
 
-def fit_design(design: Design, family: str, weight: Column | None = None, offset: bool = False) -> GlmFit:
-    """Newton (Fisher scoring) on a design whose frame has ``_y`` and, with ``offset``, ``_offset``."""
+def fit_design(
+    design: Design, family: str, weight: Column | None = None, offset: bool = False, ridge: float = 0.0
+) -> GlmFit:
+    """Newton (Fisher scoring) on a design whose frame has ``_y`` and, with ``offset``, ``_offset``.
+
+    ``ridge`` penalises half the squared standardised coefficients (the intercept is free)."""
     frame, y = design.frame, F.col("_y")
     w = weight if weight is not None else F.lit(1.0)
     off = F.col("_offset") if offset else F.lit(0.0)
@@ -126,7 +130,9 @@ def fit_design(design: Design, family: str, weight: Column | None = None, offset
         else:
             info, score = F.col("_pw") * _variance(family, m), F.col("_pw") * (y - m)
         gram, right, _ = weighted_sums(cols, design.columns, info, {"u": score}, {})
-        step, inverse = solve(gram, right["u"])
+        penalty = np.full(design.p, ridge)
+        penalty[0] = 0.0
+        step, inverse = solve(gram + np.diag(penalty), right["u"] - penalty * beta)
         # Long steps are cut back so that separated data do not overflow the exponential.
         size = float(np.max(np.abs(step)))
         beta = beta + step * min(1.0, 5.0 / size if size else 1.0)
@@ -175,6 +181,7 @@ def fit_glm(
     weight: Column | None = None,
     squares: Sequence[str] = (),
     classes: tuple | None = None,
+    ridge: float = 0.0,
 ) -> GlmFit:
     """Fit ``binomial``, ``poisson`` or ``negative_binomial`` (log link, dispersion 1); ``exposure`` enters as log offset."""
     df = normalise_missing(df)
@@ -189,7 +196,7 @@ def fit_glm(
     if weight is not None:
         extra["_pw"] = weight.cast("double")
     design = build_design(df, predictors, extra, squares)
-    fit = fit_design(design, family, F.col("_pw") if weight is not None else None, bool(exposure))
+    fit = fit_design(design, family, F.col("_pw") if weight is not None else None, bool(exposure), ridge)
     fit.classes = classes
     return fit
 

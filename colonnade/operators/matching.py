@@ -149,6 +149,7 @@ def match_without_replacement(
     treated = groups.where("nt > 0").select("stratum", "range", F.lit(1).alias("side"), "pos", "ps", F.col("nt").alias("amount"))
     usage_schema = "stratum string, range bigint, tpos bigint, cpos bigint, start bigint, amount bigint, distance double, narrow boolean"
     usage, mark = None, None
+    single = not limits.where("_top > 0").take(1)
     while True:
         views = reach.select(
             "stratum", F.col("range").alias("target"), "w", "_top",
@@ -184,7 +185,7 @@ def match_without_replacement(
             wider = usage.where("narrow").select("stratum", "range", F.lit(True).alias("_wide"))
             reach = materialise(reach.join(wider, ["stratum", "range"], "left").withColumn(
                 "w", F.when(F.col("_wide"), F.col("w") * 2).otherwise(F.col("w"))).drop("_wide"))
-        elif now == mark:
+        elif single or now == mark:
             break
         mark = now
     return _expand_pairs(units, groups, usage, k)
