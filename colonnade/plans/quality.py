@@ -13,10 +13,13 @@ from colonnade.operators.reshape import union_tables
 from colonnade.session import keep
 from colonnade.sources.writers import render_html
 
-RANK = F.when(F.col("priority") == "High", 1).when(F.col("priority") == "Medium", 2).otherwise(3)
 SMALL_TABLE = 100
 
 
+def _rank() -> Column:
+    return F.when(F.col("priority") == "High", 1).when(F.col("priority") == "Medium", 2).otherwise(3)
+
+
 def _advice(area: str, priority: Column, text: Column) -> list[Column]:
     return [F.lit(area).alias("area"), priority.alias("priority"), text.alias("recommendation")]
 
@@ -59,7 +62,7 @@ def recommendations(df: DataFrame, cardinality_threshold: int = 50) -> DataFrame
         parts.append(some.select(*_advice("outliers", F.lit("Medium"), F.concat_ws(" ", "column", F.bround("outlier_percent", 2).cast("string"), F.lit("% outside the fences: check them")))))
         none = out.agg(F.sum("outliers").alias("k")).where("k = 0")
         parts.append(none.select(*_advice("outliers", F.lit("Low"), F.lit("no outliers"))))
-    return union_tables(parts).orderBy(RANK, "area", "recommendation")
+    return union_tables(parts).orderBy(_rank(), "area", "recommendation")
 
 
 def recommendation_counts(advice: DataFrame) -> DataFrame:

@@ -67,9 +67,16 @@ def test_neighbour_join_is_exact(spark):
         (special.chi2_sf(18.30703805, 10), 0.05),
         (special.f_sf(3.885293835, 2, 12), 0.05),
         (special.t_ppf(0.975, 5), 2.570581836),
-        (special.studentized_range_sf(3.877676, 3, 10), 0.05),
+        # Two groups: the range over s is sqrt(2) times |t|.
+        (special.studentized_range_sf(3.151064, 2, 10), special.t_two_sided(3.151064 / 2**0.5, 10)),
         (special.studentized_range_sf(3.314493, 3, 1e9), 0.05),
     ],
 )
 def test_distribution_functions(value, expected):
     assert value == pytest.approx(expected, rel=2e-4)
+
+
+def test_studentized_range_against_the_printed_table():
+    # Upper 5 % points for three groups, printed with two decimals.
+    for df, q in ((5, 4.60), (10, 3.88), (20, 3.58), (60, 3.40)):
+        assert special.studentized_range_sf(q, 3, df) == pytest.approx(0.05, rel=0.01)
