@@ -46,7 +46,7 @@ TAILED_ORDERS = [
     ("o_orderkey", "o_orderkey"),
     ("CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice * 8 WHEN o_orderkey % 10 = 0 THEN NULL "
      "ELSE o_totalprice END", "total"),
-    ("CASE WHEN o_orderkey % 101 = 0 THEN -5000.0 ELSE (o_orderkey % 1000) * 1.0 END", "wave"),
+    ("CAST(CASE WHEN o_orderkey % 101 = 0 THEN -5000 ELSE o_orderkey % 1000 END AS DOUBLE)", "wave"),
     ("o_orderpriority", "priority"),
     ("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END", "status"),
 ]
@@ -65,8 +65,7 @@ def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tailed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exprs = [f"CAST({e} AS DOUBLE) AS {n}" if n in ("total", "wave") else f"{e} AS {n}" for e, n in TAILED_ORDERS]
-    return table(spark, sf_dir, "orders").selectExpr(*exprs)
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for e, n in TAILED_ORDERS])
 
 
 # Orders with every twentieth order repeated (duplicates for the distinct-row operators).

@@ -35,8 +35,9 @@ def _(spark, sf):
     return charts.histogram_2d(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("ecdf_quantiles", """WITH q AS (SELECT quantile_cont(o_totalprice, list_transform(range(2000), lambda i: i / 1999.0)) AS q FROM orders)
-    SELECT i AS point, round(i / 1999.0, 6) AS probability, round(q[i + 1], 3) AS value FROM q, range(2000) r(i)""")
+@query("ecdf_quantiles", """WITH o AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS k FROM orders), m AS (SELECT count(*) AS n, least(count(*), 2000) AS m FROM orders),
+    g AS (SELECT i, i * (n - 1) // (m - 1) AS k, (i * (n - 1) % (m - 1)) / CAST(m - 1 AS DOUBLE) AS f, m FROM m, range(2000) r(i) WHERE i < m)
+    SELECT i AS point, round(i / CAST(m - 1 AS DOUBLE), 6) AS probability, round(a.x + (coalesce(b.x, a.x) - a.x) * f, 3) AS value FROM g JOIN o a ON a.k = g.k LEFT JOIN o b ON b.k = g.k + 1""")
 def _(spark, sf):
     out = charts.ecdf_quantiles(table(spark, sf, "orders"), "o_totalprice")
     return out.select("point", F.round("probability", 6).alias("probability"), F.round("value", 3).alias("value"))

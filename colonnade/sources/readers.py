@@ -150,6 +150,18 @@ def extract_tables(pages: DataFrame, page_id: str, html: str, first_only: bool =
     return rows.mapInPandas(parse, f"page_id {kind}, table_no int, row_no int, cells array<string>")
 
 
+def load_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of the files in a folder, zero-byte files included.
+
+    Spark's file scan leaves empty files out, so their names are taken from the folder listing.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    empty = [(s.getPath().toString(), 0, bytearray()) for s in listing if s.isFile() and s.getLen() == 0]
+    return files.unionAll(spark.createDataFrame(empty, files.schema)) if empty else files
+
+
 def validate_files(files: DataFrame) -> DataFrame:
     """Verdict per file of a ``binaryFile`` frame (path, length, content): ``valid`` and the first ``reason`` against it."""
     name = F.element_at(F.split("path", "/"), -1)

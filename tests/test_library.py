@@ -85,7 +85,7 @@ def test_cleaning_plan_runs_every_step(tiny):
 def test_uploads_are_checked(spark, tmp_path):
     for name, content in [("empty.csv", b""), ("model.pkl", b"unsafe"), ("fake.parquet", b"not parquet"), ("good.csv", b"x,g\n1,a\n2,b\n"), ("odd.exe", b"1")]:
         (tmp_path / name).write_bytes(content)
-    files = spark.read.format("binaryFile").load(str(tmp_path))
+    files = readers.load_files(spark, str(tmp_path))
     got = {os.path.basename(r["path"]): r["reason"] for r in readers.validate_files(files).collect()}
     assert got == {"empty.csv": "empty file", "model.pkl": "refused extension", "fake.parquet": "content does not match extension", "good.csv": None, "odd.exe": "unknown extension"}
     assert readers.read_csv(spark, str(tmp_path / "good.csv")).count() == 2
