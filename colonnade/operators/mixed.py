@@ -191,7 +191,7 @@ def fit_random_slope(df: DataFrame, outcome: str, predictors: Sequence[str], gro
         move = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), 1e-2))
         move *= min(1.0, 2.0 / max(np.max(np.abs(move)), 1e-12))
         tried = max(evaluate([theta + s * move for s in (1.0, 0.5, 0.25, 0.1, 0.02)]), key=lambda t: t[1])
-        if tried[1] <= f0 + 1e-7:
+        if tried[1] <= f0 + 1e-5:
             break
         best = tried
         if best[0].min() < -12:
