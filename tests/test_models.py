@@ -149,16 +149,16 @@ def test_random_effects_match_dense_likelihood(spark, data):
     a, y = _x(pdf, ("x",)), pdf.y.to_numpy()
 
     def dense(tau, s2, reml, zcols):
-        v = np.eye(len(y)) * s2
-        z = np.column_stack(zcols)
-        same = pdf.g.to_numpy()[:, None] == pdf.g.to_numpy()[None, :]
-        v += (z @ tau @ z.T) * same
-        vi = np.linalg.inv(v)
-        xx = a.T @ vi @ a
-        b = np.linalg.solve(xx, a.T @ vi @ y)
-        r = y - a @ b
+        z, groups = np.column_stack(zcols), pdf.g.to_numpy()
+        blocks = []
+        for g in np.unique(groups):
+            m = groups == g
+            v = np.eye(m.sum()) * s2 + z[m] @ tau @ z[m].T
+            blocks.append((a[m], y[m], np.linalg.inv(v), np.linalg.slogdet(v)[1]))
+        xx = sum(p.T @ vi @ p for p, _, vi, _ in blocks)
+        b = np.linalg.solve(xx, sum(p.T @ vi @ q for p, q, vi, _ in blocks))
         m = len(y) - 2 if reml else len(y)
-        out = -m / 2 * math.log(2 * math.pi) - np.linalg.slogdet(v)[1] / 2 - r @ vi @ r / 2
+        out = -m / 2 * math.log(2 * math.pi) - sum(ld / 2 + (q - p @ b) @ vi @ (q - p @ b) / 2 for p, q, vi, ld in blocks)
         return out - (np.linalg.slogdet(xx)[1] / 2 if reml else 0.0)
 
     ri = mixed.fit_random_intercept(df, "y", ["x"], "g", reml=False)
