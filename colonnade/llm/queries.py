@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import langid, simhash
+from colonnade.llm import langid, secrets, simhash
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_spans")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_ownership")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"), owner_col="source", repo_col="doc_id")
