@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import langid, secrets, simhash
+from colonnade.llm import langid, secrets, simhash, toxicity
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_ownership")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"), owner_col="source", repo_col="doc_id")
+
+
+@query("op10_toxicity_lattice")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
