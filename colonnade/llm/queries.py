@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import langid, secrets, simhash, toxicity
+from colonnade.llm import decontaminate, langid, mixing, secrets, simhash, toxicity
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity_lattice")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_decontaminate_cgk")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_temperature_mix")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
