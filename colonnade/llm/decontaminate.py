@@ -32,8 +32,8 @@ from colonnade.context import ref
 from colonnade.llm.common import text_blocks
 from colonnade.llm.langid import Letters, code_points
 
-ROUNDS = 12
-SAMPLED = 3
+ROUNDS = 16
+SAMPLED = 5
 PAIR_SHARE = 0.45
 MIN_WORDS = 5
 MIN_SIMILARITY = 0.8
