@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontaminate, langid, mixing, secrets, simhash, toxicity
+from colonnade.llm import decontaminate, langid, linededup, mixing, secrets, simhash, toxicity
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_temperature_mix")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+
+
+@query("op4_line_runs")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"), min_words=50)
