@@ -27,21 +27,26 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder:
-    on a cluster a machine-local folder would lose the data with its executor.
+    Only a local master may fall back to a temporary folder: on a cluster a machine-local folder would lose the data
+    with its executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="colonnade-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
