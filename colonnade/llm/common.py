@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.context import ref
-from colonnade.session import materialise
+from colonnade.session import materialise, shared_folder
 
 # Texts are handed to numpy in blocks of about this many characters, so that a task's memory does not follow its rows.
 BLOCK_CHARS = 2_000_000
@@ -31,6 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     return materialise(df.repartition(shuffle_width(df.sparkSession)))
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to a folder of its own beside the checkpoints and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` or the first variant of it that ``df`` does not have as a column (case does not matter)."""
     taken = {c.lower() for c in df.columns}
