@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontaminate, langid, linededup, mixing, secrets, simhash, toxicity
+from colonnade.llm import decontaminate, hnsw, langid, linededup, mixing, secrets, simhash, toxicity
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_runs")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"), min_words=50)
+
+
+@query("op7_embedding_hnsw")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
