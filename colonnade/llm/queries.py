@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontaminate, hnsw, langid, linededup, mixing, secrets, simhash, toxicity
+from colonnade.llm import decontaminate, hnsw, langid, linededup, mixing, secrets, simhash, toxicity, warc
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_hnsw")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query(
+    "op1_warc_merge",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_report(table(spark, sf_dir, "pages"), min_dedup=100)
