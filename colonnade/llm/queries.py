@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontaminate, hnsw, langid, linededup, mixing, secrets, simhash, toxicity, warc
+from colonnade.llm import decontaminate, hnsw, langid, linededup, mixing, pii, secrets, simhash, toxicity, warc
 from colonnade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_report(table(spark, sf_dir, "pages"), min_dedup=100)
+
+
+@query("op2_pii_skip_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
