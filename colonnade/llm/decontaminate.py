@@ -247,17 +247,23 @@ def decontaminate(
     """Rows of ``docs`` that hold no copy of a benchmark item. Each block of items is one more condition on the row."""
     for _, ids, texts in item_blocks(benchmark, item_col, item_text, min_words):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        ready: list[Items] = []
-
-        def clean(column: pd.Series, shared=shared, ready=ready) -> pd.Series:
-            if not ready:
-                ready.append(Items(*shared.value))
-            texts = [t if isinstance(t, str) else "" for t in column]
-            keep = np.ones(len(texts), dtype=bool)
-            for lo, hi in text_blocks(texts):
-                for t, *_ in leaks_of(texts[lo:hi], ready[0], min_similarity, first_only=True):
-                    keep[lo + t] = False
-            return pd.Series(keep)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")(ref(text_col)))
+        docs = docs.where(_clean(shared, min_similarity)(ref(text_col)))
     return docs
+
+
+def _clean(shared, min_similarity: float):
+    """Condition on a text: it holds none of the shared block of items."""
+    ready: list[Items] = []  # built once per task
+
+    @F.pandas_udf("boolean")
+    def clean(column: pd.Series) -> pd.Series:
+        if not ready:
+            ready.append(Items(*shared.value))
+        texts = [t if isinstance(t, str) else "" for t in column]
+        keep = np.ones(len(texts), dtype=bool)
+        for lo, hi in text_blocks(texts):
+            for t, *_ in leaks_of(texts[lo:hi], ready[0], min_similarity, first_only=True):
+                keep[lo + t] = False
+        return pd.Series(keep)
+
+    return clean

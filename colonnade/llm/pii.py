@@ -30,7 +30,7 @@ from colonnade.context import ref
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: no data
-SHAPES = 4096
+SHAPES = 65_536
 SKIP_AGREE, SKIP_DIFFER = 2.5, -1.0
 ROUNDS = 10
 DAMPING = 0.5
