@@ -12,7 +12,7 @@ common prefix reaches the block. In each interval the first copy (by doc_id, the
 deleted. Every maximal repeated run is the union of its blocks, so cutting the array at this depth deletes the same lines
 as the whole array would: a block lies in an earlier copy exactly if each longer run around it does or it does by itself.
 
-Defined cases: null and empty texts have no lines and stay as they are; ties in doc_id go by row key; rows equal in id
+Defined cases: blank lines go only inside a deleted block; null and empty texts have no lines and stay as they are; ties in doc_id go by row key; rows equal in id
 and text are one document and share its result; rows without an id come last; documents of which nothing but blank lines
 would be left are removed by ``deduplicate`` (kept, with an empty text, by ``line_report``); a very long document is one
 group of its own lines only.
