@@ -1,6 +1,6 @@
 """Imputation, cleaning plans, quality bundles, sources and sinks."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,15 +9,13 @@ from colonnade.catalog.profiling import rounded
 from colonnade.operators import impute, linear, reshape
 from colonnade.plans.cleaning import CleaningPlan
 from colonnade.plans.quality import quality_overview, quality_reports, recommendation_counts, recommendations
+from colonnade.session import shared_folder
 from colonnade.sources import readers, writers
 
 
 def folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint area; a temporary one when none is set (local tests)."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/colonnade-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint area; on a cluster without one this raises."""
+    return f"{shared_folder(spark)}/colonnade-{name}-{uuid.uuid4().hex}"
 
 
 KNN_ROWS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal / 1000 END AS a, CAST(c_nationkey AS DOUBLE) AS b, sqrt(c_custkey) AS c FROM customer"

@@ -47,9 +47,12 @@ def running_totals(
     whole = W.partitionBy(*groups)
     extra = [F.sum(f"_tot_{n}").over(whole).alias(f"{n}_all") for n in sums.values()] if grand else []
     offsets = totals.select(
-        "_range", *by, *[F.sum(f"_tot_{n}").over(before).alias(f"_off_{n}") for n in sums.values()], *extra
+        F.col("_range").alias("_at"), *[ref(b).alias(f"_by_{i}") for i, b in enumerate(by)], *[F.sum(f"_tot_{n}").over(before).alias(f"_off_{n}") for n in sums.values()], *extra
     )
-    joined = local.join(offsets, ["_range", *by])
+    same = F.col("_range") == F.col("_at")
+    for i, b in enumerate(by):
+        same = same & ref(b).eqNullSafe(F.col(f"_by_{i}"))  # rows without a group are a group of their own
+    joined = local.join(offsets, same)
     out = [F.col(f"_run_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in sums.values()]
     grand_cols = [f"{n}_all" for n in sums.values()] if grand else []
     return joined.select(

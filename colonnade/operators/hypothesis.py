@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -268,56 +268,92 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
     return sum(c * x**k for k, c in enumerate(coefficients))
 
 
-def shapiro_weights(n: int) -> np.ndarray:
-    m = np.array([special.normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+SHAPIRO_CHUNK = 8192
+
+
+def _score_sums(spans: DataFrame, n: int) -> DataFrame:
+    """Adds s1 and s2: the sums of the normal scores of ranks lo..hi and of their squares.
+
+    Spans are cut into chunks first, so the ranks of a hot value are spread over tasks.
+    """
+    edges = F.sequence(F.col("lo"), F.col("hi"), F.lit(SHAPIRO_CHUNK).cast("long"))
+    chunks = spans.select("value", F.explode(edges).alias("a"), F.col("hi").alias("z"))
+    chunks = chunks.select("value", "a", F.least(F.col("a") + SHAPIRO_CHUNK - 1, F.col("z")).alias("b"))
+    chunks = chunks.repartition(spans.sparkSession.sparkContext.defaultParallelism * 2)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s1, s2 = [], []
+            for a, b in zip(pdf["a"], pdf["b"]):
+                m = np.fromiter((special.normal_ppf((i - 0.375) / (n + 0.25)) for i in range(a, b + 1)), float, b - a + 1)
+                s1.append(m.sum())
+                s2.append((m * m).sum())
+            yield pd.DataFrame({"value": pdf["value"], "s1": s1, "s2": s2})
+
+    return chunks.mapInPandas(score, "value double, s1 double, s2 double")
+
+
+def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
+    """Shapiro-Wilk over all values, however many; needs 3 values that are not all equal (statistic null otherwise).
+
+    Distinct values get their ranks by distributed running totals; the weights of a tie are summed over its ranks. The
+    p-value approximation was fitted for up to 5000 values; ``p_value_fitted`` says whether the size lies within.
+    """
+    counts = keep(melt(df, [col]).groupBy("value").agg(F.count("*").alias("c")))
+    whole = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("m"), F.count("*").alias("k")).first()
+    n = whole["n"] or 0
+    if n < 3 or whole["k"] < 2:
+        return df.sparkSession.range(1).select(
+            F.lit("shapiro_wilk").alias("test"), F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("statistic"),
+            F.lit(None).cast("double").alias("p_value"), F.lit(False).alias("p_value_fitted"))
+    centred = counts.select((F.col("value") - F.lit(whole["m"])).alias("value"), "c")
+    spans = running_totals(centred, ["value"], {"c": "hi"}).withColumn("lo", F.col("hi") - F.col("c") + 1)
+    spans = keep(spans.select("value", "lo", "hi", "c"))
+    sums = _score_sums(spans, n).agg(F.sum(F.col("value") * F.col("s1")).alias("xs"), F.sum("s2").alias("ss")).first()
+    squares = spans.agg(F.sum(F.col("value") * F.col("value") * F.col("c")).alias("v")).first()["v"]
+    ends = {i: None for i in (1, 2, n - 1, n)}
+    for r in spans.where(" OR ".join(f"(lo <= {i} AND hi >= {i})" for i in ends)).collect():  # at most four rows
+        ends |= {i: r["value"] for i in ends if r["lo"] <= i <= r["hi"]}
+    spans.unpersist()
+    counts.unpersist()
+    w = shapiro_statistic(n, sums["xs"], sums["ss"], squares, ends)
+    return table_of(df.sparkSession, [{"test": "shapiro_wilk", "n": n, "statistic": w, "p_value": shapiro_p_value(w, n), "p_value_fitted": n <= SHAPIRO_MAX}])
+
+
+def shapiro_statistic(n: int, xs: float, ss: float, squares: float, ends: dict[int, float]) -> float:
+    """W from the sum of value times score, the sums of squared scores and centred values, and the outermost values."""
     if n == 3:
-        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    squares = float(m @ m)
+        top = math.sqrt(0.5) * (ends[3] - ends[1])
+        return min(top * top / squares, 1.0)
+    m1 = special.normal_ppf((n - 0.375) / (n + 0.25))
+    m2 = special.normal_ppf((n - 1.375) / (n + 0.25))
     u = 1 / math.sqrt(n)
-    last = m[-1] / math.sqrt(squares) + _poly(ROYSTON_A1, u)
-    a = np.empty(n)
+    last = m1 / math.sqrt(ss) + _poly(ROYSTON_A1, u)
+    outer, inner = ends[n] - ends[1], ends[n - 1] - ends[2]
     if n > 5:
-        second = m[-2] / math.sqrt(squares) + _poly(ROYSTON_A2, u)
-        scale = (squares - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a[:] = m / math.sqrt(scale)
-        a[-2], a[1] = second, -second
+        second = m2 / math.sqrt(ss) + _poly(ROYSTON_A2, u)
+        scale = (ss - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2)
+        top = (xs - m1 * outer - m2 * inner) / math.sqrt(scale) + last * outer + second * inner
     else:
-        a[:] = m / math.sqrt((squares - 2 * m[-1] ** 2) / (1 - 2 * last**2))
-    a[-1], a[0] = last, -last
-    return a
+        scale = (ss - 2 * m1**2) / (1 - 2 * last**2)
+        top = (xs - m1 * outer) / math.sqrt(scale) + last * outer
+    return min(top * top / squares, 1.0)
 
 
-def shapiro_from_sorted(values: np.ndarray) -> tuple[float, float]:
-    n = len(values)
-    centred = values - values.mean()
-    w = float(shapiro_weights(n) @ values) ** 2 / float(centred @ centred)
-    w = min(w, 1.0)
+def shapiro_p_value(w: float, n: int) -> float:
     if n == 3:
         p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, min(1.0, max(0.0, p))
+        return min(1.0, max(0.0, p))
     y = math.log(1 - w) if w < 1 else -math.inf
     if n <= 11:
         gamma = _poly(ROYSTON_GAMMA, n)
         if y >= gamma:
-            return w, 0.0
+            return 0.0
         y = -math.log(gamma - y)
         mean, sd = _poly(ROYSTON_SMALL_MEAN, n), math.exp(_poly(ROYSTON_SMALL_SD, n))
     else:
         mean, sd = _poly(ROYSTON_LARGE_MEAN, math.log(n)), math.exp(_poly(ROYSTON_LARGE_SD, math.log(n)))
-    return w, special.normal_sf((y - mean) / sd)
-
-
-def shapiro_wilk(df: DataFrame, col: str) -> DataFrame | None:
-    """Shapiro-Wilk for 3 to 5000 values; None outside, as the test is not defined there.
-
-    The size is measured before the (bounded) sorted sample is brought to the driver.
-    """
-    values = melt(df, [col]).select("value")
-    sample = values.limit(SHAPIRO_MAX + 1).toPandas()["value"].to_numpy()
-    if not 3 <= len(sample) <= SHAPIRO_MAX or sample.min() == sample.max():
-        return None
-    w, p = shapiro_from_sorted(np.sort(sample))
-    return table_of(df.sparkSession, [{"test": "shapiro_wilk", "n": len(sample), "statistic": w, "p_value": p}])
+    return special.normal_sf((y - mean) / sd)
 
 
 def kolmogorov_smirnov(df: DataFrame, col: str) -> DataFrame:

@@ -15,7 +15,7 @@ from colonnade.functions import special
 from colonnade.functions.expressions import ratio
 from colonnade.functions.gram import Design, build_design, cluster_meat, hac_meat, solve, weighted_sums
 from colonnade.functions.results import table_of
-from colonnade.operators.hypothesis import SHAPIRO_MAX, shapiro_wilk
+from colonnade.operators.hypothesis import shapiro_wilk
 from colonnade.operators.reshape import merge_on
 
 
@@ -243,10 +243,8 @@ def durbin_watson(frame: DataFrame, residual: str, time: str) -> DataFrame:
     return steps.agg(ratio(F.sum(F.pow(F.col("e") - F.col("b"), 2)), F.sum(F.pow("e", 2))).alias("durbin_watson"))
 
 
-def residual_normality(df: DataFrame, fit: LinearFit) -> DataFrame | None:
-    """Shapiro-Wilk of the residuals, up to 5000 rows."""
-    if fit.n > SHAPIRO_MAX:
-        return None
+def residual_normality(df: DataFrame, fit: LinearFit) -> DataFrame:
+    """Shapiro-Wilk of all residuals."""
     return shapiro_wilk(fit.design.frame.select(fit.residual().alias("e")), "e")
 
 

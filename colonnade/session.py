@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only after its row count was measured to be at most this.
+# A side is broadcast only after its rows and bytes were measured to be at most these.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -55,12 +57,27 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it is measured to hold at most ``rows`` rows, else leave the join to Spark.
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: texts, binaries and arrays by their length, other values 16 bytes."""
+    size = F.lit(0)
+    for f in df.schema:
+        column = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 * F.coalesce(F.size(column), F.lit(0))
+        else:
+            size = size + 16
+    return size
 
-    The frame is persisted first so that the count is not a second computation.
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when it is measured to hold at most ``rows`` rows and ``size`` bytes, else leave the join to Spark.
+
+    The frame is persisted first so that the measurement is not a second computation.
     """
     kept = keep(df)
-    if len(kept.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows:
+    seen = kept.select(_row_bytes(df).alias("_b")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("_b").alias("b")).first()
+    if seen["n"] <= rows and (seen["b"] or 0) <= size:
         return F.broadcast(kept)
     return kept

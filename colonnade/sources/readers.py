@@ -31,8 +31,15 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Most frequent candidate in the first 5000 bytes (the comma when none occurs)."""
-    lines = spark.read.text(path).limit(200).collect()
+    """Most frequent candidate in the first 5000 bytes of the file, of a folder's first file (the comma when none occurs).
+
+    A line takes a byte at least, so as many lines as bytes always reach the end of that head.
+    """
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    first = files.agg(F.min("path")).first()[0]
+    if first is None:
+        return ","
+    lines = spark.read.text(first).limit(SNIFF_BYTES + 1).collect()
     head = "\n".join(r["value"] for r in lines)[:SNIFF_BYTES]
     best = max(DELIMITERS, key=head.count)
     return best if head.count(best) else ","
@@ -43,10 +50,21 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array, or one object per line when the text does not start with a bracket."""
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
-    array = bool(first) and first[0]["value"].lstrip().startswith("[")
-    return normalise_missing(spark.read.json(path, multiLine=array))
+    """JSON arrays, or one object per line where the first filled line of a file does not start with a bracket.
+
+    Every file of a folder is judged by itself. Only the names of the files reach the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.where(F.length(F.trim("value")) > 0).withColumn("nth", F.monotonically_increasing_id())
+    first = lines.groupBy("file").agg(F.ltrim(F.min_by("value", F.struct("at", "nth"))).startswith("[").alias("array"))
+    names = {True: [], False: []}
+    for r in first.toLocalIterator():
+        names[r["array"]].append(r["file"])
+    parts = [spark.read.json(sorted(files), multiLine=array) for array, files in names.items() if files]
+    if not parts:
+        return spark.read.json(path)
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return normalise_missing(out)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -150,32 +168,37 @@ def extract_tables(pages: DataFrame, page_id: str, html: str, first_only: bool =
     return rows.mapInPandas(parse, f"page_id {kind}, table_no int, row_no int, cells array<string>")
 
 
-def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of the files in a folder, zero-byte files included.
+def load_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, length, content) of the files in a folder, zero-byte files included; no content beyond ``max_bytes``.
+
+    The bound reaches the file scan, so larger files are listed and not read.
 
     Spark's file scan leaves empty files out, so their names are taken from the folder listing.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = every.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    files = files.unionAll(large)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     listing = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
     empty = [(s.getPath().toString(), 0, bytearray()) for s in listing if s.isFile() and s.getLen() == 0]
     return files.unionAll(spark.createDataFrame(empty, files.schema)) if empty else files
 
 
-def validate_files(files: DataFrame) -> DataFrame:
+def validate_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Verdict per file of a ``binaryFile`` frame (path, length, content): ``valid`` and the first ``reason`` against it."""
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
     head = F.hex(F.substring("content", 1, 8))
     magic = F.lit(False)
     for e, m in MAGIC.items():
-        magic = magic | ((ext == e) & ~head.startswith(m))
+        magic = magic | ((ext == e) & F.coalesce(~head.startswith(m), F.lit(False)))
     reason = (
         F.when(F.col("path").contains("..") | (name == "") | name.contains("\\"), "unsafe name")
         .when(ext.isin(*REFUSED), "refused extension")
         .when(~name.contains(".") | ~ext.isin(*ALLOWED), "unknown extension")
         .when(F.col("length") == 0, "empty file")
-        .when(F.col("length") > MAX_BYTES, "file too large")
+        .when(F.col("length") > max_bytes, "file too large")
         .when(magic, "content does not match extension")
     )
     return files.select("path", "length", reason.isNull().alias("valid"), reason.alias("reason"))

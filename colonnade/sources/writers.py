@@ -34,24 +34,22 @@ def write_imputations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("_imputation").parquet(path)
 
 
-MAX_REPORT_ROWS = 1000
+def render_html(title: str, sections: dict[str, DataFrame], rows: int | None = None) -> str:
+    """Plain HTML page of report tables (one row per column, pair or term), every row of them.
 
-
-def render_html(title: str, sections: dict[str, DataFrame]) -> str:
-    """Plain HTML page of small report tables.
-
-    Only report tables go in (one row per column, pair or term); longer ones are shown up to 1000 rows and say so.
+    Rows are fetched a partition at a time. ``rows`` is for callers that want a shorter page; a shortened table says so.
+    Tables as long as the data belong in ``write_reports``, which writes them beside the page.
     """
     parts = [f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, table in sections.items():
-        rows = table.limit(MAX_REPORT_ROWS + 1).collect()
         parts.append(f"<h2>{html.escape(name)}</h2><table border='1'><tr>")
         parts += [f"<th>{html.escape(c)}</th>" for c in table.columns]
         parts.append("</tr>")
-        for r in rows[:MAX_REPORT_ROWS]:
+        shown = table if rows is None else table.limit(rows)
+        for r in shown.toLocalIterator():
             parts.append("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>")
         parts.append("</table>")
-        if len(rows) > MAX_REPORT_ROWS:
-            parts.append(f"<p>first {MAX_REPORT_ROWS} rows shown</p>")
+        if rows is not None and table.limit(rows + 1).count() > rows:
+            parts.append(f"<p>first {rows} rows shown</p>")
     parts.append("</body></html>")
     return "".join(parts)
