@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colonnade.catalog.base import DIRTY_SQL, dirty_lineitem, query, table
 from colonnade.catalog.profiling import rounded
+from colonnade.catalog.testing import shapiro_sql
 from colonnade.operators import glm, linear
 
 # Two-predictor least squares from centred moments; y ~ a + b.
@@ -200,10 +201,12 @@ def _(spark, sf):
     return linear.health_checklist(table(spark, sf, "lineitem"), price_fit(spark, sf))
 
 
-@query("residual_normality")
+@query("residual_normality", shapiro_sql("""SELECT y - (my + b * (x - mx)) AS x FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem),
+    (SELECT regr_slope(l_extendedprice, l_quantity) AS b, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)"""))
 def _(spark, sf):
-    df = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
-    return linear.residual_normality(df, linear.fit_ols(df, "m", ["c_nationkey"]))
+    df = table(spark, sf, "lineitem")
+    out = linear.residual_normality(df, linear.fit_ols(df, "l_extendedprice", ["l_quantity"]))
+    return rounded(out.select("n", "statistic"), "statistic")
 
 
 @query("durbin_watson", """WITH d AS (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1),

@@ -39,7 +39,7 @@ def _(spark, sf):
 
 @query("multiple_imputation")
 def _(spark, sf):
-    return impute.multiple_imputation(tailed_orders(spark, sf), "o_orderkey", ["total", "wave"], 2, 2).groupBy("_imputation").agg(
+    return impute.multiple_imputation(tailed_orders(spark, sf), "o_orderkey", ["total", "wave"]).groupBy("_imputation").agg(
         F.count("*").alias("n"), F.avg("total").alias("mean_total"))
 
 

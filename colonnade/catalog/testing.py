@@ -86,9 +86,51 @@ def _(spark, sf):
                      h.effect_label_column(F.col("p") * 10).alias("effect"), "n")
 
 
-@query("normality_shapiro_wilk")
+def poly_sql(coefficients, x):
+    """Horner form of a polynomial given lowest power first."""
+    out = str(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c})"
+    return out
+
+
+# Wichura's (1988) algorithm AS 241 for the normal quantile, lowest power first.
+AS241 = [
+    ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+     (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)),
+    ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+     (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 0.00000000105075007164441684324)),
+    ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 0.000000201033439929228813265),
+     (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 0.0000184631831751005468180, 0.000000142151175831644588870, 0.00000000000000204426310338993978564)),
+]
+
+
+def quantile_sql(p):
+    """Normal quantile of the SQL expression ``p``."""
+    q, r, t = f"({p} - 0.5)", f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"sqrt(-ln(least({p}, 1 - {p})))"
+    mid, tail, far = (f"({poly_sql(n, x)} / {poly_sql(d, x)})" for (n, d), x in zip(AS241, (r, f"({t} - 1.6)", f"({t} - 5)"), strict=True))
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {mid} WHEN {t} <= 5 THEN sign({q}) * {tail} ELSE sign({q}) * {far} END"
+
+
+def shapiro_sql(rows):
+    """W for more than five values: ``rows`` is a query with the column x."""
+    return f"""WITH x AS ({rows}), o AS (SELECT x - avg(x) OVER () AS x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM x),
+    p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM o), m AS (SELECT x, i, n, {quantile_sql("p")} AS m FROM p),
+    s AS (SELECT sum(m * m) AS ss, max(n) AS n, 1 / sqrt(max(n)) AS u, max(CASE WHEN i = n THEN m END) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2 FROM m),
+    a AS (SELECT *, m1 / sqrt(ss) + {poly_sql(h.ROYSTON_A1, "u")} AS a1, m2 / sqrt(ss) + {poly_sql(h.ROYSTON_A2, "u")} AS a2 FROM s),
+    w AS (SELECT *, sqrt((ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS k FROM a)
+    SELECT CAST(max(w.n) AS BIGINT) AS n, round(sum(x * CASE WHEN i = w.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = w.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / k END) ** 2 / sum(x * x), 6) AS statistic FROM m, w"""
+
+
+@query("normality_shapiro_wilk", shapiro_sql("SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem"))
 def _(spark, sf):
-    return h.shapiro_wilk(table(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")), "m")
+    return rounded(h.shapiro_wilk(table(spark, sf, "lineitem"), "l_extendedprice").select("n", "statistic"), "statistic")
+
+
+@query("correlation_test_spearman", """WITH r AS (SELECT avg(i) OVER (PARTITION BY x) AS rx, avg(j) OVER (PARTITION BY y) AS ry FROM (SELECT l_quantity AS x, l_discount AS y,
+    row_number() OVER (ORDER BY l_quantity) AS i, row_number() OVER (ORDER BY l_discount) AS j FROM lineitem)) SELECT 'spearman' AS method, count(*) AS n, round(corr(rx, ry), 6) AS r FROM r""")
+def _(spark, sf):
+    return rounded(h.correlation_test(table(spark, sf, "lineitem"), "l_quantity", "l_discount", "spearman").select("method", "n", "r"), "r")
 
 
 @query("normality_kolmogorov_smirnov")

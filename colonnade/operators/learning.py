@@ -98,7 +98,16 @@ def preprocessing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return Pipeline(stages=stages)
 
 
-SPLIT_BUCKETS = 64
+SPLIT_ROWS = 100_000  # rows of a class that one hash range holds, about
+
+
+def split_ranges(df: DataFrame) -> int:
+    """Hash ranges per class so that even a single class leaves about SPLIT_ROWS rows to each."""
+    return max(1, -(-df.count() // SPLIT_ROWS))
+
+
+def _hash_range(h: Column, ranges: int) -> Column:
+    return F.least(F.floor((h / F.lit(2.0**64) + F.lit(0.5)) * ranges), F.lit(ranges - 1)).cast("int")
 
 
 def stratified_split(df: DataFrame, row_id: str, target: str | None = None, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -110,7 +119,7 @@ def stratified_split(df: DataFrame, row_id: str, target: str | None = None, test
     if target is None:
         cut = int(test_share * 1_000_000)
         return df.withColumn("split", F.when(F.pmod(h, F.lit(1_000_000)) < cut, "test").otherwise("train"))
-    rows = df.withColumns({"_y": ref(target).cast("string"), "_h": h, "_b": F.shiftrightunsigned(h, 58).cast("int")})
+    rows = df.withColumns({"_y": ref(target).cast("string"), "_h": h, "_b": _hash_range(h, split_ranges(df))})
     sizes = rows.groupBy("_y", "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy("_y").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("_y")
@@ -139,34 +148,76 @@ def with_class_weights(df: DataFrame, target: str) -> DataFrame:
     return df.join(broadcast_if_small(weights), ref(target) == F.col("_k")).drop("_k")
 
 
-def classifier(name: str, classes: int = 2, features: int | None = None, seed: int = 42):
-    """An unfitted Spark ML classifier on (features, label[, weight])."""
+# The deepest tree Spark grows; the models being matched set no limit of their own.
+TREE_DEPTH = 30
+
+
+def classifier(name: str, classes: int = 2, features: int | None = None, seed: int = 42, rows: int | None = None, depth: int = TREE_DEPTH, c: float = 1.0):
+    """An unfitted Spark ML classifier on (features, label, weight), classes balanced by the weight where the model takes one.
+
+    Logistic regression and the linear SVM are penalised by 1 / (c * rows): Spark averages the loss over the weights
+    (which sum to the number of rows) where the penalty 1/2 |w|^2 stands against c times its sum. ``rows=None`` leaves
+    the penalty out.
+    """
+    penalty = 1.0 / (c * rows) if rows else 0.0
     made = {
-        "logistic": lambda: C.LogisticRegression(weightCol="weight", maxIter=100, regParam=0.0),
-        "decision_tree": lambda: C.DecisionTreeClassifier(seed=seed, maxDepth=10),
-        "random_forest": lambda: C.RandomForestClassifier(numTrees=300, seed=seed, maxDepth=10),
+        "logistic": lambda: C.LogisticRegression(weightCol="weight", maxIter=1500, regParam=penalty, standardization=False),
+        "decision_tree": lambda: C.DecisionTreeClassifier(seed=seed, maxDepth=depth, weightCol="weight"),
+        "random_forest": lambda: C.RandomForestClassifier(numTrees=300, seed=seed, maxDepth=depth, weightCol="weight"),
         "gradient_boosting": lambda: C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
         "naive_bayes": lambda: C.NaiveBayes(modelType="gaussian"),
         "mlp": lambda: C.MultilayerPerceptronClassifier(layers=[features, 100, classes], maxIter=200, seed=seed),
-        "linear_svm": lambda: C.LinearSVC(maxIter=100),
+        "linear_svm": lambda: C.LinearSVC(maxIter=100, weightCol="weight", regParam=penalty, standardization=False),
     }[name]()
     if classes > 2 and name in ("gradient_boosting", "linear_svm"):
-        return C.OneVsRest(classifier=made)
+        return C.OneVsRest(classifier=made, weightCol="weight") if name == "linear_svm" else C.OneVsRest(classifier=made)
     return made
 
 
-def regressor(name: str, seed: int = 42):
+def label_scale(rows: DataFrame, label: str = "label") -> tuple[int, float]:
+    """Number of rows and standard deviation of the label, as ``regressor`` takes them."""
+    r = rows.agg(F.count(ref(label)).alias("n"), F.stddev_pop(ref(label)).alias("s")).first()
+    return r["n"], r["s"] or 1.0
+
+
+def regressor(name: str, seed: int = 42, scale: tuple[int, float] | None = None, alpha: float = 1.0, l1_ratio: float = 0.5, depth: int = TREE_DEPTH):
+    """An unfitted Spark ML regressor on (features, label).
+
+    The penalties are those of the usual definitions: ridge |y - Xw|^2 + alpha |w|^2, lasso and elastic net
+    |y - Xw|^2 / 2n + alpha (r |w|_1 + (1 - r) / 2 |w|^2). Spark divides the quadratic part by the deviation of the
+    label, so ridge and elastic net need ``scale`` (see ``label_scale``).
+    """
+    if name in ("ridge", "elastic_net") and scale is None:
+        raise ValueError("ridge and elastic net need the rows and deviation of the label")
+    n, sd = scale or (1, 1.0)
+    linear, square = alpha * l1_ratio, alpha * (1 - l1_ratio) * sd
     return {
-        "linear": lambda: R.LinearRegression(regParam=0.0),
-        "ridge": lambda: R.LinearRegression(regParam=1.0, elasticNetParam=0.0),
-        "lasso": lambda: R.LinearRegression(regParam=0.1, elasticNetParam=1.0),
-        "elastic_net": lambda: R.LinearRegression(regParam=0.1, elasticNetParam=0.5),
-        "decision_tree": lambda: R.DecisionTreeRegressor(seed=seed, maxDepth=10),
-        "random_forest": lambda: R.RandomForestRegressor(numTrees=300, seed=seed, maxDepth=10),
+        "linear": lambda: R.LinearRegression(regParam=0.0, standardization=False),
+        "ridge": lambda: R.LinearRegression(regParam=alpha * sd / n, elasticNetParam=0.0, standardization=False),
+        "lasso": lambda: R.LinearRegression(regParam=alpha, elasticNetParam=1.0, maxIter=5000, standardization=False),
+        "elastic_net": lambda: R.LinearRegression(regParam=linear + square, elasticNetParam=linear / (linear + square), maxIter=5000, standardization=False),
+        "decision_tree": lambda: R.DecisionTreeRegressor(seed=seed, maxDepth=depth),
+        "random_forest": lambda: R.RandomForestRegressor(numTrees=300, seed=seed, maxDepth=depth),
         "gradient_boosting": lambda: R.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
     }[name]()
 
 
+def tuning_grid(name: str, rows: int, scale: tuple[int, float] | None = None, task: str = "classification") -> dict[str, list]:
+    """Fixed values tried for a model, in Spark's parameters (those that Spark's models have)."""
+    n, sd = scale or (rows, 1.0)
+    trees = {"maxDepth": [TREE_DEPTH, 3, 5, 10], "minInstancesPerNode": [1, 5, 10]}
+    grids = {
+        "logistic": {"regParam": [1.0 / (c * rows) for c in (0.1, 1.0, 10.0)]},
+        "linear_svm": {"regParam": [1.0 / (c * rows) for c in (0.5, 1.0, 2.0)]},
+        "ridge": {"regParam": [a * sd / n for a in (0.1, 1.0, 10.0)]},
+        "lasso": {"regParam": [0.001, 0.01, 0.1, 1.0]},
+        "decision_tree": trees | ({"impurity": ["gini", "entropy"]} if task == "classification" else {}),
+        "random_forest": {"numTrees": [200, 400], "maxDepth": [TREE_DEPTH, 5, 10], "minInstancesPerNode": [1, 5]},
+        "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [2, 3]},
+    }
+    return grids[name]
+
+
 def predictions(model, rows: DataFrame, row_id: str, label: str = "label") -> DataFrame:
     """(row id, actual, predicted, probability of class 1 where the model gives one)."""
     out = model.transform(rows)
@@ -246,8 +297,9 @@ def grid_search(estimator, grid: dict[str, Sequence], rows: DataFrame, row_id: s
     elif stratify:
         # Ranks by row hash inside (class, hash range): every range deals its rows out to the folds in turn.
         h = F.xxhash64(ref(row_id), F.lit(42))
-        order = W.partitionBy(ref(stratify), F.shiftrightunsigned(h, 58)).orderBy(h)
-        rows = rows.withColumn("fold", F.pmod(F.row_number().over(order) + F.shiftrightunsigned(h, 58), F.lit(folds)).cast("int"))
+        part = _hash_range(h, split_ranges(rows))
+        order = W.partitionBy(ref(stratify), part).orderBy(h)
+        rows = rows.withColumn("fold", F.pmod(F.row_number().over(order) + part, F.lit(folds)).cast("int"))
     else:
         rows = rows.withColumn("fold", F.pmod(F.xxhash64(ref(row_id), F.lit(42)), F.lit(folds)).cast("int"))
     builder = ParamGridBuilder()
@@ -258,7 +310,7 @@ def grid_search(estimator, grid: dict[str, Sequence], rows: DataFrame, row_id: s
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism)
     model = cv.fit(keep(rows))
     best = max(model.avgMetrics) if evaluator.isLargerBetter() else min(model.avgMetrics)
-    out = [{**{p.name: float(v) for p, v in m.items()}, "mean_score": float(s), "best": bool(s == best)} for m, s in zip(maps, model.avgMetrics, strict=True)]
+    out = [{**{p.name: v if isinstance(v, str) else float(v) for p, v in m.items()}, "mean_score": float(s), "best": bool(s == best)} for m, s in zip(maps, model.avgMetrics, strict=True)]
     return table_of(rows.sparkSession, out)
 
 
@@ -406,9 +458,13 @@ def silhouette_squared(rows: DataFrame, cluster: str, features: str = "features"
 
 
 def elbow(
-    rows: DataFrame, ks: Sequence[int] = tuple(range(2, 13)), restarts: int = 10, features: str = "features", exact: bool = True
+    rows: DataFrame, ks: Sequence[int] = tuple(range(2, 13)), restarts: int = 10, features: str = "features", exact: bool = False
 ) -> DataFrame:
-    """Inertia and silhouette per number of clusters; ``exact=False`` takes the linear-time silhouette."""
+    """Inertia and silhouette per number of clusters.
+
+    The silhouette is the linear-time one on squared distances; ``exact=True`` takes the Euclidean one, whose work is
+    quadratic in the rows.
+    """
     out = []
     for k in ks:
         model, cost = kmeans(rows, k, restarts, features)
