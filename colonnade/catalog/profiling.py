@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colonnade.catalog.base import (
-    DIRTY_LINEITEM, DIRTY_SQL, DUPED_SQL, TAILED_SQL, dirty_lineitem, duped_orders, query, table, tailed_orders,
+    DIRTY_LINEITEM, DIRTY_SQL, DUPED_SQL, TAILED_SQL, dirty_lineitem, duped_orders, quantile_sql, query, table, tailed_orders,
 )
 from colonnade.context import DatasetContext
 from colonnade.operators import profile
@@ -320,6 +320,9 @@ def _(spark, sf):
     return rounded(profile.describe_all(dirty_lineitem(spark, sf)), "mean", "std", "q1", "median", "q3", digits=4)
 
 
-@query("qq_points")
+@query("qq_points", f"""WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) AS x, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders),
+    g AS (SELECT CAST(floor(range * (n - 1) / 999.0 + 1e-9) AS BIGINT) + 1 AS i FROM range(1000), (SELECT count(*) AS n FROM orders)),
+    p AS (SELECT i, x, CASE WHEN i = 1 THEN 1 - 0.5 ** (1.0 / n) WHEN i = n THEN 0.5 ** (1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM o JOIN g USING (i))
+    SELECT i AS rank, round(p, 8) AS probability, x AS sample_quantile, round({quantile_sql("p")}, 6) AS normal_quantile FROM p""")
 def _(spark, sf):
-    return profile.qq_points(table(spark, sf, "orders"), "o_totalprice")
+    return rounded(rounded(profile.qq_points(table(spark, sf, "orders"), "o_totalprice"), "probability", digits=8), "normal_quantile")

@@ -135,10 +135,25 @@ def _(spark, sf):
     return readers.extract_tables(pages, "page_id", "html", first_only=True).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("file_validation", "SELECT true AS valid, 1 AS files")
-def _(spark, sf):
-    files = spark.read.format("binaryFile").load(f"{sf}/lineitem.parquet")
-    return readers.validate_files(files).groupBy("valid").agg(F.count("*").alias("files"))
+# Uploads made of the pages: names with good, refused, unknown and missing extensions, empty, oversized and mislabelled ones.
+UPLOAD_NAMES = ["a.csv", "b.pkl", "c.parquet", "d.exe", "plain", "e.html", "f.xlsx", "g..csv", "h.txt"]
+UPLOAD_BYTES = 4000
+UPLOADS_SQL = f"""SELECT page_id, concat('up/', page_id, '/', {UPLOAD_NAMES}[page_id % 9 + 1]) AS path, page_id % 9 AS k,
+    CASE WHEN page_id % 10 = 3 THEN '' WHEN page_id % 9 = 2 AND page_id % 4 < 2 THEN concat('PAR1', html) ELSE html END AS body FROM pages"""
+
+
+@query("file_validation", f"""WITH u AS ({UPLOADS_SQL}), r AS (SELECT *, octet_length(encode(body)) AS n FROM u)
+    SELECT page_id, CAST(n AS BIGINT) AS length, CASE WHEN k = 7 THEN 'unsafe name' WHEN k = 1 THEN 'refused extension' WHEN k IN (3, 4) THEN 'unknown extension' WHEN n = 0 THEN 'empty file'
+    WHEN n > {UPLOAD_BYTES} THEN 'file too large' WHEN k = 6 OR k = 2 AND NOT starts_with(body, 'PAR1') THEN 'content does not match extension' END AS reason FROM r""")
+def _(spark, sf):
+    names = F.array(*[F.lit(n) for n in UPLOAD_NAMES])
+    k = F.col("page_id") % 9
+    body = F.when(F.col("page_id") % 10 == 3, "").when((k == 2) & (F.col("page_id") % 4 < 2), F.concat(F.lit("PAR1"), "html")).otherwise(F.col("html"))
+    path = F.concat(F.lit("up/"), F.col("page_id"), F.lit("/"), F.element_at(names, (k + 1).cast("int")))
+    files = table(spark, sf, "pages").select(path.alias("path"), F.encode(body, "UTF-8").alias("content"))
+    files = files.select("path", F.octet_length("content").cast("long").alias("length"), "content")
+    out = readers.validate_files(files, UPLOAD_BYTES)
+    return out.select(F.split("path", "/")[1].cast("long").alias("page_id"), "length", "reason")
 
 
 @query("content_fingerprints", "SELECT doc_id, sha256(text) AS digest FROM documents")

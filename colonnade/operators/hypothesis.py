@@ -280,12 +280,13 @@ def _score_sums(spans: DataFrame, n: int) -> DataFrame:
     chunks = spans.select("value", F.explode(edges).alias("a"), F.col("hi").alias("z"))
     chunks = chunks.select("value", "a", F.least(F.col("a") + SHAPIRO_CHUNK - 1, F.col("z")).alias("b"))
     chunks = chunks.repartition(spans.sparkSession.sparkContext.defaultParallelism * 2)
+    quantile = special.normal_ppf  # the function travels, not its module
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s1, s2 = [], []
             for a, b in zip(pdf["a"], pdf["b"]):
-                m = np.fromiter((special.normal_ppf((i - 0.375) / (n + 0.25)) for i in range(a, b + 1)), float, b - a + 1)
+                m = np.fromiter((quantile((i - 0.375) / (n + 0.25)) for i in range(a, b + 1)), float, b - a + 1)
                 s1.append(m.sum())
                 s2.append((m * m).sum())
             yield pd.DataFrame({"value": pdf["value"], "s1": s1, "s2": s2})

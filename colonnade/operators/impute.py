@@ -33,18 +33,18 @@ def impute_knn(df: DataFrame, row_id: str, cols: Sequence[str] | None = None, k:
     p = len(cols)
     rows = keep(df.select(
         ref(row_id).cast("long").alias("id"), *[ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
-        sum((F.when(ref(c).isNull(), 2**i).otherwise(0) for i, c in enumerate(cols)), F.lit(0)).alias("gaps"),
+        F.concat(*[F.when(ref(c).isNull(), "1").otherwise("0") for c in cols]).alias("gaps"),  # one sign per column
     ))
-    patterns = sorted(r["gaps"] for r in rows.select("gaps").distinct().collect())  # at most 2^columns
+    patterns = sorted(r["gaps"] for r in rows.select("gaps").distinct().collect())  # the patterns that occur
     means = rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)])
     found = None
     for mine in patterns:
-        if not mine:
+        if "1" not in mine:
             continue
         receivers = rows.where(F.col("gaps") == mine)
         for theirs in patterns:
-            shared = [i for i in range(p) if not (mine | theirs) >> i & 1]
-            targets = [i for i in range(p) if mine >> i & 1 and not theirs >> i & 1]
+            shared = [i for i in range(p) if mine[i] == theirs[i] == "0"]
+            targets = [i for i in range(p) if mine[i] == "1" and theirs[i] == "0"]
             if not shared or not targets:
                 continue
             scale = math.sqrt(p / len(shared))

@@ -474,9 +474,14 @@ def difference(series: DataFrame, by: str, d: int) -> DataFrame:
     return series
 
 
+# Shortest long autoregression of the first stage; it grows with the cube root of the shortest series.
 LONG_AR = 8
 
 
+def long_order(shortest: int, p: int, q: int) -> int:
+    return max(LONG_AR, p + q, round(shortest ** (1 / 3)))
+
+
 def fit_arima(df: DataFrame, by: str, time: str, value: str, d: int = 0, max_p: int = 3, max_q: int = 2, order: tuple[int, int] | None = None):
     """ARIMA(p, d, q) with a constant for every series at once; orders by AIC over the grid unless given.
 
@@ -492,9 +497,11 @@ def fit_arima(df: DataFrame, by: str, time: str, value: str, d: int = 0, max_p:
     if centre is not None:
         work = work.join(broadcast_if_small(centre), "series").select("series", "t", (F.col("y") - F.col("_m")).alias("y"))
     work = materialise(work)
-    long_cols = [f"y_lag{k}" for k in range(1, LONG_AR + 1)]
-    wide = lagged(work, "y", range(1, LONG_AR + 1), ["series"]).dropna().withColumn("one", F.lit(1.0))
-    p1 = LONG_AR + 1
+    shortest = work.groupBy("series").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    far = long_order(shortest, *(order or (max_p, max_q)))
+    long_cols = [f"y_lag{k}" for k in range(1, far + 1)]
+    wide = lagged(work, "y", range(1, far + 1), ["series"]).dropna().withColumn("one", F.lit(1.0))
+    p1 = far + 1
 
     def first_stage(batches):
         for pdf in batches:
@@ -542,15 +549,13 @@ def fit_arima(df: DataFrame, by: str, time: str, value: str, d: int = 0, max_p:
     return materialise(models), base, inno
 
 
-TAIL_ROWS = 48
-
-
 def forecast_arima(models: DataFrame, base: DataFrame, inno: DataFrame, steps: int = 12) -> DataFrame:
-    """Forecasts with 95 % limits for every series, from at most 48 last rows of each."""
-    if not 1 <= steps <= 36:
-        raise ValueError("1 to 36 steps")
+    """Forecasts with 95 % limits for every series, from as many of its last rows as its lags and differences reach."""
+    if steps < 1:
+        raise ValueError("at least one step")
+    reach = models.agg(F.max(F.greatest(F.size("ar"), F.size("ma")) + F.col("d"))).first()[0] or 0
     last = base.groupBy("series").agg(F.max("t").alias("_last"))
-    near = base.join(broadcast_if_small(last), "series").where(F.col("t") > F.col("_last") - TAIL_ROWS)
+    near = base.join(broadcast_if_small(last), "series").where(F.col("t") > F.col("_last") - F.lit(reach + 1))
     near = near.join(inno.select("series", "t", "e"), ["series", "t"], "left")
     tails = near.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "y", "e"))).alias("_tail"), F.max("t").alias("_last"))
     tails = tails.select(
