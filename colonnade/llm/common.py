@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +24,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, dealt out evenly.
+# Rows of a settled table that a task holds, about, where their number is known.
+SETTLED_ROWS = 20_000
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the checkpoint folder, dealt out evenly; ``rows`` says how many it has at most, if that is known.
 
     The even deal also forgets the key the rows were grouped by, so that a later join shuffles both sides and Spark may
     split a hot key. A checkpoint that kept the key would pin a hot key to one task.
     """
-    return materialise(df.repartition(shuffle_width(df.sparkSession)))
+    parts = shuffle_width(df.sparkSession) if rows is None else max(1, -(-rows // SETTLED_ROWS))
+    return materialise(df.repartition(parts))
 
 
 def reread(df: DataFrame) -> DataFrame:
@@ -102,32 +108,51 @@ def text_blocks(texts: Sequence, limit: int = BLOCK_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of one task's edges, each as links from its smallest node to the others."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    if nodes:
+        yield pd.DataFrame({"a": [find(x) for x in nodes], "b": nodes})
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges`` (columns a, b of one orderable type).
+    """Connected components of undirected ``edges`` (long columns a, b).
 
     Returns one row per node that has an edge: (node, component), component being the smallest node reachable.
-    Every round takes the smallest label among a node and its neighbours, then the label of that label, so paths shrink
-    geometrically. Labels live in checkpointed tables; only a count reaches the driver. Self-loops, repeated edges and
-    an empty table are fine; a graph that has not settled after ``max_rounds`` raises.
+    Edges are dealt out in bounded parts, each of which first shrinks its own components to stars. Then every round takes
+    the smallest label among a node and its neighbours, and the label of that label, so paths shrink geometrically.
+    Labels live in checkpointed tables; only counts reach the driver. Self-loops, repeated edges and an empty table are
+    fine; a graph that has not settled after ``max_rounds`` raises.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = settle(both.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    edges = materialise(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct())
+    size = edges.count()
+    edges = edges.repartition(max(1, -(-size // SETTLED_ROWS))).mapInPandas(stars, "a long, b long")
+    edges = materialise(edges)
+    size = 2 * edges.count()  # rows of both directions; nodes are fewer
+    both = settle(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), size)
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), size)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
         near = near.agg(F.min("component").alias("_near"))
         lower = labels.join(near, "node").select(
             "node", F.least("component", "_near").alias("_low"), F.col("component").alias("_old")
         )
-        lower = settle(lower)
-        jump = lower.select(F.col("node").alias("_low"), F.col("_low").alias("_next"))
-        labels = settle(
-            lower.join(jump, "_low").select(
-                "node", F.least("_low", "_next").alias("component"), (F.col("_low") != F.col("_old")).alias("_moved")
-            )
-        )
-        moved = labels.where("_moved").limit(1).count()
-        labels = labels.drop("_moved")
-        if not moved:
+        lower = settle(lower, size)
+        if not lower.where("_low <> _old").limit(1).count():
             return labels
+        jump = lower.select(F.col("node").alias("_low"), F.col("_low").alias("_next"))
+        labels = settle(lower.join(jump, "_low").select("node", F.least("_low", "_next").alias("component")), size)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -119,12 +119,12 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return materialise(placed.withColumn("rank", F.monotonically_increasing_id()))
 
 
-def rank_levels(active: DataFrame, levels: int) -> list[DataFrame]:
+def rank_levels(active: DataFrame, levels: int, size: int) -> list[DataFrame]:
     """Rank tables (key, idx, rank) of the blocks of 1, 2, 4, ... lines; only blocks that occur more than once."""
     pairs = active.select(*KEY, "idx", F.col("h1").alias("r1"), F.col("h2").alias("r2"))
     out = []
     for k in range(levels):
-        table = settle(pairs.join(ranked(pairs), ["r1", "r2"]).select(*KEY, "idx", "rank"))
+        table = settle(pairs.join(ranked(pairs), ["r1", "r2"]).select(*KEY, "idx", "rank"), size)
         out.append(table)
         ahead = W.partitionBy(*KEY).orderBy("idx").rangeBetween(1 << k, 1 << k)
         pairs = table.withColumn("r2", F.max("rank").over(ahead)).where(F.col("r2").isNotNull())
@@ -135,10 +135,12 @@ def rank_levels(active: DataFrame, levels: int) -> list[DataFrame]:
 def later_copies(all_lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Line ranges to delete: key_a, key_b, pos, pos_end (positions among all lines, both ends included)."""
     active = materialise(runs(repeated_lines(all_lines), min_words))
-    found = settle(blocks(active, min_words))
+    size = active.count()
+    active = settle(active, size)
+    found = settle(blocks(active, min_words), 2 * size)
     longest = found.agg(F.max("n")).first()[0] or 0
     named = None
-    for k, level in enumerate(rank_levels(active, int(longest).bit_length())):
+    for k, level in enumerate(rank_levels(active, int(longest).bit_length(), size)):
         mine = found.where((F.col("n") >= 1 << k) & (F.col("n") < 2 << k)).withColumn("tail", (F.col("idx") + F.col("n") - (1 << k)).cast("int"))
         mine = mine.join(level.withColumnRenamed("rank", "ra"), [*KEY, "idx"])
         mine = mine.join(level.select(*KEY, F.col("idx").alias("tail"), F.col("rank").alias("rb")), [*KEY, "tail"])
@@ -146,10 +148,10 @@ def later_copies(all_lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if named is None:
         return found.select(*KEY, "pos", "pos_end").limit(0)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *KEY, "idx")
-    named = materialise(named.select("n", "ra", "rb", *KEY, "pos", "pos_end", order.alias("place")))
+    named = settle(named.select("n", "ra", "rb", *KEY, "pos", "pos_end", order.alias("place")), 2 * size)
     # An interval of the suffix array: all suffixes that share this block. One row each, combined before the shuffle.
     intervals = named.groupBy("n", "ra", "rb").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
-    copies = named.join(settle(intervals.where("copies > 1").drop("copies")), ["n", "ra", "rb"])
+    copies = named.join(settle(intervals.where("copies > 1").drop("copies"), size), ["n", "ra", "rb"])
     return copies.where(F.col("place") != F.col("first")).select(*KEY, "pos", "pos_end")
 
 
