@@ -71,39 +71,66 @@ def _touch_udf(cut: Cut):
     low, high = cut.low, cut.high
 
     def touch(v: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
-        out = []
-        for x, o, b in zip(v, own, bound, strict=True):
-            gap = np.maximum(np.maximum(low - x, x - high), 0.0)
-            near = np.sqrt((gap * gap).sum(1)) <= (np.inf if b is None or b != b else b * (1 + 1e-12) + 1e-300)
-            near[o] = False
-            out.append(np.flatnonzero(near).astype("int32"))
+        out: list[np.ndarray] = []
+        if not len(v):
+            return pd.Series(out, dtype=object)
+        x, home = np.stack(v.to_numpy()), own.to_numpy()
+        reach = np.where(np.isnan(b := bound.to_numpy(dtype=float)), np.inf, b * (1 + 1e-12) + 1e-300)
+        size = max(1, BLOCK_CELLS // low.size)
+        for i in range(0, len(x), size):
+            part = x[i : i + size, None, :]
+            gap = np.maximum(np.maximum(low[None] - part, part - high[None]), 0.0)
+            near = np.sqrt((gap * gap).sum(2)) <= reach[i : i + size, None]
+            near[np.arange(len(near)), home[i : i + size]] = False
+            out += [np.flatnonzero(row).astype("int32") for row in near]
         return pd.Series(out)
 
     return F.pandas_udf(touch, T.ArrayType(T.IntegerType()))
 
 
+# Cells of the largest matrix a block of queries makes.
+BLOCK_CELLS = 4_000_000
+
+
+def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, reference row, distance) of the k nearest references of each query, ties by the smaller id.
+
+    One matrix product shortlists every reference whose squared distance is, within rounding, among the k smallest;
+    the distances of the shortlist are then computed from the differences.
+    """
+    squares = (r * r).sum(1)
+    own = (q * q).sum(1)
+    d2 = own[:, None] + squares[None, :] - 2 * q @ r.T
+    if len(r) > k:
+        limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        slack = 1e-9 * (own + squares.max()) + 1e-300
+        qi, ri = np.nonzero(d2 <= (limit + slack)[:, None])
+    else:
+        qi, ri = np.repeat(np.arange(len(q)), len(r)), np.tile(np.arange(len(r)), len(q))
+    gap = r[ri] - q[qi]
+    d = np.sqrt((gap * gap).sum(1))
+    order = np.lexsort((ids[ri], d, qi))
+    qi, ri, d = qi[order], ri[order], d[order]
+    place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
+    top = place < k
+    return qi[top], ri[top], d[top]
+
+
 def _search(k: int):
     def run(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         names = ["qvec", "rid", "distance"]
         if not len(queries) or not len(refs):
             return pd.DataFrame({n: [] for n in names})
-        r = np.stack(refs["vec"].to_numpy())
-        ids = refs["rid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        r, ids = r[order], ids[order]
-        out_q, out_r, out_d = [], [], []
-        for q in queries["qvec"]:
-            gap = r - np.asarray(q)
-            d = np.sqrt((gap * gap).sum(1))
-            top = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-            if len(d) > k:
-                # Ties at the k-th distance go to the smallest id.
-                top = np.flatnonzero(d <= d[top].max())
-            top = top[np.lexsort((ids[top], d[top]))][:k]
-            out_q += [q] * len(top)
-            out_r += list(ids[top])
-            out_d += list(d[top])
-        return pd.DataFrame({"qvec": out_q, "rid": out_r, "distance": out_d})
+        r, ids = np.stack(refs["vec"].to_numpy()), refs["rid"].to_numpy()
+        asked = queries["qvec"].to_numpy()
+        q = np.stack(asked)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = max(1, BLOCK_CELLS // len(r))
+        for i in range(0, len(q), size):
+            qi, ri, d = nearest_in_block(q[i : i + size], r, ids, k)
+            out.append((qi + i, ri, d))
+        qi, ri, d = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"qvec": asked[qi], "rid": ids[ri], "distance": d})
 
     return run
 

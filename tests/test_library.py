@@ -154,3 +154,23 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_delimiter_looks_at_the_head_only(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1;2\n" * 201 + "a,b,c,d,e,f,g,h\n" * 400)
+    assert readers.detect_delimiter(spark, str(tmp_path / "a.txt")) == ","
+    (tmp_path / "b.txt").write_text("1;2\n" * 1300 + "a,b,c,d,e,f,g,h\n" * 400)
+    assert readers.detect_delimiter(spark, str(tmp_path / "b.txt")) == ";"
+
+
+def test_json_folder_of_both_forms(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n [{"x": 1}, {"x": 2}]')
+    (tmp_path / "b.json").write_text('{"x": 3, "y": "k"}\n{"x": 4}\n')
+    got = {(r["x"], r["y"]) for r in readers.read_json(spark, str(tmp_path)).collect()}
+    assert got == {(1, None), (2, None), (3, "k"), (4, None)}
+
+
+def test_html_pages_show_every_row(spark):
+    page = writers.render_html("t", {"rows": spark.range(2500).toDF("n")})
+    assert page.count("<tr>") == 2501 and "2499" in page
+    assert "first 5 rows shown" in writers.render_html("t", {"rows": spark.range(9).toDF("n")}, rows=5)

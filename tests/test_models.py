@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from colonnade.functions import special
 from colonnade.functions.gram import build_design, weighted_sums
 from colonnade.operators import causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
 
@@ -248,6 +250,47 @@ def test_shapiro_published_example(spark):
     assert r["statistic"] == pytest.approx(0.79, abs=0.005) and 0.005 < r["p_value"] < 0.01
 
 
+def test_shapiro_has_no_upper_size(spark):
+    rng = np.random.default_rng(21)
+    x = np.round(rng.exponential(size=7000), 2)  # many ties
+    r = hypothesis.shapiro_wilk(spark.createDataFrame(pd.DataFrame({"x": x})), "x").first()
+    s = np.sort(x) - x.mean()
+    n = len(s)
+    m = np.array([special.normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    near = (m @ s) ** 2 / ((m @ m) * (s @ s))  # W without the refined end weights, which hardly matter at this size
+    assert r["n"] == n and not r["p_value_fitted"] and r["statistic"] == pytest.approx(near, rel=5e-3) and r["p_value"] < 1e-6
+    assert hypothesis.shapiro_wilk(spark.createDataFrame([(1.0,), (1.0,), (1.0,)], "x double"), "x").first()["statistic"] is None
+
+
+def test_logistic_score_equations(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + rng.normal(size=400) > 0.8).astype(float)
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
+    rows = learning.with_class_weights(rows, "label")
+    fit = learning.classifier("logistic", rows=400, c=0.05).fit(rows)
+    beta, w = fit.coefficients.toArray(), np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    p = 1 / (1 + np.exp(-(x @ beta + fit.intercept)))
+    assert np.allclose(0.05 * x.T @ (w * (p - y)) + beta, 0, atol=1e-3)
+
+
+def test_elastic_net_minimises_its_definition(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3)) * [1, 3, 0.5]
+    y = x @ [2.0, 0.0, -4.0] + 5 + rng.normal(size=200)
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
+
+    def loss(w, b):
+        return ((y - x @ w - b) ** 2).mean() / 2 + 0.3 * (0.5 * np.abs(w).sum() + 0.25 * (w @ w))
+
+    fit = learning.regressor("elastic_net", scale=learning.label_scale(rows), alpha=0.3).fit(rows)
+    w, b = fit.coefficients.toArray(), fit.intercept
+    best = loss(w, b)
+    for i in range(3):
+        for step in (-0.01, 0.01):
+            assert loss(w + step * np.eye(3)[i], b) >= best - 1e-6
+
+
 def test_adf_matches_numpy(spark):
     rng = np.random.default_rng(12)
     y = np.cumsum(rng.normal(size=60))

@@ -80,3 +80,30 @@ def test_studentized_range_against_the_printed_table():
     # Upper 5 % points for three groups, printed with two decimals.
     for df, q in ((5, 4.60), (10, 3.88), (20, 3.58), (60, 3.40)):
         assert special.studentized_range_sf(q, 3, df) == pytest.approx(0.05, rel=0.01)
+
+
+def test_running_totals_keep_rows_without_a_group(spark):
+    rows = [("a", 1, 5), (None, 1, 7), (None, 2, 1), ("a", 2, 2)]
+    got = running_totals(spark.createDataFrame(rows, "g string, k int, v int"), ["k"], {"v": "run"}, ["g"], grand=True).collect()
+    assert {(r["g"], r["k"], r["run"], r["run_all"]) for r in got} == {("a", 1, 5, 7), ("a", 2, 7, 7), (None, 1, 7, 8), (None, 2, 8, 8)}
+
+
+def test_many_probabilities_and_large_brackets(spark, monkeypatch):
+    from colonnade.functions import quantiles
+
+    x = np.random.default_rng(11).normal(size=30_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [i / 100 for i in range(101)]
+    want = np.quantile(x, probs)
+    for limit in (quantiles.WINDOW_VALUES, 0):  # a window inside the brackets, then distributed running totals
+        monkeypatch.setattr(quantiles, "WINDOW_VALUES", limit)
+        got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs).collect()}
+        assert np.allclose([got[p] for p in probs], want, atol=1e-12)
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from colonnade.session import broadcast_if_small
+
+    small = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
+    assert "hint" in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in broadcast_if_small(small, size=5000)._jdf.queryExecution().logical().toString().lower()
