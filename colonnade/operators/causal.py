@@ -221,11 +221,11 @@ def compare_effects(att: DataFrame, ate: DataFrame) -> DataFrame:
     return union_tables([att.select(*keep), ate.select(*keep)])
 
 
-def subgroup_effects(matched: DataFrame, treatment: str, outcome: str, subgroup: str) -> DataFrame:
-    """Mean difference per subgroup (at most 10 levels, 3 per arm), pooled-variance errors, linear for every outcome type."""
-    levels = matched.where(ref(subgroup).isNotNull()).select(ref(subgroup)).distinct().limit(11).count()
-    if levels > 10:
-        raise ValueError("at most 10 subgroup levels")
+def subgroup_effects(matched: DataFrame, treatment: str, outcome: str, subgroup: str, max_levels: int = 10) -> DataFrame:
+    """Mean difference per subgroup (at most ``max_levels`` levels, 3 per arm), pooled-variance errors, linear for every outcome type."""
+    levels = matched.where(ref(subgroup).isNotNull()).select(ref(subgroup)).distinct().limit(max_levels + 1).count()
+    if levels > max_levels:
+        raise ValueError(f"at most {max_levels} subgroup levels")
     t, y = ref(treatment) == 1, ref(outcome).cast("double")
     a, b = F.when(t, y), F.when(~t, y)
     rows = matched.where(ref(subgroup).isNotNull()).groupBy(ref(subgroup).cast("string").alias("level")).agg(

@@ -18,9 +18,8 @@ from colonnade.functions.ordering import average_ranks, running_totals
 from colonnade.functions.quantiles import melt, quantile_columns
 from colonnade.functions.results import table_of
 from colonnade.operators.reshape import crosstab_long
-from colonnade.session import keep
+from colonnade.session import broadcast_if_small, keep
 
-MAX_GROUPS = 20
 SHAPIRO_MAX = 5000
 
 
@@ -424,9 +423,14 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     return one_sample_t(d, "difference", 0.0)
 
 
+def _complete(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Complete (g, v) rows."""
+    return normalise_missing(df.select(ref(group).cast("string").alias("g"), ref(value).cast("double").alias("v"))).dropna()
+
+
 def _groups(df: DataFrame, group: str, value: str, low: int, high: int) -> tuple[DataFrame, list[str]]:
     """Complete (g, v) rows and the sorted group names; their number is checked."""
-    rows = normalise_missing(df.select(ref(group).cast("string").alias("g"), ref(value).cast("double").alias("v"))).dropna()
+    rows = _complete(df, group, value)
     names = sorted(r["g"] for r in rows.select("g").distinct().limit(high + 1).collect())
     if not low <= len(names) <= high:
         raise ValueError(f"{group} must have {low} to {high} groups, found {len(names)}{'+' if len(names) > high else ''}")
@@ -434,12 +438,13 @@ def _groups(df: DataFrame, group: str, value: str, low: int, high: int) -> tuple
 
 
 def group_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
-    rows, _ = _groups(df, group, value, 1, MAX_GROUPS)
+    """Size, mean, deviation, variance and median of every group, however many."""
+    rows = _complete(df, group, value)
     stats = rows.groupBy("g").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("variance")
     )
     medians = quantile_columns(rows, ["v"], {"median": 0.5}, ["g"]).select("g", "median")
-    return stats.join(F.broadcast(medians), "g").withColumnRenamed("g", "group")
+    return stats.join(broadcast_if_small(medians), "g").withColumnRenamed("g", "group")
 
 
 def independent_t(df: DataFrame, group: str, value: str, equal_variances: bool = False) -> DataFrame:
@@ -493,22 +498,37 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    rows, names = _groups(df, group, value, 2, MAX_GROUPS)
-    s = _rank_sums(rows, names)
-    n = s["n"]
-    h = 12 / (n * (n + 1)) * sum(s[f"r{i}"] ** 2 / s[f"n{i}"] for i in range(len(names))) - 3 * (n + 1)
-    h /= 1 - s["ties"] / (float(n) ** 3 - n)
-    return table_of(df.sparkSession, [{
-        "groups": len(names), "n": n, "h": h, "df": len(names) - 1, "p_value": special.chi2_sf(h, len(names) - 1),
-    }])
-
-
-def _anova(stats: Sequence) -> dict:
-    n = sum(r["n"] for r in stats)
-    k = len(stats)
-    grand = sum(r["n"] * r["m"] for r in stats) / n
-    between = sum(r["n"] * (r["m"] - grand) ** 2 for r in stats)
-    within = sum((r["n"] - 1) * (r["s2"] or 0.0) for r in stats)
+    """Rank test of two or more groups; rank sums stay a table, so their number does not matter."""
+    cells = keep(_complete(df, group, value).groupBy("g", "v").agg(F.count("*").alias("c")))
+    totals = cells.groupBy("v").agg(F.sum("c").alias("t"))
+    ranks = average_ranks(totals, "v", "t").select("v", "t", "rank")
+    ties = totals.agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties")).first()["ties"]
+    sums = cells.join(ranks, "v").groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
+    s = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") ** 2 / F.col("n")).alias("q")).first()
+    k, n = s["k"], s["n"]
+    if k < 2:
+        raise ValueError(f"{group} must have at least 2 groups, found {k}")
+    h = (12 / (n * (n + 1)) * s["q"] - 3 * (n + 1)) / (1 - ties / (float(n) ** 3 - n))
+    return table_of(df.sparkSession, [{"groups": k, "n": n, "h": h, "df": k - 1, "p_value": special.chi2_sf(h, k - 1)}])
+
+
+def _moments_by_group(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2"))
+
+
+def _anova(rows: DataFrame) -> dict:
+    """Analysis of variance from the table of group moments, in two aggregates over it."""
+    stats = keep(_moments_by_group(rows))
+    whole = stats.agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand")).first()
+    n, k = whole["n"], whole["k"]
+    if k < 2:
+        raise ValueError(f"at least 2 groups are needed, found {k}")
+    sums = stats.agg(
+        F.sum(F.col("n") * (F.col("m") - F.lit(whole["grand"])) ** 2).alias("between"),
+        F.sum((F.col("n") - 1) * F.coalesce("s2", F.lit(0.0))).alias("within"),
+    ).first()
+    stats.unpersist()
+    between, within = sums["between"], sums["within"]
     f = (between / (k - 1)) / (within / (n - k))
     return {
         "groups": k, "n": n, "f": f, "df_between": k - 1, "df_within": n - k, "p_value": special.f_sf(f, k - 1, n - k),
@@ -516,23 +536,21 @@ def _anova(stats: Sequence) -> dict:
     }
 
 
-def _moments_by_group(rows: DataFrame) -> list:
-    return rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2")).orderBy("g").collect()
-
-
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way analysis of variance with eta squared, 2 to 20 groups."""
-    rows, _ = _groups(df, group, value, 2, MAX_GROUPS)
-    out = _anova(_moments_by_group(rows))
+    """One-way analysis of variance with eta squared, over any number of groups."""
+    out = _anova(_complete(df, group, value))
     out.pop("_mse")
     return table_of(df.sparkSession, [out])
 
 
-def tukey_hsd(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """All pairwise mean differences with studentised-range p-values and intervals (Tukey-Kramer)."""
-    rows, names = _groups(df, group, value, 2, 10)
-    stats = _moments_by_group(rows)
-    a = _anova(stats)
+def tukey_hsd(df: DataFrame, group: str, value: str, alpha: float = 0.05, max_groups: int = 10) -> DataFrame:
+    """All pairwise mean differences with studentised-range p-values and intervals (Tukey-Kramer).
+
+    The result has a row per pair of groups, which is what ``max_groups`` bounds.
+    """
+    rows, names = _groups(df, group, value, 2, max_groups)
+    stats = _moments_by_group(rows).orderBy("g").collect()
+    a = _anova(rows)
     low, high = 1.0, 50.0
     for _ in range(40):
         mid = (low + high) / 2
@@ -548,11 +566,11 @@ def tukey_hsd(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> Dat
 
 
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Median-centred Levene test of equal variances."""
-    rows, _ = _groups(df, group, value, 2, MAX_GROUPS)
+    """Median-centred Levene test of equal variances, over any number of groups."""
+    rows = _complete(df, group, value)
     medians = quantile_columns(rows, ["v"], {"median": 0.5}, ["g"]).select("g", "median")
-    spread = rows.join(F.broadcast(medians), "g").select("g", F.abs(F.col("v") - F.col("median")).alias("v"))
-    out = _anova(_moments_by_group(spread))
+    spread = rows.join(broadcast_if_small(medians), "g").select("g", F.abs(F.col("v") - F.col("median")).alias("v"))
+    out = _anova(spread)
     return table_of(df.sparkSession, [{
         "groups": out["groups"], "n": out["n"], "w": out["f"], "df_between": out["df_between"],
         "df_within": out["df_within"], "p_value": out["p_value"],
@@ -564,13 +582,13 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 MAX_LEVELS = 15
 
 
-def chi_square_cells(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Observed and expected count of every cell, empty ones too; at most 15 by 15 levels."""
+def chi_square_cells(df: DataFrame, a: str, b: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Observed and expected count of every cell, empty ones too; at most ``max_levels`` levels each."""
     rows = df.where(ref(a).isNotNull() & ref(b).isNotNull())
-    counts = crosstab_long(rows, a, b).limit(MAX_LEVELS**2 + 1).collect()
+    counts = crosstab_long(rows, a, b).limit(max_levels**2 + 1).collect()
     la, lb = sorted({r["a"] for r in counts}), sorted({r["b"] for r in counts})
-    if len(la) > MAX_LEVELS or len(lb) > MAX_LEVELS:
-        raise ValueError(f"at most {MAX_LEVELS} by {MAX_LEVELS} levels")
+    if len(la) > max_levels or len(lb) > max_levels:
+        raise ValueError(f"at most {max_levels} by {max_levels} levels")
     cell = {(r["a"], r["b"]): r["count"] for r in counts}
     n = sum(cell.values())
     ra = {x: sum(cell.get((x, y), 0) for y in lb) for x in la}
@@ -580,9 +598,9 @@ def chi_square_cells(df: DataFrame, a: str, b: str) -> DataFrame:
     ])
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+def chi_square(df: DataFrame, a: str, b: str, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Independence test with Cramer's V and the share of cells expected below 5; Yates correction on 2 by 2."""
-    cells = chi_square_cells(df, a, b).collect()
+    cells = chi_square_cells(df, a, b, max_levels).collect()
     rows, cols = len({c["a"] for c in cells}), len({c["b"] for c in cells})
     n = sum(c["observed"] for c in cells)
     dof = (rows - 1) * (cols - 1)

@@ -99,16 +99,16 @@ def risk_table(rows: DataFrame, times: Sequence[float], by: Sequence[str] = ())
     return out.select(*by, F.explode("_c").alias("_c")).select(*by, "_c.*")
 
 
-def _group_names(rows: DataFrame, group: str) -> list[str]:
-    found = rows.where(ref(group).isNotNull()).select(ref(group).cast("string").alias("g")).distinct().limit(MAX_GROUPS + 1).collect()
-    if not 2 <= len(found) <= MAX_GROUPS:
-        raise ValueError(f"{group} must have 2 to {MAX_GROUPS} groups")
+def _group_names(rows: DataFrame, group: str, most: int) -> list[str]:
+    found = rows.where(ref(group).isNotNull()).select(ref(group).cast("string").alias("g")).distinct().limit(most + 1).collect()
+    if not 2 <= len(found) <= most:
+        raise ValueError(f"{group} must have 2 to {most} groups")
     return sorted(r["g"] for r in found)
 
 
-def log_rank(rows: DataFrame, group: str) -> DataFrame:
-    """Log-rank test of two or more groups."""
-    names = _group_names(rows, group)
+def log_rank(rows: DataFrame, group: str, max_groups: int = MAX_GROUPS) -> DataFrame:
+    """Log-rank test of two or more groups; its covariance has a number per pair, which ``max_groups`` bounds."""
+    names = _group_names(rows, group, max_groups)
     k = len(names)
     g = ref(group).cast("string")
     counts = rows.where(g.isNotNull()).groupBy("t").agg(
