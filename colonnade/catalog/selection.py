@@ -115,6 +115,15 @@ def _(spark, sf):
     return rounded(rows.case_audit(dirty_lineitem(spark, sf), ["price", "quantity", "tax"]), "excluded_percent")
 
 
+@query("row_policy", f"""WITH d AS ({DIRTY_SQL}), c AS (SELECT count(*) AS n, count(CASE WHEN price IS NOT NULL AND tax IS NOT NULL THEN 1 END) AS k,
+    sum(CASE WHEN price IS NOT NULL AND tax IS NOT NULL THEN price END) AS total FROM d)
+    SELECT n AS source_rows, k AS model_rows, round(total, 2) AS price_total, round((n - k) * 100.0 / n, 6) AS excluded_percent, (n - k) * 100.0 / n > 30 AS warning FROM c""")
+def _(spark, sf):
+    frame, audit = rows.model_frame(dirty_lineitem(spark, sf), ["price", "tax"], "exclude")
+    return frame.agg(F.lit(audit["source_rows"]).cast("long").alias("source_rows"), F.count("*").alias("model_rows"), F.round(F.sum("price"), 2).alias("price_total"),
+                     F.round(F.lit(audit["excluded_percent"]), 6).alias("excluded_percent"), F.lit(audit["warning"]).alias("warning"))
+
+
 @query("split_accounting", """SELECT count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS train_rows,
     count(CASE WHEN o_orderkey % 5 = 0 THEN 1 END) AS test_rows, count(*) AS eligible_rows, true AS accounted FROM orders""")
 def _(spark, sf):

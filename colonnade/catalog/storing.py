@@ -4,11 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from colonnade.catalog.base import DUPED_SQL, TAILED_SQL, dirty_lineitem, duped_orders, query, table, tailed_orders
+from colonnade.catalog.base import DIRTY_LINEITEM, DIRTY_SQL, DUPED_SQL, TAILED_SQL, dirty_lineitem, duped_orders, query, table, tailed_orders
 from colonnade.catalog.profiling import rounded
 from colonnade.operators import impute, linear, reshape
 from colonnade.plans.cleaning import CleaningPlan
-from colonnade.plans.quality import quality_overview, quality_reports, recommendation_counts, recommendations
+from colonnade.plans.quality import html_report, quality_overview, quality_reports, recommendation_counts, recommendations
 from colonnade.session import shared_folder
 from colonnade.sources import readers, writers
 
@@ -169,3 +169,30 @@ def _(spark, sf):
     writers.write_csv(linear.coefficients(df, linear.fit_ols(df, "l_extendedprice", ["l_quantity", "l_discount"])), path)
     return readers.read_csv(spark, path).agg(F.count("*").alias("terms"))
 
+
+@query("imputed_copies", f"""WITH d AS ({TAILED_SQL}) SELECT i AS _imputation, count(*) AS n, count(*) FILTER (total IS NOT NULL) AS known, round(sum(total), 2) AS known_total
+    FROM d, (SELECT unnest(range(1, 6)) AS i) GROUP BY 1""")
+def _(spark, sf):
+    """Five imputed copies, written side by side and read back: complete, with every known value as it was."""
+    source = tailed_orders(spark, sf)
+    path = folder(spark, "imputed")
+    writers.write_imputations(impute.multiple_imputation(source, "o_orderkey", ["total", "wave"]), path)
+    stored = spark.read.parquet(path).where("total IS NOT NULL AND wave IS NOT NULL")
+    both = stored.join(source.select("o_orderkey", F.col("total").alias("was")), "o_orderkey")
+    kept = F.col("was").isNotNull() & (F.col("was") == F.col("total"))
+    return both.groupBy(F.col("_imputation").cast("long").alias("_imputation")).agg(
+        F.count("*").alias("n"), F.count_if(kept).alias("known"), F.round(F.sum(F.when(kept, F.col("total"))), 2).alias("known_total"))
+
+
+@query("quality_page", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER ({c} IS NULL) AS VARCHAR) AS missing_count FROM ({DIRTY_SQL})" for _, c in DIRTY_LINEITEM))
+def _(spark, sf):
+    """The HTML page of a quality analysis, written, read back and its missing-values table taken out of it again."""
+    path = folder(spark, "page")
+    page = html_report(dirty_lineitem(spark, sf), "Quality")
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.text(path)
+    back = spark.read.text(path, wholetext=True).select(F.lit(0).alias("page_id"), F.col("value").alias("html"))
+    cells = readers.extract_tables(back, "page_id", "html").persist()
+    mine = cells.where("row_no = 0 AND cells = array('column', 'missing_count', 'missing_percent')").select("table_no")
+    rows = cells.join(mine, "table_no").where("row_no > 0")
+    return rows.select(F.col("cells")[0].alias("column"), F.col("cells")[1].alias("missing_count"))
