@@ -66,8 +66,8 @@ def _sweep(k: int, caliper: float | None):
         cs = pdf[pdf["side"] == 0]
         pos, ps, free = cs["pos"].tolist(), cs["ps"].tolist(), cs["amount"].tolist()
         n = len(pos)
-        # Path-compressed links to the nearest index with free controls: up[i] <= i-1 side, down[i] >= i side.
-        up, down = list(range(-1, n)), list(range(n + 1))  # up is shifted by one: slot i+1 stands for index i
+        # Path-compressed links to the nearest index with free controls; up is shifted by one: slot i+1 stands for index i.
+        up, down = list(range(n + 1)), list(range(n + 1))
 
         def find(links, i):
             root = i
@@ -77,7 +77,6 @@ def _sweep(k: int, caliper: float | None):
                 links[i], i = root, links[i]
             return root
 
-        up = list(range(n + 1))
         for i in range(n):
             if free[i] <= 0:
                 up[i + 1], down[i] = i, i + 1

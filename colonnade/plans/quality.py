@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +99,3 @@ def causal_html_report(title: str, balance: DataFrame, effects: DataFrame, bound
     if bounds is not None:
         sections["Sensitivity bounds"] = bounds
     return render_html(title, sections)
-
-
-def report_names(reports: dict[str, DataFrame]) -> Sequence[str]:
-    return sorted(reports)
