@@ -29,7 +29,7 @@ from colonnade.session import materialise
 
 SHARD_NODES = 100_000
 LEAST_SHARDS = 4
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 16_384  # least queries in a block; blocks grow with the table up to the size of a shard
 DEGREE = 16
 BUILD_BEAM = 48
 SEARCH_BEAM = 48
@@ -167,13 +167,13 @@ class Graph:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, base=self.base, count=len(self.layers), **{f"m{i}": m for i, (m, _) in enumerate(self.layers)}, **{f"l{i}": x for i, (_, x) in enumerate(self.layers)})
+        np.savez(out, count=len(self.layers), **{f"m{i}": m for i, (m, _) in enumerate(self.layers)}, **{f"l{i}": x for i, (_, x) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Graph:
+    def load(cls, raw: bytes, base: np.ndarray) -> Graph:
         got = np.load(io.BytesIO(raw))
-        return cls(got["base"], [(got[f"m{i}"], got[f"l{i}"]) for i in range(int(got["count"]))])
+        return cls(base, [(got[f"m{i}"], got[f"l{i}"]) for i in range(int(got["count"]))])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> D
     """Rows (a, b, n): a link of a task's forest when n is null, else n rows linked to node a as one task counted them."""
     n = nodes.count()
     shards = max(LEAST_SHARDS, math.ceil(n / SHARD_NODES))
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    blocks = max(1, math.ceil(n / min(SHARD_NODES, max(QUERY_BLOCK, n // 64))))
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -269,7 +269,7 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> D
         vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
         ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.int64)
         own = queries["node"].to_numpy(np.int64)
-        q, v, _ = links_of(Graph.load(row["graph"]), vectors, np.array(queries["vector"].tolist(), dtype=np.float64), threshold)
+        q, v, _ = links_of(Graph.load(row["graph"], unit(vectors)), vectors, np.array(queries["vector"].tolist(), dtype=np.float64), threshold)
         other = own[q] != ids[v]
         q, v = q[other], v[other]
         total = np.bincount(q, weights=counts[v], minlength=len(own)).astype(np.int64)
