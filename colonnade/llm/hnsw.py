@@ -2,7 +2,8 @@
 
 Equal vectors are one node. Nodes are dealt to shards by hash; each shard builds its own layered graph (bounded by
 ``SHARD_NODES``), so shards are independent tasks. Every node then searches every shard, in blocks of queries. A beam that
-is full of links is widened until it also holds something that is no link. Each block audits itself: for a sample of its
+is full of links is widened until it also holds something that is no link; past a width, the query is compared with its
+whole shard, so no number of links is cut off. Each block audits itself: for a sample of its
 queries the links are also computed by brute force, and the beams of the whole block are doubled until the audited recall
 reaches the target. Every link is verified by the cosine in double precision. Tasks return link counts and a spanning
 forest of their links; components are united over the forests.
@@ -33,6 +34,8 @@ QUERY_BLOCK = 16_384  # least queries in a block; blocks grow with the table up
 DEGREE = 16
 BUILD_BEAM = 48
 SEARCH_BEAM = 48
+# A query whose links would need a wider beam than this is compared with every vector of the shard instead.
+WIDEST_BEAM = 1024
 TARGET_RECALL = 0.98
 AUDITED = 256
 BATCH = 256
@@ -196,6 +199,13 @@ def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold:
         found_q, found_v = [], []
         todo, width = np.arange(len(queries)), min(beam, len(vectors))
         while len(todo):
+            if width > WIDEST_BEAM:
+                size = max(1, 8_000_000 // len(vectors))
+                for lo in range(0, len(todo), size):
+                    r, c = np.nonzero(small[todo[lo : lo + size]] @ graph.base.T >= threshold - slack)
+                    found_q.append(todo[lo + r])
+                    found_v.append(c)
+                break
             again = []
             size = max(1, min(512, 32_000_000 // (len(vectors) + 1)))
             for lo in range(0, len(todo), size):
@@ -211,7 +221,7 @@ def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold:
         q, v = verified(np.concatenate(found_q), np.concatenate(found_v))
         linked = np.unique(q)
         audit = np.unique(np.concatenate([linked[:: max(1, len(linked) // (AUDITED // 2))], np.arange(0, len(queries), max(1, 2 * len(queries) // AUDITED))]))
-        true = small[audit] @ unit(vectors).T >= threshold - slack
+        true = small[audit] @ graph.base.T >= threshold - slack
         ti, tv = np.nonzero(true)
         tq, tv = verified(audit[ti], tv)
         have = np.isin(q, audit).sum()

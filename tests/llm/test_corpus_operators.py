@@ -272,6 +272,21 @@ def test_hnsw_against_brute_force(spark):
     assert hnsw.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_many_links_of_one_vector(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((300, 8)) + rng.normal(size=(300, 8)) * 0.02, rng.normal(size=(200, 8))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int(((u @ u.T) >= 0.9).sum())
+    graph = hnsw.Graph.build(hnsw.unit(x))
+    for widest in (10_000, 64):  # by wide beams alone, then by comparison with the whole shard
+        monkeypatch.setattr(hnsw, "WIDEST_BEAM", widest)
+        q, v, recall = hnsw.links_of(graph, x, x, 0.9)
+        assert len(set(zip(q.tolist(), v.tolist()))) == len(q) and recall >= 0.98
+        assert 0.98 * want <= len(q) <= want
+    again = hnsw.Graph.load(graph.dump(), graph.base)
+    assert len(hnsw.links_of(again, x, x, 0.9)[0]) == len(q)
+
+
 # pipeline
 
 
