@@ -2,8 +2,8 @@
 
 The patterns give the base spans of every whole text; they always stay. The random field labels the other tokens that
 hold a digit or an at sign (tokens without either are observed as no data). Neighbouring tokens share a chain potential;
-tokens of one document that repeat, or whose last seven digits agree, share a skip potential, however far apart they
-are. Sum-product messages run over this loopy graph, all documents of a batch at once, and tokens whose likeliest label
+tokens of one document that repeat, whose last seven digits agree, or that repeat the part of an address before its at
+sign, share a skip potential, however far apart they are. Sum-product messages run over this loopy graph, all documents of a batch at once, and tokens whose likeliest label
 is a kind become added spans. So a number that stands in full once is found again where it is written differently.
 
 Training is piecewise and closed-form: the base spans label the tokens of all documents, and the potentials of the
@@ -31,7 +31,7 @@ from colonnade.context import ref
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: no data
 SHAPES = 65_536
-SKIP_AGREE, SKIP_DIFFER = 2.5, -1.0
+SKIP_AGREE, SKIP_DIFFER = 4.0, -2.0
 ROUNDS = 10
 DAMPING = 0.5
 CLAMPED = 40.0
@@ -102,7 +102,7 @@ class Tokens:
     """The tokens with a digit or an at sign of one text: places, labels from base spans, neighbours, signatures."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
-        self.start, self.end, self.label, self.shape = [], [], [], []
+        self.start, self.end, self.label, self.shape, self.whole = [], [], [], [], []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         if not ACTIVE.search(text):
@@ -130,11 +130,15 @@ class Tokens:
             failed = inside is None and (14 <= len(digits) <= 19 and not luhn(digits) or IP.fullmatch(bare) is not None)
             self.label.append(0 if failed else -1 if inside is None else inside + 1)
             self.shape.append(shape(bare or token))
+            self.whole.append("@" in token or len(digits) >= 10)  # stands for itself, never part of a longer span
             if i and nth == last + 1:
                 self.chain.append((i - 1, i))
             last = nth
-            mark = f"@{bare.lower()}" if "@" in token else digits[-7:] if len(digits) >= 4 else bare if len(digits) >= 2 else ""
-            if mark:
+            if "@" in token:
+                marks = [bare.lower(), bare.lower().partition("@")[0]]
+            else:
+                marks = [digits[-7:] if len(digits) >= 4 else "", bare.lower() if len(digits) >= 2 else ""]
+            for mark in dict.fromkeys(m for m in marks if m):
                 if mark in seen:  # to the occurrence before only: a chain of equal tokens, not all their pairs
                     self.skip.append((seen[mark], i))
                 seen[mark] = i
@@ -227,7 +231,7 @@ def added_spans(found: list[Tokens], unary_log: np.ndarray, chain_log: np.ndarra
             kind = best[s + i] - 1
             if kind < 0:
                 continue
-            if spans and i in linked and best[s + i - 1] - 1 == kind:
+            if spans and i in linked and best[s + i - 1] - 1 == kind and not t.whole[i] and not t.whole[i - 1]:
                 spans[-1] = (spans[-1][0], kind, t.end[i])
             else:
                 spans.append((t.start[i], kind, t.end[i]))

@@ -142,6 +142,10 @@ def test_skip_chain_carries_labels(spark):
     start = text.rindex("555-7788")
     assert f"phone:{start}:{start + 8}" in got[1]["spans"].split(",")
     assert got[1]["n_phone"] == 1
+    mail = "write to jo.77@mail.example.com soon, jo.77 will answer"
+    other = by_id(pii.pii_report(documents(spark, [(2, mail, "en", "s"), *filler])))
+    assert f"email:{mail.rindex('jo.77')}:{mail.rindex('jo.77') + 5}" in other[2]["spans"].split(",")
+    assert all(r["n_added"] == 0 for i, r in other.items() if i >= 100)
     assert got[1]["base_sha256"] == hashlib.sha256(b"phone:5:22").hexdigest()
 
 
