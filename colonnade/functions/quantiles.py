@@ -41,8 +41,10 @@ def exact_quantiles(
     return quantiles_of_long(melt(df, cols, by), probs, [*by, "column"], bounded_groups=not by)
 
 
-# Distinct values inside one bracket that a single window orders; beyond, the running totals are spread over tasks.
+# Values inside the brackets of a column that a single window orders; beyond, the running totals are spread over tasks.
 WINDOW_VALUES = 500_000
+# Edges compared in generated code; longer lists are counted by a higher-order function.
+FEW_EDGES = 16
 
 
 def quantiles_of_long(
@@ -71,7 +73,10 @@ def quantiles_of_long(
     sketch = keep(sketch.select(*keys, "n", "_edges", inside.alias("_inside"), ranks.alias("_ranks")))
     side = F.broadcast(sketch) if bounded_groups else broadcast_if_small(sketch)
     cells = long.join(side.select(*keys, "_edges", "_inside"), keys)
-    below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
+    if 2 * k <= FEW_EDGES:
+        below = sum((F.coalesce((F.get("_edges", F.lit(i)) < F.col("value")).cast("int"), F.lit(0)) for i in range(2 * k)), F.lit(0))
+    else:
+        below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
     cells = cells.select(*keys, "value", below.alias("_i"), F.array_contains("_edges", F.col("value")).alias("_on"), "_inside")
     # A row belongs to one segment: on an edge, or between two. Only values inside brackets are told apart.
     wanted = ~F.col("_on") & F.coalesce(F.get("_inside", F.col("_i")), F.lit(False))
@@ -80,17 +85,13 @@ def quantiles_of_long(
         .groupBy(*keys, "_seg", "_v")
         .agg(F.count("*").alias("_c"), F.max("value").alias("_max"), F.min("value").alias("_min"))
     )
-    blocks = keep(blocks)
-    most = blocks.groupBy(*keys, "_seg").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
-    if most > WINDOW_VALUES:
+    # A bracket spans about twice the slack on either side of its rank.
+    largest = sketch.agg(F.max("n")).first()[0] or 0
+    if 4 * slack * k * largest > WINDOW_VALUES:
         placed = running_totals(blocks, ["_seg", "_v"], {"_c": "_end"}, keys)
     else:
-        segments = blocks.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_all"))
-        before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-        segments = segments.select(*keys, "_seg", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
-        order = W.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-        placed = blocks.withColumn("_end", F.sum("_c").over(order)).join(segments, [*keys, "_seg"])
-        placed = placed.withColumn("_end", F.col("_end") + F.col("_before"))
+        order = W.partitionBy(*keys).orderBy("_seg", "_v").rowsBetween(W.unboundedPreceding, 0)
+        placed = blocks.withColumn("_end", F.sum("_c").over(order))
     first = F.col("_end") - F.col("_c")
     hits = placed.join(side.select(*keys, "n", "_ranks"), keys).select(
         *keys, "n", "_v", "_min", "_max", first.alias("_first"), "_end", F.explode(
