@@ -1,8 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items become sequences of word hashes (runs of letters and digits, lower case). Items of L to 2L-1 words (L a
-power of two) are looked for in document windows of 3L/4 words at every multiple of L/4; an item offers its window at
-every offset, so some document window lines up with one of them wherever a copy begins. The CGK random walk writes out a
+Texts and items become sequences of word hashes (runs of letters and digits, lower case). Items of 3L/2 to 3L-1 words (L
+a power of two from 4 to ``WIDEST_BASE``, where the class has no upper end) are looked for in document windows of 3L/4
+words at every multiple of L/4; an item offers its window at every offset, so several document windows line up with some
+of them wherever a copy begins. Windows do not widen with long items: a key survives few edits, so its chance falls with
+the edits of its window, while a long copy has many windows and a fair share of them hold few. The CGK random walk writes out a
 window's words, staying at or leaving a word by a random bit of (step, word), which turns few edits into few Hamming
 differences. Each of ``ROUNDS`` repetitions walks anew and hashes ``SAMPLED`` sampled places of the walk into a key;
 equal keys make a candidate. Every candidate is verified by the exact edit distance of the whole item to the best
@@ -34,6 +36,7 @@ from colonnade.llm.langid import Letters, code_points
 
 ROUNDS = 16
 SAMPLED = 5
+WIDEST_BASE = 32
 PAIR_SHARE = 0.45
 MIN_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -89,6 +92,12 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, width: int, repetition: int
     return key
 
 
+def window_base(n: int) -> int:
+    """L of the windows for an item of n words: a copy holds three windows or more wherever it begins, from six words on."""
+    largest = lambda x: 1 << x.bit_length() - 1
+    return min(largest(n), WIDEST_BASE, max(4, largest(max(2 * n // 3, 1))))
+
+
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
@@ -98,8 +107,9 @@ class Items:
         self.ids, self.words, self.cuts = ids, words, cuts
         lengths = np.diff(cuts)
         self.classes = []
-        for base in sorted({1 << int(n).bit_length() - 1 for n in lengths if n}):
-            chosen = np.flatnonzero((lengths >= base) & (lengths < 2 * base))
+        bases = np.array([window_base(int(n)) if n else 0 for n in lengths])
+        for base in sorted({int(b) for b in bases if b}):
+            chosen = np.flatnonzero(bases == base)
             stride = max(base // 4, 1)
             width = max(base - stride, 1)
             item = np.concatenate([np.full(lengths[i] - width + 1, i) for i in chosen])
@@ -111,6 +121,8 @@ class Items:
                 tables.append((keys[order], item[order], offset[order]))
             self.classes.append((width, stride, tables))
         pairs = np.concatenate([pair_hashes(words[a:b]) for a, b in zip(cuts, cuts[1:])]) if len(texts) else np.zeros(0, np.uint64)
+        self.pair_cuts = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
+        self.pairs = pairs
         self.bits = max(16, int(16 * max(len(pairs), 1)).bit_length())
         self.gate = np.zeros(1 << self.bits, dtype=bool)
         self.gate[(pairs >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -118,6 +130,9 @@ class Items:
     def item(self, i: int) -> np.ndarray:
         return self.words[self.cuts[i] : self.cuts[i + 1]]
 
+    def item_pairs(self, i: int) -> np.ndarray:
+        return self.pairs[self.pair_cuts[i] : self.pair_cuts[i + 1]]
+
     def candidates(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (text number, item, first word of the presumed copy within the text)."""
         cuts = np.concatenate([[0], np.cumsum(counts)])
@@ -161,6 +176,7 @@ def leaks_of(texts: list[str], items: Items, min_similarity: float, first_only:
     """(text number, item, word at which the copy ends, edits): the best copy of each leaked item in each text."""
     words, counts = word_hashes(texts)
     cuts = np.concatenate([[0], np.cumsum(counts)])
+    doc_pairs = pair_hashes(words)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
     done: set[int] = set()
@@ -173,9 +189,16 @@ def leaks_of(texts: list[str], items: Items, min_similarity: float, first_only:
             continue
         tried.add((text, item, first // slack))
         lo = max((first // slack - 1) * slack, 0)
-        region = words[cuts[text] + lo : min(cuts[text] + (first // slack + 2) * slack + len(target), cuts[text + 1])]
-        edits, end = edits_within(target, region)
-        close = edits <= (1 - min_similarity) * len(target) + 1e-9
+        begin, stop = cuts[text] + lo, min(cuts[text] + (first // slack + 2) * slack + len(target), cuts[text + 1])
+        allowed = (1 - min_similarity) * len(target) + 1e-9
+        # An edit spoils at most two of the item's word pairs; a region that lacks more holds no copy.
+        held = doc_pairs[begin : max(stop - 1, begin)]
+        own = items.item_pairs(item)
+        here = (own[:, None] == held).any(axis=1) if own.size * held.size < 20_000 else np.isin(own, held)
+        if len(own) - np.count_nonzero(here) > 2 * allowed:
+            continue
+        edits, end = edits_within(target, words[begin:stop])
+        close = edits <= allowed
         if close and ((text, item) not in best or edits < best[text, item][0]):
             best[text, item] = (edits, lo + end)
             done.add(text)

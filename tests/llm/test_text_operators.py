@@ -270,6 +270,23 @@ def test_edited_copies_reach_the_target_recall(spark):
     assert found >= 0.95 * total > 0
 
 
+@pytest.mark.parametrize("length", [16, 32, 64, 128, 256, 512])
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_recall_does_not_fall_with_the_length_of_items(length, share):
+    rnd = random.Random(length)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(length)) for _ in range(40)]
+    items = decontaminate.Items(list(range(len(texts))), texts)
+    docs = []
+    for i, t in enumerate(texts):
+        words = t.split()
+        for nth, at in enumerate(sorted(rnd.sample(range(length), int(share * length + 1e-9)), reverse=True)):
+            kind = rnd.randrange(3) if i % 2 else 0
+            words[at : at + (kind != 2)] = [] if kind == 1 else [f"new{i}x{nth}"]
+        docs.append(" ".join([f"b{k}" for k in range(rnd.randrange(60))] + words + [f"a{k}" for k in range(30)]))
+    got = {(t, i) for t, i, *_ in decontaminate.leaks_of(docs, items, 0.8)}
+    assert sum((i, i) in got for i in range(len(texts))) >= 38
+
+
 def test_decontamination_defined_cases(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
     docs = awkward(spark).unionByName(documents(spark, [(77, "x alpha beta gamma delta epsilon zeta eta y", "en", "s")]))
