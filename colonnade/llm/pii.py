@@ -32,8 +32,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: no data
 SHAPES = 65_536
 SKIP_AGREE, SKIP_DIFFER = 4.0, -2.0
-ROUNDS = 10
+ROUNDS = 10  # at least; messages run on until they settle
+SETTLED = 1e-3
 DAMPING = 0.5
+UNEVIDENCED = 3.0  # odds that a repeated form is no data, as long as no mention says otherwise
 CLAMPED = 40.0
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,10 +106,11 @@ class Tokens:
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
         self.start, self.end, self.label, self.shape, self.whole = [], [], [], [], []
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.skip: list[tuple[int, int]] = []  # (mention, form that repeats)
+        self.forms = 0
         if not ACTIVE.search(text):
             return
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         k, last = 0, -1
         for nth, m in enumerate(TOKEN.finditer(text)):
             token = m[0]
@@ -139,9 +142,12 @@ class Tokens:
             else:
                 marks = [digits[-7:] if len(digits) >= 4 else "", bare.lower() if len(digits) >= 2 else ""]
             for mark in dict.fromkeys(m for m in marks if m):
-                if mark in seen:  # to the occurrence before only: a chain of equal tokens, not all their pairs
-                    self.skip.append((seen[mark], i))
-                seen[mark] = i
+                seen.setdefault(mark, []).append(i)
+        # Every mention is linked to the node of its form: any two are two edges apart, edges grow with the mentions.
+        for mentions in seen.values():
+            if len(mentions) > 1:
+                self.skip += [(i, self.forms) for i in mentions]
+                self.forms += 1
 
 
 def potentials(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +201,34 @@ def propagate(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: n
         out = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0]
         return out - out.max(axis=1, keepdims=True)
 
-    for _ in range(ROUNDS):
+    done, change = 0, np.inf
+    while done < ROUNDS or (change > SETTLED and done < ROUNDS + 2 * len(unary)):  # no path is longer than the nodes
         total = beliefs()
         new_forth = message(total[a] - back, table)
         new_back = message(total[b] - forth, table.transpose(0, 2, 1))
+        change = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
         forth = DAMPING * forth + (1 - DAMPING) * new_forth
         back = DAMPING * back + (1 - DAMPING) * new_back
+        done += 1
     return beliefs()
 
 
+def skip_tables(unary: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Log potential of (label of a mention, label of its form) per mention.
+
+    An observed mention speaks for its label. Any other one only listens: its table is the conditional probability of its
+    label given the form's, so mentions without evidence neither lift one another nor outvote one that has some.
+    """
+    skip = np.full((LABELS, LABELS), SKIP_DIFFER)
+    np.fill_diagonal(skip, SKIP_AGREE)
+    skip[0, 0] = 0.0
+    out = np.repeat(skip[None], len(unary), axis=0)
+    joint = out + unary[:, :, None]
+    top = joint.max(axis=1, keepdims=True)
+    out -= np.log(np.exp(joint - top).sum(axis=1, keepdims=True)) + top
+    return np.where(known[:, None, None], skip, out)
+
+
 def added_spans(found: list[Tokens], unary_log: np.ndarray, chain_log: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """Spans that the random field adds in each text."""
     sizes = [len(t.start) for t in found]
@@ -216,12 +241,18 @@ def added_spans(found: list[Tokens], unary_log: np.ndarray, chain_log: np.ndarra
     unary[known] = -CLAMPED
     unary[known, label[known]] = 0.0
     edges = [(i + s, j + s) for t, s in zip(found, shift) for i, j in t.chain]
-    kinds = [0] * len(edges)
-    skips = [(i + s, j + s) for t, s in zip(found, shift) for i, j in t.skip]
-    skip = np.full((LABELS, LABELS), SKIP_DIFFER)
-    np.fill_diagonal(skip, SKIP_AGREE)
-    skip[0, 0] = 0.0
-    belief = propagate(unary, np.array(edges + skips, dtype=np.int64).reshape(-1, 2), np.array(kinds + [1] * len(skips), dtype=np.int64), np.stack([chain_log, skip]))
+    forms = shift[-1] + np.concatenate([[0], np.cumsum([t.forms for t in found])])
+    skips = [(i + s, j + f) for t, s, f in zip(found, shift, forms) for i, j in t.skip]
+    mention = np.array([i for i, _ in skips], dtype=np.int64)
+    tables = np.concatenate([chain_log[None], skip_tables(unary[mention], known[mention])])
+    form = np.zeros((forms[-1] - forms[0], LABELS))
+    form[:, 1:] = -UNEVIDENCED
+    belief = propagate(
+        np.concatenate([unary, form]),
+        np.array(edges + skips, dtype=np.int64).reshape(-1, 2),
+        np.concatenate([np.zeros(len(edges), dtype=np.int64), 1 + np.arange(len(skips))]),
+        tables,
+    )[: shift[-1]]
     best = np.where(known, 0, belief.argmax(axis=1))
     out = []
     for t, s in zip(found, shift):

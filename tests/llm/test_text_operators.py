@@ -149,6 +149,13 @@ def test_skip_chain_carries_labels(spark):
     assert got[1]["base_sha256"] == hashlib.sha256(b"phone:5:22").hexdigest()
 
 
+def test_skip_evidence_settles_whatever_the_distance():
+    text = "write to jo.77@mail.example.com soon" + " and jo.77 will answer" * 100
+    unary = np.repeat(np.array([[0.0], *[[-3.2]] * 4]), pii.SHAPES, axis=1)
+    found = [pii.Tokens(text, pii.base_spans(text)), pii.Tokens(bare := "see" + " item jo.77 again" * 100, pii.base_spans(bare))]
+    assert [len(s) for s in pii.added_spans(found, unary, np.zeros((5, 5)))] == [100, 0]
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     unary = rng.normal(size=(3, pii.LABELS))
