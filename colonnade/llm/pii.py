@@ -3,7 +3,7 @@
 The patterns give the base spans of every whole text; they always stay. The random field labels the other tokens that
 hold a digit or an at sign (tokens without either are observed as no data). Neighbouring tokens share a chain potential;
 tokens of one document that repeat, whose last seven digits agree, or that repeat the part of an address before its at
-sign, share a skip potential, however far apart they are. Sum-product messages run over this loopy graph, all documents of a batch at once, and tokens whose likeliest label
+sign, share a skip potential with a node of that form, however far apart they are. Sum-product messages run over this loopy graph, all documents of a batch at once, and tokens whose likeliest label
 is a kind become added spans. So a number that stands in full once is found again where it is written differently.
 
 Training is piecewise and closed-form: the base spans label the tokens of all documents, and the potentials of the
@@ -35,7 +35,11 @@ SKIP_AGREE, SKIP_DIFFER = 4.0, -2.0
 ROUNDS = 10  # at least; messages run on until they settle
 SETTLED = 1e-3
 DAMPING = 0.5
+# Odds against a kind beyond those of a shape without any count say how often the shape is unlabelled in the corpus, not
+# what this mention is. Skip evidence makes up for what exceeds them.
+UNSEEN_ODDS = float(np.log(1.0 / 0.05))
 UNEVIDENCED = 3.0  # odds that a repeated form is no data, as long as no mention says otherwise
+CHAIN_LEAST = -1.0
 CLAMPED = 40.0
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -223,6 +227,8 @@ def skip_tables(unary: np.ndarray, known: np.ndarray) -> np.ndarray:
     np.fill_diagonal(skip, SKIP_AGREE)
     skip[0, 0] = 0.0
     out = np.repeat(skip[None], len(unary), axis=0)
+    beyond = np.maximum(unary[:, :1] - unary - UNSEEN_ODDS, 0.0)
+    out += np.eye(LABELS)[None] * beyond[:, :, None]
     joint = out + unary[:, :, None]
     top = joint.max(axis=1, keepdims=True)
     out -= np.log(np.exp(joint - top).sum(axis=1, keepdims=True)) + top
@@ -244,7 +250,7 @@ def added_spans(found: list[Tokens], unary_log: np.ndarray, chain_log: np.ndarra
     forms = shift[-1] + np.concatenate([[0], np.cumsum([t.forms for t in found])])
     skips = [(i + s, j + f) for t, s, f in zip(found, shift, forms) for i, j in t.skip]
     mention = np.array([i for i, _ in skips], dtype=np.int64)
-    tables = np.concatenate([chain_log[None], skip_tables(unary[mention], known[mention])])
+    tables = np.concatenate([np.maximum(chain_log, CHAIN_LEAST)[None], skip_tables(unary[mention], known[mention])])
     form = np.zeros((forms[-1] - forms[0], LABELS))
     form[:, 1:] = -UNEVIDENCED
     belief = propagate(

@@ -156,6 +156,25 @@ def test_skip_evidence_settles_whatever_the_distance():
     assert [len(s) for s in pii.added_spans(found, unary, np.zeros((5, 5)))] == [100, 0]
 
 
+def test_skip_evidence_reaches_every_mention(spark):
+    filler = [(100 + i, f"call +1 (743) 555-{1000 + i} now", "en", "s") for i in range(20)]
+    mail = "write to jo.77@mail.example.com soon" + " and jo.77 will answer" * 100
+    bare = "see" + " item jo.77 again" * 100
+    got = by_id(pii.pii_report(documents(spark, [(1, mail, "en", "s"), (2, bare, "en", "s"), *filler])))
+    assert got[1]["n_added"] == 100
+    assert got[2]["n_added"] == 0  # mentions that nothing speaks for do not lift one another
+
+
+@pytest.mark.parametrize("others", [20, 20_000])
+def test_skip_evidence_keeps_its_weight_in_a_large_corpus(spark, others):
+    filler = [(100 + i, f"call +1 (743) 555-{1000 + i} now", "en", "s") for i in range(20)]
+    common = [(1000 + i, f"see item ab.{10 + i % 90} there", "en", "s") for i in range(others)]
+    mail = "write to jo.77@mail.example.com soon, jo.77 will answer"
+    got = by_id(pii.pii_report(documents(spark, [(1, mail, "en", "s"), *filler, *common])))
+    assert f"email:{mail.rindex('jo.77')}:{mail.rindex('jo.77') + 5}" in got[1]["spans"].split(",")
+    assert sum(r["n_added"] for r in got.values()) == 1
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     unary = rng.normal(size=(3, pii.LABELS))
