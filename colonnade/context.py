@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,18 @@ def ref(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def free_names(taken: Iterable[str], *stems: str) -> list[str]:
+    """Each stem, lengthened until no column of ``taken`` bears it (case does not matter)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for stem in stems:
+        while stem.lower() in used:
+            stem += "_"
+        used.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colonnade.context import ref
+from colonnade.context import free_names, ref
 from colonnade.session import materialise
 
 
@@ -36,36 +36,40 @@ def running_totals(
     by = list(by)
     keys = [(o.lstrip("-"), o.startswith("-")) for o in order]
     sort = [_sort_column(k, d) for k, d in keys]
+    names = list(sums.values())
+    # Columns of its own, under names that neither the frame nor the results bear.
+    here, there, *rest = free_names([*df.columns, *names], "_range", "_at", *[f"_{k}{i}" for k in ("run", "tot", "off") for i in range(len(names))], *[f"_by{i}" for i in range(len(by))])
+    run, tot, off = (rest[k * len(names) : (k + 1) * len(names)] for k in range(3))
+    groups = rest[3 * len(names) :]
     ranged = df.repartitionByRange(*[ref(b).asc() for b in by], *sort)
-    ranged = materialise(ranged.withColumn("_range", F.spark_partition_id()))
-    inside = W.partitionBy("_range", *by).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(ref(s)).over(inside).alias(f"_run_{n}") for s, n in sums.items()])
-    totals = ranged.groupBy("_range", *by).agg(*[F.sum(ref(s)).alias(f"_tot_{n}") for s, n in sums.items()])
-    # At most one row per range and group it touches; the constant key only names the ungrouped case.
-    groups = by or [F.lit(0)]
-    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*groups)
-    extra = [F.sum(f"_tot_{n}").over(whole).alias(f"{n}_all") for n in sums.values()] if grand else []
-    offsets = totals.select(
-        F.col("_range").alias("_at"), *[ref(b).alias(f"_by_{i}") for i, b in enumerate(by)], *[F.sum(f"_tot_{n}").over(before).alias(f"_off_{n}") for n in sums.values()], *extra
+    ranged = materialise(ranged.withColumn(here, F.spark_partition_id()))
+    inside = W.partitionBy(here, *[ref(b) for b in by]).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(ref(s)).over(inside).alias(r) for s, r in zip(sums, run, strict=True)])
+    totals = ranged.groupBy(here, *[ref(b).alias(g) for b, g in zip(by, groups, strict=True)]).agg(
+        *[F.sum(ref(s)).alias(t) for s, t in zip(sums, tot, strict=True)]
     )
-    same = F.col("_range") == F.col("_at")
-    for i, b in enumerate(by):
-        same = same & ref(b).eqNullSafe(F.col(f"_by_{i}"))  # rows without a group are a group of their own
+    # At most one row per range and group it touches; the constant key only names the ungrouped case.
+    keyed = groups or [F.lit(0)]
+    before = W.partitionBy(*keyed).orderBy(here).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keyed)
+    extra = [F.sum(t).over(whole).alias(f"{n}_all") for t, n in zip(tot, names, strict=True)] if grand else []
+    offsets = totals.select(F.col(here).alias(there), *groups, *[F.sum(t).over(before).alias(o) for t, o in zip(tot, off, strict=True)], *extra)
+    same = F.col(here) == F.col(there)
+    for b, g in zip(by, groups, strict=True):
+        same = same & ref(b).eqNullSafe(F.col(g))  # rows without a group are a group of their own
     joined = local.join(offsets, same)
-    out = [F.col(f"_run_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in sums.values()]
-    grand_cols = [f"{n}_all" for n in sums.values()] if grand else []
-    return joined.select(
-        *[ref(c) for c in df.columns], *[c.alias(n) for c, n in zip(out, sums.values(), strict=True)], *grand_cols
-    )
+    out = [(F.col(r) + F.coalesce(F.col(o), F.lit(0))).alias(n) for r, o, n in zip(run, off, names, strict=True)]
+    return joined.select(*[ref(c) for c in df.columns], *out, *([f"{n}_all" for n in names] if grand else []))
 
 
 def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position") -> DataFrame:
     """1-based position of each row in ``order`` (which must identify a row within its group)."""
-    return running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {"_one": name}, by).drop("_one")
+    (one,) = free_names([*df.columns, name], "_one")
+    return running_totals(df.withColumn(one, F.lit(1).cast("long")), order, {one: name}, by).drop(one)
 
 
 def average_ranks(counts: DataFrame, value: str, count: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-averaged rank of each distinct value: adds ``rank``. ``counts`` holds one row per (by, value)."""
-    ranked = running_totals(counts, [value], {count: "_upto"}, by)
-    return ranked.withColumn("rank", F.col("_upto") - (ref(count) - 1) / 2).drop("_upto")
+    (upto,) = free_names([*counts.columns, "rank"], "_upto")
+    ranked = running_totals(counts, [value], {count: upto}, by)
+    return ranked.withColumn("rank", F.col(upto) - (ref(count) - 1) / 2).drop(upto)

@@ -107,3 +107,16 @@ def test_broadcast_is_bounded_by_bytes(spark):
     small = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
     assert "hint" in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in broadcast_if_small(small, size=5000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_running_totals_beside_columns_of_the_same_names(spark):
+    names = ["_at", "_range", "_run0", "_tot0", "_off0", "_by0", "_one", "_upto"]
+    df = spark.createDataFrame([(k % 3 if k % 7 else None, k, 1.0, *[f"{n}{k}" for n in names]) for k in range(60)], f"g long, k long, v double, {', '.join(f'{n} string' for n in names)}")
+    got = running_totals(df, ["k"], {"v": "upto"}, ["g"], grand=True)
+    assert got.columns == [*df.columns, "upto", "upto_all"]
+    groups = {}
+    for r in sorted(got.collect(), key=lambda r: r["k"]):
+        groups[r["g"]] = groups.get(r["g"], 0) + 1
+        assert r["upto"] == groups[r["g"]] and r["_at"] == f"_at{r['k']}"
+    assert {r["g"]: r["upto_all"] for r in got.collect()} == groups
+    assert sorted(r["position"] for r in positions(df, ["k"]).collect()) == list(range(1, 61))
