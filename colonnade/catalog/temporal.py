@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colonnade.catalog.base import query, table
 from colonnade.catalog.profiling import rounded
+from colonnade.operators import sarima
 from colonnade.operators import timeseries as ts
 
 M = """WITH m AS (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1),
@@ -186,3 +187,50 @@ def _(spark, sf):
 def _(spark, sf):
     models, base, inno = ts.fit_arima(many_series(spark, sf), "o_orderpriority", "m", "v", d=1, order=(1, 1))
     return ts.forecast_arima(models, base, inno, 12)
+
+
+BY_PRIORITY = """WITH m AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1, 2),
+    s AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY m) AS t, v AS y FROM m),
+    dz AS (SELECT series, t, y - lag(y) OVER (PARTITION BY series ORDER BY t) AS dy FROM s),
+    k AS (SELECT series, t % 12 AS k, count(*) AS n, avg(dy) AS mu, var_pop(dy) * count(*) AS ss FROM dz WHERE dy IS NOT NULL GROUP BY 1, 2),
+    g AS (SELECT series, sum(n) AS n, sum(ss) AS wss, sum(n * mu * mu) - sum(n * mu) * sum(n * mu) / sum(n) AS bss FROM k GROUP BY 1),
+    r AS (SELECT series, CASE WHEN n > 24 THEN 1 - (wss / (n - 12)) / ((wss + bss) / (n - 1)) END AS share FROM g),
+    u AS (SELECT series, t, CASE WHEN share > 0.64 THEN y - lag(y, 12) OVER (PARTITION BY series ORDER BY t) ELSE y END AS u FROM s JOIN r USING (series)),
+    v AS (SELECT series, t, u, lag(u) OVER w AS u1, lag(u, 2) OVER w AS u2 FROM u WHERE u IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY t)),
+    l AS (SELECT series, t, 0 AS d, u AS v FROM v UNION ALL SELECT series, t, 1, u - u1 FROM v UNION ALL SELECT series, t, 2, u - 2 * u1 + u2 FROM v),
+    c AS (SELECT series, d, t, v - avg(v) OVER (PARTITION BY series, d) AS e, count(*) OVER (PARTITION BY series, d) AS n FROM l WHERE v IS NOT NULL),
+    p AS (SELECT *, sum(e) OVER (PARTITION BY series, d ORDER BY t) AS s, floor(3 * sqrt(n) / 13) AS lags FROM c),
+    f AS (SELECT a.series, a.d, sum((1 - abs(a.t - b.t) / (a.lags + 1)) * a.e * b.e) AS lr FROM p a JOIN p b ON a.series = b.series AND a.d = b.d AND abs(a.t - b.t) <= a.lags GROUP BY 1, 2),
+    q AS (SELECT series, d, sum(s * s) / max(n) / max(lr) AS kpss FROM p JOIN f USING (series, d) GROUP BY 1, 2),
+    h AS (SELECT series, max(kpss) FILTER (d = 0) AS k0, max(kpss) FILTER (d = 1) AS k1, max(kpss) FILTER (d = 2) AS k2 FROM q GROUP BY 1),
+    o AS (SELECT series, share, CASE WHEN share > 0.64 THEN 1 ELSE 0 END AS seasonal, k0, k1, k2, CASE WHEN k0 < 0.463 THEN 0 WHEN k1 < 0.463 THEN 1 ELSE 2 END AS d FROM h JOIN r USING (series))"""
+
+
+@query("sarima_unit_roots", BY_PRIORITY + """ SELECT series, round(share, 8) AS share, seasonal AS sd, round(k0, 7) AS kpss_0, round(k1, 7) AS kpss_1, round(k2, 7) AS kpss_2, d FROM o""")
+def _(spark, sf):
+    base = sarima.numbered(many_series(spark, sf), "o_orderpriority", "m", "v")
+    out = sarima.unit_roots(base, 12)[0]
+    return rounded(rounded(out, "share", digits=8), "kpss_0", "kpss_1", "kpss_2", digits=7)
+
+
+@query("sarima_ar_orders", BY_PRIORITY + """, w AS (SELECT series, t, v - CASE WHEN o.d + seasonal < 2 THEN avg(v) OVER (PARTITION BY series) ELSE 0 END AS v, o.d + seasonal < 2 AS mean
+        FROM l JOIN o USING (series, d) WHERE v IS NOT NULL),
+    z AS (SELECT series, mean, v, coalesce(lag(v) OVER x, 0) AS a, coalesce(lag(v, 2) OVER x, 0) AS b FROM w WINDOW x AS (PARTITION BY series ORDER BY t)),
+    t2 AS (SELECT series, count(*) AS n, CAST(any_value(mean) AS INT) + 1 AS k, sum(v * v) AS vv, sum(v * a) AS va, sum(v * b) AS vb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM z GROUP BY 1),
+    rs AS (SELECT series, n, k, 0 AS p, vv AS rss FROM t2 UNION ALL SELECT series, n, k, 1, vv - va * va / aa FROM t2
+        UNION ALL SELECT series, n, k, 2, vv - (va * (va * bb - vb * ab) + vb * (vb * aa - va * ab)) / (aa * bb - ab * ab) FROM t2)
+    SELECT series, p, n, round(rss / n, 4) AS sigma2, round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 2 * (k + p), 6) AS aic FROM rs""")
+def _(spark, sf):
+    out, _ = sarima.fit_sarima(many_series(spark, sf), "o_orderpriority", "m", "v", 12, max_p=2, max_q=0, max_sp=0, max_sq=0, every_order=True)
+    return rounded(rounded(out.select("series", "p", "n", "sigma2", "aic"), "sigma2", digits=4), "aic", digits=6)
+
+
+@query("sarima_orders")
+def _(spark, sf):
+    return sarima.fit_sarima(many_series(spark, sf), "o_orderpriority", "m", "v", 12)[0]
+
+
+@query("sarima_forecast")
+def _(spark, sf):
+    models, base = sarima.fit_sarima(many_series(spark, sf), "o_orderpriority", "m", "v", 12)
+    return sarima.forecast_sarima(models, base, 12)
