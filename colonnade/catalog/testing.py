@@ -68,6 +68,19 @@ def _(spark, sf):
     return rounded(h.kendall(table(spark, sf, "customer"), "c_acctbal", "c_custkey").select("n", "r"), "r", digits=8)
 
 
+@query("correlation_test_kendall", """WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS c FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2.0 AS s FROM c a, c b), t AS (SELECT CAST(sum(c) AS DOUBLE) AS n FROM c),
+    tx AS (SELECT sum(t * (t - 1)) AS v, sum(t * (t - 1) * (t - 2)) AS z, sum(t * (t - 1) * (2 * t + 5)) AS u FROM (SELECT CAST(sum(c) AS DOUBLE) AS t FROM c GROUP BY x)),
+    ty AS (SELECT sum(t * (t - 1)) AS v, sum(t * (t - 1) * (t - 2)) AS z, sum(t * (t - 1) * (2 * t + 5)) AS u FROM (SELECT CAST(sum(c) AS DOUBLE) AS t FROM c GROUP BY y)),
+    z AS (SELECT n, s / (sqrt((n * (n - 1) - tx.v) / 2) * sqrt((n * (n - 1) - ty.v) / 2)) AS r,
+          abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - tx.u - ty.u) / 18 + tx.v * ty.v / (2 * n * (n - 1)) + tx.z * ty.z / (9 * n * (n - 1) * (n - 2))) / sqrt(2) AS h FROM s, t, tx, ty)
+    SELECT 'kendall' AS method, CAST(n AS BIGINT) AS n, round(r, 8) AS r,
+           round(1 - 2 / sqrt(pi()) * (SELECT sum((-1) ** k * h ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) FROM range(0, 80) g(k)), 7) AS p_value FROM z""")
+def _(spark, sf):
+    out = h.correlation_test(table(spark, sf, "lineitem"), "l_quantity", "l_discount", "kendall")
+    return rounded(rounded(out.select("method", "n", "r", "p_value"), "r", digits=8), "p_value", digits=7)
+
+
 @query("correlation_test_pearson", """SELECT 'pearson' AS method, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r,
     round(tanh(atanh(corr(l_quantity, l_extendedprice)) - 1.959963984540054 / sqrt(count(*) - 3)), 6) AS ci_low,
     round(tanh(atanh(corr(l_quantity, l_extendedprice)) + 1.959963984540054 / sqrt(count(*) - 3)), 6) AS ci_high FROM lineitem""")

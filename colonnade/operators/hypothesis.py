@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from colonnade.context import normalise_missing, numeric_columns, ref
 from colonnade.functions import special
 from colonnade.functions.expressions import skew_adjusted
+from colonnade.functions.dominance import signed_pairs
 from colonnade.functions.ordering import average_ranks, running_totals
 from colonnade.functions.quantiles import melt, quantile_columns
 from colonnade.functions.results import table_of
@@ -70,49 +71,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-KENDALL_BUCKETS = 1024
-KENDALL_BUCKET_POINTS = 20_000
-
-
-def _balance(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> float:
-    """Sum over pairs of w (smaller x) times c (larger x) times the sign of (dx*dy); ties count zero."""
-    order = np.lexsort((y, x))
-    x, y, c, w = x[order], y[order], c[order].astype(float), w[order].astype(float)
-    y = np.unique(y, return_inverse=True)[1]
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    ends = np.r_[starts[1:], len(x)]
-    tree = np.zeros(int(y.max()) + 2)
-    size = len(tree) - 1
-    total, seen = 0.0, 0.0
-
-    def upto(i: int) -> float:
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    for s, e in zip(starts, ends, strict=True):
-        for i in range(s, e):
-            below = upto(int(y[i]))
-            total += c[i] * (below - (seen - upto(int(y[i]) + 1)))
-        for i in range(s, e):
-            j = int(y[i]) + 1
-            while j <= size:
-                tree[j] += w[i]
-                j += j & -j
-            seen += w[i]
-    return total
-
-
 def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Kendall tau-b over the complete pairs without comparing all pairs.
-
-    Both axes are cut into ranges of the distinct points. Pairs that differ in both ranges are decided by the counts
-    per cell (at most four times ``buckets`` squared rows); pairs inside one x range, and pairs inside one y range but different
-    x ranges, are counted within that range. A boundary value forms a range of its own, where every pair is a tie,
-    so a hot value adds no work: a task holds about 1/buckets of the distinct points.
-    """
+    """Kendall tau-b over the complete pairs without comparing all pairs; ``buckets`` asks for about so many ranges."""
     points = keep(_pairs(df, x, y).groupBy("x", "y").agg(F.count("*").alias("c")))
     s = pair_balance(points.withColumn("w", F.col("c")), buckets)
 
@@ -132,68 +92,10 @@ def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFr
 
 
 def pair_balance(points: DataFrame, buckets: int | None = None) -> DataFrame:
-    """One row ``s``: over all pairs, w of the one with smaller x times c of the other, signed by dy.
-
-    ``points`` holds unique (x, y) with the weights c and w. See ``kendall`` for how pairs are split over tasks.
-    """
+    """One row ``s``: over all pairs of ``points`` (x, y, c, w), w of the one with smaller x times c of the other, signed by dy."""
     if buckets is None:
-        buckets = max(1, min(KENDALL_BUCKETS, points.count() // KENDALL_BUCKET_POINTS))
-    cut_x, cut_y = [], []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = points.agg(
-            F.percentile_approx("x", probs, 4 * buckets).alias("xs"), F.percentile_approx("y", probs, 4 * buckets).alias("ys")
-        ).first()
-        cut_x, cut_y = sorted(set(cuts["xs"] or [])), sorted(set(cuts["ys"] or []))
-    coded = points.select("x", "y", "c", "w", _range_code("x", cut_x).alias("bx"), _range_code("y", cut_y).alias("by"))
-    coded = keep(coded)
-
-    def count_group(same_y: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            xs = pdf["bx"].to_numpy() if same_y else pdf["x"].to_numpy()
-            return pd.DataFrame({"s": [_balance(xs, pdf["y"].to_numpy(), pdf["c"].to_numpy(), pdf["w"].to_numpy())]})
-
-        return run
-
-    # Even codes hold a single boundary value: all pairs inside are ties.
-    in_x = coded.where("bx % 2 = 1").groupBy("bx").applyInPandas(count_group(False), "s double")
-    in_y = coded.where("by % 2 = 1").groupBy("by").applyInPandas(count_group(True), "s double")
-    cells = coded.groupBy("bx", "by").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
-    cells = cells.withColumnRenamed("bx", "x").withColumnRenamed("by", "y")
-
-    def count_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pdf[k].to_numpy() for k in ("x", "y", "c", "w")]
-        return pd.DataFrame({"s": [_balance(*parts)]})
-
-    across = cells.groupBy().applyInPandas(count_cells, "s double")
-    return in_x.unionAll(in_y).unionAll(across).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
-
-
-def _range_code(col: str, cuts: list[float]) -> Column:
-    """2*i for the i-th boundary value itself, odd codes between boundaries; binary search as nested CASEs."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(2 * lo + 1)
-        mid = (lo + hi) // 2
-        cut = F.lit(float(cuts[mid]))
-        return (
-            F.when(ref(col) == cut, 2 * mid + 2).when(ref(col) < cut, search(lo, mid)).otherwise(search(mid + 1, hi))
-        )
-
-    return search(0, len(cuts)) if len(cuts) <= 64 else _coded(col, cuts)
-
-
-def _coded(col: str, cuts: list[float]) -> Column:
-    edges = np.array(cuts)
-
-    @F.pandas_udf("int")
-    def code(v: pd.Series) -> pd.Series:
-        i = np.searchsorted(edges, v.to_numpy(), side="left")
-        hit = (i < len(edges)) & (edges[np.minimum(i, len(edges) - 1)] == v.to_numpy())
-        return pd.Series(np.where(hit, 2 * i + 2, 2 * i + 1).astype("int32"))
-
-    return code(ref(col))
+        return signed_pairs(points)
+    return signed_pairs(points, max(1, -(-points.count() // buckets)))
 
 
 def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:

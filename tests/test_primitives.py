@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colonnade.functions import special
+from colonnade.functions import dominance, special
 from colonnade.functions.neighbors import knn_join
 from colonnade.functions.ordering import average_ranks, positions, running_totals
 from colonnade.functions.quantiles import exact_quantiles
@@ -120,3 +120,26 @@ def test_running_totals_beside_columns_of_the_same_names(spark):
         assert r["upto"] == groups[r["g"]] and r["_at"] == f"_at{r['k']}"
     assert {r["g"]: r["upto_all"] for r in got.collect()} == groups
     assert sorted(r["position"] for r in positions(df, ["k"]).collect()) == list(range(1, 61))
+
+
+def plain_balance(x, y, c, w):
+    return sum(w[i] * c[j] * np.sign(y[j] - y[i]) for i in range(len(x)) for j in range(len(x)) if x[i] < x[j])
+
+
+@pytest.mark.parametrize("range_points", [1, 3, 40, 1000])
+def test_signed_pairs_against_all_pairs(spark, range_points):
+    rng = np.random.default_rng(range_points)
+    pts = pd.DataFrame({"x": rng.integers(0, 12, 150), "y": np.where(rng.random(150) < 0.4, 5, rng.integers(0, 30, 150))}).drop_duplicates()
+    pts["c"], pts["w"] = rng.integers(1, 5, len(pts)), rng.integers(0, 4, len(pts))
+    got = dominance.signed_pairs(spark.createDataFrame(pts), range_points).first()["s"]
+    args = [pts[k].to_numpy() for k in ("x", "y", "c", "w")]
+    assert got == plain_balance(*args) == dominance.balance(*args)
+
+
+def test_signed_pairs_of_a_million_points_in_small_tasks(spark):
+    rows = spark.range(1_000_000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST((id * 48271) % 2147483647 AS DOUBLE) AS y", "1 AS c", "1 AS w")
+    got = dominance.signed_pairs(rows, 5_000).first()["s"]
+    x = np.arange(1_000_000)
+    y = x * 48271 % 2147483647
+    assert got == dominance.balance(x, y, np.ones(len(x)), np.ones(len(x)))
+    assert dominance.signed_pairs(rows.limit(0)).first()["s"] == 0
