@@ -107,6 +107,32 @@ def _(spark, sf):
     return s.tied_events(fine(spark, sf))
 
 
+def newton_cox(rows, steps=7):
+    """SQL of ``rows`` (t, e, x, s): Newton steps of Efron's partial likelihood with one predictor and strata, unrolled."""
+    out = f"c AS (SELECT s, t, x, count(*) AS n, sum(e) AS ev FROM ({rows}) GROUP BY ALL), b0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS h)"
+    for k in range(steps):
+        out += f""",
+    w{k} AS (SELECT s, t, sum(n * exp(b * x)) AS q0, sum(n * exp(b * x) * x) AS q1, sum(n * exp(b * x) * x * x) AS q2, sum(ev) AS d, sum(ev * x) AS z,
+        sum(ev * exp(b * x)) AS d0, sum(ev * exp(b * x) * x) AS d1, sum(ev * exp(b * x) * x * x) AS d2 FROM c, b{k} GROUP BY 1, 2),
+    r{k} AS (SELECT *, sum(q0) OVER o AS r0, sum(q1) OVER o AS r1, sum(q2) OVER o AS r2 FROM w{k} WINDOW o AS (PARTITION BY s ORDER BY t DESC)),
+    l{k} AS (SELECT *, l / d AS f FROM (SELECT *, unnest(range(d::BIGINT)) AS l FROM r{k} WHERE d > 0)),
+    m{k} AS (SELECT (r1 - f * d1) / (r0 - f * d0) AS m, (r2 - f * d2) / (r0 - f * d0) AS v FROM l{k}),
+    b{k + 1} AS (SELECT b + (zs - ms) / hs AS b, hs AS h FROM b{k}, (SELECT sum(z) AS zs FROM r{k}), (SELECT sum(m) AS ms, sum(v - m * m) AS hs FROM m{k}))"""
+    return f"WITH {out} SELECT round(b, 7) AS coefficient, round(1 / sqrt(h), 7) AS std_error FROM b{steps}"
+
+
+@query("cox_one_predictor", newton_cox("SELECT l_quantity AS t, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS e, l_discount AS x, 0 AS s FROM lineitem"))
+def _(spark, sf):
+    rows = tied(spark, sf)
+    return rounded(s.cox_coefficients(rows, s.cox(rows, ["l_discount"])).select("coefficient", "std_error"), "coefficient", "std_error", digits=7)
+
+
+@query("cox_one_predictor_strata", newton_cox("SELECT l_quantity AS t, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS e, l_tax AS x, l_suppkey % 7 AS s FROM lineitem"))
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("e"), "l_tax", (F.col("l_suppkey") % 7).alias("st"))
+    return rounded(s.cox_coefficients(rows, s.cox(rows, ["l_tax"], strata="st")).select("coefficient", "std_error"), "coefficient", "std_error", digits=7)
+
+
 @query("cox_coefficients")
 def _(spark, sf):
     rows = tied(spark, sf)

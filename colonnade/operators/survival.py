@@ -18,6 +18,7 @@ from colonnade.functions.gram import Design, build_design
 from colonnade.functions.ordering import average_ranks, positions, running_totals
 from colonnade.functions.quantiles import exact_quantiles
 from colonnade.functions.results import table_of
+from colonnade.functions.risksets import TIE_TERMS, RiskRows
 from colonnade.operators.hypothesis import pair_balance
 from colonnade.operators.linear import coefficient_rows
 from colonnade.session import broadcast_if_small, keep
@@ -197,6 +198,7 @@ class CoxFit:
     steps: int
     strata: bool
     events: int
+    converged: bool
 
     @property
     def names(self) -> list[str]:
@@ -227,10 +229,6 @@ def _linear(columns: Sequence[str], beta: np.ndarray) -> Column:
     return out
 
 
-# Terms of a tie sum taken one by one; the rest goes through Euler-Maclaurin, so a tie of any size costs the same.
-TIE_TERMS = 64
-
-
 def _tie_sums(a: Column, d: Column) -> tuple[Column, Column, Column]:
     """Sums over l = 0..d-1 of log(a-l), 1/(a-l) and 1/(a-l)^2."""
     m = F.greatest(d - TIE_TERMS, F.lit(0)).cast("double")
@@ -269,34 +267,6 @@ def _risk_sums(design: Design, columns: Sequence[str], beta: np.ndarray, by: Seq
     return running_totals(times, ["-t"], sums, by)
 
 
-def _cox_step(design: Design, columns: Sequence[str], beta: np.ndarray, by: Sequence[str]):
-    """Efron partial log-likelihood, gradient and information, all from one row of sums."""
-    p = len(columns)
-    at = _risk_sums(design, columns, beta, by).where("d > 0")
-    d = F.col("d").cast("double")
-    a = d * F.col("r0") / F.col("d0")
-    logs, ones, squares = _tie_sums(a, F.col("d"))
-    unit = d / F.col("d0")
-    at = at.withColumns({"_log": logs + d * F.log(F.col("d0") / d), "_k1": ones * unit, "_k2": squares * unit * unit})
-    u = [F.col(f"d1_{i}") / F.col("d0") for i in range(p)]
-    at = at.withColumns({f"_u{i}": u[i] for i in range(p)})
-    at = at.withColumns({f"_v{i}": F.col(f"r1_{i}") - F.col(f"_u{i}") * F.col("r0") for i in range(p)})
-    aggs = [F.sum(F.col("el") - F.col("_log")).alias("ll")]
-    for i in range(p):
-        aggs.append(F.sum(F.col(f"z_{i}") - d * F.col(f"_u{i}") - F.col(f"_v{i}") * F.col("_k1")).alias(f"g{i}"))
-    for i in range(p):
-        for j in range(i, p):
-            share = F.col(f"d2_{i}_{j}") / F.col("d0")
-            first = d * share + (F.col(f"r2_{i}_{j}") - share * F.col("r0")) * F.col("_k1")
-            ui, uj, vi, vj = (F.col(f"_{x}{k}") for x, k in (("u", i), ("u", j), ("v", i), ("v", j)))
-            outer = d * ui * uj + (ui * vj + vi * uj) * F.col("_k1") + vi * vj * F.col("_k2")
-            aggs.append(F.sum(first - outer).alias(f"h{i}_{j}"))
-    r = at.agg(*aggs).first()
-    gradient = np.array([r[f"g{i}"] for i in range(p)])
-    info = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-    return r["ll"], gradient, info
-
-
 def cox(rows: DataFrame, predictors: Sequence[str], strata: str | None = None, max_steps: int = 30) -> CoxFit:
     """Proportional hazards with Efron ties; ``rows`` has t, e, the predictors and the optional stratum."""
     by = ["_stratum"] if strata else []
@@ -305,24 +275,26 @@ def cox(rows: DataFrame, predictors: Sequence[str], strata: str | None = None, m
         carry["_stratum"] = ref(strata)
     design = build_design(rows, predictors, carry)
     columns = design.columns[1:]
+    sums = RiskRows(design.frame, columns, by)
     beta = np.zeros(len(columns))
-    ll, gradient, info = _cox_step(design, columns, beta, by)
-    null, steps = ll, 0
+    ll, gradient, info = sums.evaluate(beta)
+    null, steps, converged = ll, 0, False
     for steps in range(1, max_steps + 1):
         step = np.linalg.pinv(info, rcond=1e-12, hermitian=True) @ gradient
         scale = 1.0
         while True:
-            new_ll, new_gradient, new_info = _cox_step(design, columns, beta + scale * step, by)
+            new_ll, new_gradient, new_info = sums.evaluate(beta + scale * step)
             if new_ll >= ll - 1e-9 * abs(ll) or scale < 1e-3:
                 break
             scale /= 2
         beta = beta + scale * step
         ll, gradient, info = new_ll, new_gradient, new_info
         if np.max(np.abs(step)) < 1e-8:
+            converged = True
             break
     events = int(design.frame.agg(F.sum("e").alias("s")).first()["s"])
     inverse = np.linalg.pinv(info, rcond=1e-12, hermitian=True)
-    return CoxFit(design, beta, inverse, ll, null, steps, bool(strata), events)
+    return CoxFit(design, beta, inverse, ll, null, steps, bool(strata), events, converged)
 
 
 def cox_coefficients(rows: DataFrame, fit: CoxFit) -> DataFrame:
@@ -339,6 +311,7 @@ def cox_statistics(rows: DataFrame, fit: CoxFit) -> DataFrame:
     return table_of(rows.sparkSession, [{
         "n": fit.design.n, "events": fit.events, "log_likelihood": fit.log_likelihood, "partial_aic": -2 * fit.log_likelihood + 2 * p,
         "lr_chi2": lr, "lr_p_value": special.chi2_sf(lr, p), "concordance": c,
+        "steps": fit.steps, "converged": fit.converged,
     }])
 
 

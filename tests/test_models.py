@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from colonnade.functions import special
+from colonnade.functions import risksets, special
 from colonnade.functions.gram import build_design, weighted_sums
 from colonnade.operators import causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
 
@@ -120,6 +120,36 @@ def test_cox_matches_brute_force_with_large_ties(spark):
     assert abs(res) < 1e-6 * n + 5  # Breslow baseline under Efron estimates: near zero
 
 
+@pytest.mark.parametrize("parts, strata, times", [(1, 1, 5), (7, 1, 3), (40, 4, 6), (60, 30, 50), (25, 2, 1)])
+def test_risk_sums_do_not_depend_on_the_ranges(spark, parts, strata, times):
+    rng = np.random.default_rng(parts)
+    n = 300
+    pdf = pd.DataFrame({"s": rng.integers(0, strata, n), "t": rng.integers(1, times + 1, n).astype(float), "e": rng.integers(0, 2, n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
+    beta = np.array([0.3, -0.2])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(old, (str(parts), "false", "7"), strict=True):
+            spark.conf.set(k, v)
+        ll, gradient, info = risksets.RiskRows(spark.createDataFrame(pdf), ["a", "b"], ["s"]).evaluate(beta)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = np.zeros(1), np.zeros(2), np.zeros((2, 2))
+    for _, g in pdf.groupby("s"):
+        x, w = g[["a", "b"]].to_numpy(), np.exp(g[["a", "b"]].to_numpy() @ beta)
+        for t in g.t[g.e == 1].unique():
+            risk, dead = (g.t >= t).to_numpy(), ((g.t == t) & (g.e == 1)).to_numpy()
+            want[0][0] += np.log(w[dead]).sum()
+            want[1][:] += x[dead].sum(0)
+            for k in range(dead.sum()):
+                v = w * (risk - k / dead.sum() * dead)
+                m = v @ x / v.sum()
+                want[0][0] -= np.log(v.sum())
+                want[1][:] -= m
+                want[2][:] += (x.T * v) @ x / v.sum() - np.outer(m, m)
+    assert ll == pytest.approx(want[0][0]) and gradient == pytest.approx(want[1]) and info == pytest.approx(want[2])
+
+
 def test_kaplan_meier_without_censoring_is_the_ecdf(spark):
     t = [1.0, 2.0, 2.0, 5.0, 7.0]
     curve = survival.kaplan_meier(spark.createDataFrame([(v, 1) for v in t], "t double, e int")).orderBy("t").toPandas()
