@@ -51,7 +51,7 @@ class Letters:
     @classmethod
     def tables(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if cls.made is None:
-            top = 0x20000  # letters beyond are looked up as themselves
+            top = 0x110000  # every code point there is
             chars = [chr(i) for i in range(top)]
             letter = np.array([c.isalpha() for c in chars])
             lower = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], dtype=np.uint32)
@@ -80,12 +80,11 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     begins = np.concatenate([[0], np.cumsum(sizes)])[:-1] + 1  # a zero before each text and after the last
     for b, p in zip(begins, points):
         flat[b : b + len(p)] = p
-    known = np.minimum(flat, len(letter) - 1)
-    mask = letter[known] & (flat < len(letter))
+    mask = letter[flat]
     step = np.diff(mask.astype(np.int8))
     starts, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
     owner = np.searchsorted(begins, starts, side="right") - 1
-    low = np.where(mask, lower[known], 0).astype(np.uint64)
+    low = np.where(mask, lower[flat], 0).astype(np.uint64)
     # The trigram centred at each letter; a border counts as code point 0.
     with np.errstate(over="ignore"):
         mix = low[:-2] * np.uint64(0x9E3779B97F4A7C15) + low[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + low[2:] * np.uint64(0x165667B19E3779F9)
@@ -93,7 +92,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     centre = np.flatnonzero(mask)
     buckets = (mix[centre - 1] >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
     word = np.repeat(np.arange(len(starts)), ends - starts)
-    return owner, starts - begins[owner], ends - begins[owner], script[known[starts]], buckets, word
+    return owner, starts - begins[owner], ends - begins[owner], script[flat[starts]], buckets, word
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:

@@ -10,7 +10,7 @@ sums of their lengths (code points) are the offsets. The sums run over one docum
 
 Defined cases: a null text counts as empty; a document without matches has zero counts and the digest of the empty
 string; a null owner is one owner, a null repository one repository; repeated rows (same id and text) share their
-result and count once; texts are scanned whole, whatever their length.
+spans, and every owner and repository among them counts; texts are scanned whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -55,21 +55,17 @@ def _matches(kind: str, pattern: str, group: int) -> Column:
     ).otherwise(F.array())
 
 
-def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate: key_a, key_b, owner, repo, kind (index in KINDS), start, end, hash of the value."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per candidate of each distinct row: key_a, key_b, kind (index in KINDS), start, end, hash of the value."""
     a, b = row_key(id_col, text_col)
-    rows = docs.select(
-        a.alias("key_a"), b.alias("key_b"), ref(owner_col).cast("string").alias("owner"),
-        ref(repo_col).cast("string").alias("repo"), ref(text_col).alias("text"),
-    )
+    rows = docs.select(a.alias("key_a"), b.alias("key_b"), ref(text_col).alias("text"))
     specs = [*BASE, ADDED]
     some = F.lit(False)
     for _, pattern, *_ in specs:
         some = some | F.col("text").rlike(pattern)
     rows = rows.where(some).dropDuplicates(["key_a", "key_b"])
-    rows = rows.select(
-        "key_a", "key_b", "owner", "repo", F.explode(F.concat(*[_matches(k, p, g) for k, p, g, *_ in specs])).alias("m")
-    ).select("key_a", "key_b", "owner", "repo", "m.*")
+    found = F.explode(F.concat(*[_matches(k, p, g) for k, p, g, *_ in specs])).alias("m")
+    rows = rows.select("key_a", "key_b", found).select("key_a", "key_b", "m.*")
     rows = rows.where(F.col("width").isNotNull())
     before = W.partitionBy("key_a", "key_b", "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.col("width")).cast("long")).over(before)
@@ -77,9 +73,7 @@ def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_
     fits = F.lit(False)
     for i, (_, _, _, least_value, least_match) in enumerate(specs):
         fits = fits | ((F.col("kind") == i) & (F.length("value") >= least_value) & (F.col("width") >= least_match))
-    rows = rows.where(fits).select(
-        "key_a", "key_b", "owner", "repo", "kind", "start", "end", F.sha2(F.col("value"), 256).alias("hash")
-    )
+    rows = rows.where(fits).select("key_a", "key_b", "kind", "start", "end", F.sha2(F.col("value"), 256).alias("hash"))
     # An added token that overlaps a base span is dropped: compare with the furthest base end so far and the next start.
     own = W.partitionBy("key_a", "key_b").orderBy("start", "kind")
     base = F.col("kind") < len(BASE)
@@ -90,17 +84,26 @@ def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_
     return rows.where(base | clear).drop("_reached", "_next")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """Per hash: owners and repositories (distinct) that hold it. Each step is combined before its shuffle."""
-    once = found.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("_one"))
-    by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
+def holders(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Who holds each row: key_a, key_b, owner, repo, once each. Rows of equal id and text may have many owners."""
+    a, b = row_key(id_col, text_col)
+    owner, repo = ref(owner_col).cast("string").alias("owner"), ref(repo_col).cast("string").alias("repo")
+    return docs.select(a.alias("key_a"), b.alias("key_b"), owner, repo).distinct()
+
+
+def ownership(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Per hash: owners and repositories (distinct) whose rows hold it. Each step is combined before its shuffle."""
+    values = found.select("key_a", "key_b", "hash").distinct()
+    once = values.join(held, ["key_a", "key_b"]).groupBy("hash", "owner", "repo").agg(F.lit(1).alias("_one"))
+    owners = once.groupBy("hash", "owner").agg(F.lit(1).alias("_one")).groupBy("hash").agg(F.count("*").alias("owners"))
+    repos = once.groupBy("hash", "repo").agg(F.lit(1).alias("_one")).groupBy("hash").agg(F.count("*").alias("repositories"))
+    return owners.join(repos, "hash")
 
 
 def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """Candidates with owners, repositories and live (few hold the value)."""
-    found = settle(candidates(docs, owner_col, repo_col))
-    held = found.join(settle(ownership(found)), "hash")
+    found = settle(candidates(docs))
+    held = found.join(settle(ownership(found, holders(docs, owner_col, repo_col))), "hash")
     live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)
     return held.withColumn("live", live)
 

@@ -43,6 +43,14 @@ def test_language_defined_cases(spark):
     assert {1, 2}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_letters_of_every_plane_have_a_language(spark):
+    rows = [(i, t, "zz", "s") for i, t in enumerate(["\U00020000\U00020001\U00020002", "\U00031350 \U0002f800", "𝒳𝒴", "ꙮ", "\U000e0041", "\U00100000"])]
+    taught = [(100 + i, "plain words here", "en", "s") for i in range(20)]
+    got = by_id(langid.language_report(documents(spark, rows + taught)))
+    for i, text, *_ in rows:
+        assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in text)), text
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     sizes, labels, penalty = [1, 5, 3, 0, 6], 3, 0.7
@@ -236,6 +244,32 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert got[50]["spans"] == f"bare:4:{4 + len(own)}" and got[50]["n_live"] == 1
 
 
+def test_owners_of_equal_rows_all_count(spark):
+    value, own = "Zq3kT9xLw2Pv8Rn5Yb7Hd1", "Mx4jS8wKv1Qu7To6Xc2Ge0"
+    rows = [(7, f"see {value} there", "en", f"owner{i}") for i in range(6)] + [(8, f"see {own} there", "en", "a")] * 6
+    docs = documents(spark, rows)
+    found = {(r["owners"], r["repositories"], r["live"]) for r in secrets.scan(docs).collect()}
+    assert found == {(6, 1, False), (1, 1, True)}
+    report = secrets.secret_report(docs).collect()
+    assert len(report) == 12
+    assert {(r["doc_id"], r["n_live"], r["n_example"], r["spans"]) for r in report} == {(7, 0, 0, ""), (8, 1, 0, f"bare:4:{4 + len(own)}")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ownership_against_plain_counts(spark, seed):
+    rnd = random.Random(seed)
+    values = [f"V{i}xQ{'aB3' * 7}{i}" for i in range(12)]
+    rows = [(rnd.randrange(15), " ".join(rnd.sample(values, rnd.randrange(0, 4))), "en", rnd.choice(["a", "b", "c", "d", None])) for _ in range(120)]
+    owners, repos = {}, {}
+    for ident, text, _, owner in rows:
+        for v in text.split():
+            h = hashlib.sha256(v.encode()).hexdigest()
+            owners.setdefault(h, set()).add(owner)
+            repos.setdefault(h, set()).add(ident)
+    got = {(r["hash"], r["owners"], r["repositories"]) for r in secrets.scan(documents(spark, rows)).collect()}
+    assert got == {(h, len(owners[h]), len(repos[h])) for h in owners}
+
+
 def test_secret_defined_cases(spark):
     rows = secrets.secret_report(awkward(spark)).collect()
     assert len(rows) == awkward(spark).count()
