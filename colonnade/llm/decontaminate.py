@@ -1,6 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items become sequences of word hashes (runs of letters and digits, lower case). Items of 3L/2 to 3L-1 words (L
+Texts and items become sequences of word hashes (runs of letters and digits, lower case; in scripts written without spaces
+every character is a word). Items of fewer than ``SHORT`` words allow no edit and are looked up as whole sequences. Longer
+items of 3L/2 to 3L-1 words (L
 a power of two from 4 to ``WIDEST_BASE``, where the class has no upper end) are looked for in document windows of 3L/4
 words at every multiple of L/4; an item offers its window at every offset, so several document windows line up with some
 of them wherever a copy begins. Windows do not widen with long items: a key survives few edits, so its chance falls with
@@ -16,7 +18,8 @@ pairs, so this loses no window with edits in less than a quarter of its words (`
 Work stays in one pass over the documents per block of items, without a shuffle. The benchmark is read in blocks of
 about ``BLOCK_WORDS`` words; a block is what a task holds, whatever the size of the benchmark.
 
-Defined cases: null or empty texts hold nothing; null items or items under ``min_words`` words are not looked for;
+Defined cases: null or empty texts hold nothing; null items or items under ``min_words`` words (a single word is no
+passage) are not looked for; a similarity below 0.8 is refused, as the gate and the repetitions are made for 0.8 and more;
 repeated items each report; repeated rows each report; rows without an id report with a null id; texts of any length are
 searched whole.
 """
@@ -38,7 +41,11 @@ ROUNDS = 16
 SAMPLED = 5
 WIDEST_BASE = 32
 PAIR_SHARE = 0.45
-MIN_WORDS = 5
+MIN_WORDS = 2
+# Items shorter than this lie below one whole edit at a similarity of 0.8.
+SHORT = 5
+# Unicode ranges of scripts written without spaces (Thai and Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 MIN_SIMILARITY = 0.8
 BLOCK_WORDS = 1_000_000
 SEED = 7
@@ -49,10 +56,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the number of words of each text."""
     letter, lower, _ = Letters.tables()
     points = code_points(" " + " ".join(texts) + " ")
-    known = np.minimum(points, len(letter) - 1)
-    mask = (letter[known] & (points < len(letter))) | ((points >= 48) & (points <= 57))
-    step = np.diff(mask.astype(np.int8))
-    starts, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    mask = letter[points] | ((points >= 48) & (points <= 57))
+    alone = np.zeros(len(points), dtype=bool)
+    if points.max() >= UNSPACED[0][0]:
+        for lo, hi in UNSPACED:
+            alone |= (points >= lo) & (points <= hi)
+        alone &= mask
+    # A word begins where letters begin, at a character that is a word by itself and behind one; and ends likewise.
+    border = (mask[1:] != mask[:-1]) | (mask[1:] & (alone[1:] | alone[:-1]))
+    at = np.flatnonzero(border) + 1
+    starts, ends = at[mask[at]], at[mask[at - 1]]
     breaks = np.cumsum([1] + [len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, breaks))
     if not len(starts):
@@ -61,7 +74,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         power = np.cumprod(np.full(int((ends - starts).max()), ODD, dtype=np.uint64))
         inside = np.flatnonzero(mask)
         place = inside - np.repeat(starts, ends - starts)
-        low = np.where(points[inside] < len(letter), lower[known[inside]], points[inside]).astype(np.uint64) + np.uint64(1)
+        low = lower[points[inside]].astype(np.uint64) + np.uint64(1)
         first = np.concatenate([[0], np.cumsum(ends - starts)])[:-1]
         h = np.add.reduceat(low * power[place], first)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,6 +86,16 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
         return (words[:-1] * ODD + words[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    out = np.zeros(max(len(words) - n + 1, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ words[k : k + len(out)]) * ODD
+            out ^= out >> np.uint64(31)
+    return out
+
+
 def walk_keys(words: np.ndarray, starts: np.ndarray, width: int, repetition: int) -> np.ndarray:
     """LSH key of one repetition for the windows of ``width`` words at ``starts``."""
     steps = 2 * width
@@ -101,13 +124,20 @@ def window_base(n: int) -> int:
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], min_words: int = MIN_WORDS):
         words, counts = word_hashes(texts)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         self.ids, self.words, self.cuts = ids, words, cuts
         lengths = np.diff(cuts)
         self.classes = []
-        bases = np.array([window_base(int(n)) if n else 0 for n in lengths])
+        bases = np.array([window_base(int(n)) if n >= max(SHORT, min_words) else 0 for n in lengths])
+        self.short = {}  # by length: sorted hashes of whole items, and the items
+        for n in range(min_words, SHORT):
+            chosen = np.flatnonzero(lengths == n)
+            if len(chosen):
+                keys = np.array([sequence_hashes(words[cuts[i] : cuts[i + 1]], n)[0] for i in chosen])
+                order = np.argsort(keys, kind="stable")
+                self.short[n] = (keys[order], chosen[order])
         for base in sorted({int(b) for b in bases if b}):
             chosen = np.flatnonzero(bases == base)
             stride = max(base // 4, 1)
@@ -142,6 +172,17 @@ class Items:
             hit = self.gate[(pair_hashes(words) >> np.uint64(64 - self.bits)).astype(np.int64)]
             shared = np.concatenate([[0], np.cumsum(hit), [hit.sum()]])
         found = []
+        for n, (keys, item) in self.short.items():
+            own = sequence_hashes(words, n)
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            start = np.flatnonzero(hi > lo)
+            text = np.searchsorted(cuts, start, side="right") - 1
+            whole = start + n <= cuts[text + 1]
+            start, text = start[whole], text[whole]
+            many = (hi - lo)[start]
+            who = np.repeat(np.arange(len(start)), many)
+            at = np.repeat(lo[start], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append(np.stack([text[who], item[at], start[who] - cuts[text[who]]], axis=1))
         for width, stride, tables in self.classes:
             number = np.maximum((counts - width) // stride + 1, 0) * (counts >= width)
             text = np.repeat(np.arange(len(counts)), number)
@@ -205,11 +246,12 @@ def leaks_of(texts: list[str], items: Items, min_similarity: float, first_only:
     return [(text, item, end, edits) for (text, item), (edits, end) in best.items()]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_words: int) -> Iterator[tuple[str, list, list[str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str, list, list[str]]]:
     """The benchmark in blocks of about BLOCK_WORDS words, each brought to the driver by itself."""
     rows = benchmark.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.withColumn("n", F.regexp_count("text", F.lit(r"[\p{L}0-9]+")))
-    rows = rows.where(F.col("n") >= min_words)
+    # About the number of words; the exact one decides in the task.
+    rows = rows.withColumn("n", F.regexp_count("text", F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[\p{L}0-9]+")))
+    rows = rows.where(F.col("n") >= 1)
     total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     for k in range(blocks):
@@ -217,6 +259,11 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_words: int
         yield benchmark.schema[id_col].dataType.simpleString(), part["id"].tolist(), part["text"].tolist()
 
 
+def accept(min_similarity: float) -> None:
+    if not MIN_SIMILARITY <= min_similarity <= 1:
+        raise ValueError(f"similarity must lie between {MIN_SIMILARITY} and 1")
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -228,14 +275,15 @@ def find_leaks(
     item_text: str = "text",
 ) -> DataFrame:
     """One row per document row and leaked item: doc_id, item_id, end_word, n_words, edits, similarity (of the best copy)."""
+    accept(min_similarity)
     slim = docs.select(ref(id_col).alias("doc_id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     out = None
-    for item_kind, ids, texts in item_blocks(benchmark, item_col, item_text, min_words):
+    for item_kind, ids, texts in item_blocks(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = Items(*shared.value)
+            items = Items(*shared.value, min_words)
             for pdf in batches:
                 texts, doc_ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
                 for lo, hi in text_blocks(texts):
@@ -268,20 +316,21 @@ def decontaminate(
     item_text: str = "text",
 ) -> DataFrame:
     """Rows of ``docs`` that hold no copy of a benchmark item. Each block of items is one more condition on the row."""
-    for _, ids, texts in item_blocks(benchmark, item_col, item_text, min_words):
+    accept(min_similarity)
+    for _, ids, texts in item_blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        docs = docs.where(_clean(shared, min_similarity)(ref(text_col)))
+        docs = docs.where(_clean(shared, min_similarity, min_words)(ref(text_col)))
     return docs
 
 
-def _clean(shared, min_similarity: float):
+def _clean(shared, min_similarity: float, min_words: int):
     """Condition on a text: it holds none of the shared block of items."""
     ready: list[Items] = []  # built once per task
 
     @F.pandas_udf("boolean")
     def clean(column: pd.Series) -> pd.Series:
         if not ready:
-            ready.append(Items(*shared.value))
+            ready.append(Items(*shared.value, min_words))
         texts = [t if isinstance(t, str) else "" for t in column]
         keep = np.ones(len(texts), dtype=bool)
         for lo, hi in text_blocks(texts):

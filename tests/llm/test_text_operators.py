@@ -347,6 +347,22 @@ def test_recall_does_not_fall_with_the_length_of_items(length, share):
     assert sum((i, i) in got for i in range(len(texts))) >= 38
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    items = [("two", "Zebra quorum"), ("three", "one odd thing"), ("han", "春眠不觉曉處處聞啼鳥夜来風雨聲"), ("thai", "ภาษาไทย"), ("one", "zebra"), ("mixed", "第一 question 是")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [
+        (1, "the zebra, quorum of it", "en", "s"), (2, "zebra of quorum", "en", "s"), (3, "x one odd", "en", "s"), (4, "thing one  ODD-thing", "en", "s"),
+        (5, "前文春眠不觉曉處處聞啼鳥夜来風雨聲後文", "zh", "s"), (6, "前文春眠不觉曉处處聞啼鳥夜来風雨聲後文", "zh", "s"), (7, "春眠不觉曉", "zh", "s"),
+        (8, "กภาษาไทยข", "th", "s"), (9, "它是第一question是的", "zh", "s"), (10, "一第 question 是", "zh", "s"), (11, "zebra quorum zebra quorum", "en", "s"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(documents(spark, rows), bench).collect()}
+    assert got == {(1, "two"), (11, "two"), (4, "three"), (5, "han"), (6, "han"), (8, "thai"), (9, "mixed")}
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(documents(spark, rows), bench).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in got}
+    with pytest.raises(ValueError):
+        decontaminate.find_leaks(documents(spark, rows), bench, min_similarity=0.7)
+
+
 def test_decontamination_defined_cases(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
     docs = awkward(spark).unionByName(documents(spark, [(77, "x alpha beta gamma delta epsilon zeta eta y", "en", "s")]))
