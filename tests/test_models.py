@@ -395,6 +395,45 @@ def test_iterative_imputation_recovers_a_linear_relation(spark):
     assert two.b.notna().all() and set(two._imputation) == {1, 2}
 
 
+def gappy(n=400):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + np.array([100, 5, -3, 0])
+    x[:, 3] = x[:, 0] - 2 * x[:, 1] + rng.normal(0, 0.5, n)
+    pdf = pd.DataFrame(x, columns=["a", "b", "c", "d"])
+    for k, col in enumerate("bcd"):
+        pdf.loc[rng.random(n) < 0.1 + 0.1 * k, col] = np.nan
+    pdf["id"], pdf["_pattern"], pdf["_y0"] = np.arange(n), "text", "more"
+    return pdf
+
+
+def test_pattern_matrices_give_the_rounds_of_single_regressions(spark, monkeypatch):
+    pdf = gappy()
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, id long, _pattern string, _y0 string")
+    one = impute.impute_iterative(df, list("abcd")).toPandas().sort_values("id")
+    monkeypatch.setattr(impute, "PATTERN_NUMBERS", 1)
+    other = impute.impute_iterative(df, list("abcd")).toPandas().sort_values("id")
+    assert list(one.columns) == list(pdf.columns)
+    assert np.allclose(one[list("abcd")], other[list("abcd")], rtol=1e-8)
+    known = pdf.notna()
+    assert (one[list("abcd")].to_numpy()[known[list("abcd")].to_numpy()] == pdf[list("abcd")].to_numpy()[known[list("abcd")].to_numpy()]).all()
+    with pytest.raises(ValueError):
+        impute.multiple_imputation(df, "id", list("abcd"))
+
+
+def test_drawn_copies(spark):
+    pdf = gappy(2000)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, id long, _pattern string, _y0 string")
+    out = impute.multiple_imputation(df, "id", list("abcd"), 3, 5)
+    got, again = (o.toPandas().sort_values(["_imputation", "id"]).reset_index(drop=True) for o in (out, impute.multiple_imputation(df, "id", list("abcd"), 3, 5)))
+    assert got.equals(again) and len(got) == 6000 and got[list("abcd")].notna().all().all()
+    gap = pdf["d"].isna().to_numpy()
+    copies = [got[got._imputation == k].reset_index(drop=True) for k in (1, 2, 3)]
+    assert (copies[0].d[~gap] == pdf.d[~gap]).all() and (copies[0].d[gap] != copies[1].d[gap]).all()
+    both = gap & pdf["b"].notna().to_numpy() & pdf["c"].notna().to_numpy()
+    for c in copies:  # the drawn error has the size of the error of the relation
+        assert np.std((c.d - c.a + 2 * c.b)[both]) == pytest.approx(0.5, rel=0.2)
+
+
 def test_exact_matching_balances_keys(spark):
     pdf = pd.DataFrame({"id": range(40), "t": [i % 4 == 0 for i in range(40)], "k": [i % 3 for i in range(40)]})
     df = spark.createDataFrame(pdf).withColumn("t", F.col("t").cast("int")).withColumn("k", F.col("k").cast("string"))
