@@ -105,3 +105,49 @@ def quantile_sql(p):
     q, r, t = f"({p} - 0.5)", f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"sqrt(-ln(least({p}, 1 - {p})))"
     mid, tail, far = (f"({poly_sql(n, x)} / {poly_sql(d, x)})" for (n, d), x in zip(AS241, (r, f"({t} - 1.6)", f"({t} - 5)"), strict=True))
     return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {mid} WHEN {t} <= 5 THEN sign({q}) * {tail} ELSE sign({q}) * {far} END"
+
+
+def erf_sql(h):
+    """Error function of the SQL expression ``h`` between 0 and about 4, by its series; 1 beyond."""
+    return f"CASE WHEN {h} > 4 THEN 1 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (-1) ** k * ({h}) ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) END"
+
+
+def two_sided_sql(z):
+    """Two-sided normal p-value of the SQL expression ``z``."""
+    return f"(1 - {erf_sql(f'(abs({z}) / sqrt(2))')})"
+
+
+def solve_ctes(name, source, k):
+    """CTEs that solve the k linear equations of the one row of ``source`` (a0_0.. and b0..) by elimination: x0.. in ``name``."""
+    out, last = [], source
+    for s in range(k - 1):
+        cells = []
+        for i in range(k):
+            cut = f" - a{i}_{s} / a{s}_{s} * " if i > s else None
+            cells += [f"a{i}_{j}{cut}a{s}_{j} AS a{i}_{j}" if cut else f"a{i}_{j}" for j in range(k)]
+            cells.append(f"b{i}{cut}b{s} AS b{i}" if cut else f"b{i}")
+        out.append(f"{name}_e{s} AS (SELECT {', '.join(cells)} FROM {last})")
+        last = f"{name}_e{s}"
+    for i in reversed(range(k)):
+        known = "".join(f" - a{i}_{j} * x{j}" for j in range(i + 1, k))
+        out.append(f"{name}_x{i} AS (SELECT *, (b{i}{known}) / a{i}_{i} AS x{i} FROM {last})")
+        last = f"{name}_x{i}"
+    return [*out, f"{name} AS (SELECT {', '.join(f'x{i}' for i in range(k))} FROM {last})"]
+
+
+def logistic_ctes(rows, k, steps=8):
+    """CTEs of unrolled Newton steps for y on x0..x{k-1} of ``rows``: coefficients x0.. in n{steps}, variances v0.. in var."""
+    out = ["n0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS x{i}" for i in range(k)) + ")"]
+    eta = " + ".join(f"r.x{i} * n.x{i}" for i in range(k))
+    for s in range(steps):
+        sums = [f"sum(m * (1 - m) * x{i} * x{j}) AS a{i}_{j}" for i in range(k) for j in range(k)] + [f"sum((y - m) * x{i}) AS b{i}" for i in range(k)]
+        out.append(f"m{s} AS (SELECT r.*, 1 / (1 + exp(-({eta}))) AS m FROM {rows} r, n{s} n)")
+        out.append(f"h{s} AS (SELECT {', '.join(sums)} FROM m{s})")
+        out += solve_ctes(f"d{s}", f"h{s}", k)
+        out.append(f"n{s + 1} AS (SELECT {', '.join(f'n.x{i} + d.x{i} AS x{i}' for i in range(k))} FROM n{s} n, d{s} d)")
+    for i in range(k):
+        unit = ", ".join(f"{float(i == j)} AS b{j}" for j in range(k))
+        out.append(f"u{i} AS (SELECT * REPLACE ({unit}) FROM h{steps - 1})")
+        out += solve_ctes(f"c{i}", f"u{i}", k)
+    out.append("var AS (SELECT " + ", ".join(f"c{i}.x{i} AS v{i}" for i in range(k)) + " FROM " + ", ".join(f"c{i}" for i in range(k)) + ")")
+    return out

@@ -26,7 +26,9 @@ def units(spark, sf, keys=()):
     return m.units_of(study(spark, sf), "id", "treated", "ps", keys)
 
 
-@query("causal_readiness")
+@query("causal_readiness", BASE + """, q AS (SELECT count(*) AS n, sum(treated) AS t, count(DISTINCT y) AS k FROM d)
+    SELECT 'treatment is 0/1' AS "check", t > 0 AND t < n AS passed, t || ' treated, ' || (n - t) || ' control' AS detail FROM q UNION ALL SELECT 'enough rows', n >= 20, n || ' rows' FROM q
+    UNION ALL SELECT 'outcome type', k > 1, CASE WHEN k = 2 THEN 'binary' ELSE 'continuous' END FROM q""")
 def _(spark, sf):
     return c.readiness(study(spark, sf), "treated", "y")
 
@@ -183,9 +185,12 @@ def _(spark, sf):
     return rounded(out, "estimate", "std_error", digits=4)
 
 
-@query("weighted_effect_binary")
+@query("weighted_effect_binary", WEIGHTS.format(t="1 / ps", c="1 / (1 - ps)").replace("treated * y", "treated * big").replace("treated) * y", "treated) * big")
+    + """, v AS (SELECT sum(CASE WHEN treated = 1 THEN (w * (big - m1) / (g.w1 * m1 * (1 - m1))) ** 2 ELSE (w * (big - m0) / (g.w0 * m0 * (1 - m0))) ** 2 END) * max(n) / (max(n) - 2.0) AS v FROM w, g)
+    SELECT 'ATE' AS estimand, n, round(ln(m1 / (1 - m1)) - ln(m0 / (1 - m0)), 6) AS estimate, round(sqrt(v), 6) AS std_error, round(m1 / (1 - m1) / (m0 / (1 - m0)), 6) AS ratio FROM g, v""")
 def _(spark, sf):
-    return c.weighted_effect(study(spark, sf), "treated", "big", "binary")
+    out = c.weighted_effect(study(spark, sf), "treated", "big", "binary").select("estimand", "n", "estimate", "std_error", "ratio")
+    return rounded(out, "estimate", "std_error", "ratio")
 
 
 @query("effective_sample_size", WEIGHTS.format(t="1", c="ps / (1 - ps)") + """ SELECT treated AS arm, count(*) AS n, round(sum(w), 4) AS weight_sum, round(sum(w) ** 2 / sum(w * w), 4) AS effective_n,
@@ -195,9 +200,14 @@ def _(spark, sf):
     return rounded(rounded(out, "weight_sum", "effective_n", digits=4), "max_weight")
 
 
-@query("effect_comparison")
+COMPARED = MATCHED + """, g AS (SELECT avg(CASE WHEN treated = 1 THEN y END) AS m1, avg(CASE WHEN treated = 0 THEN y END) AS m0, count(*) AS n FROM w)"""
+
+
+@query("effect_comparison", f"""SELECT 'ATT' AS estimand, 'matching' AS method, n, round(m1 - m0, 4) AS estimate FROM ({COMPARED} SELECT * FROM g)
+    UNION ALL SELECT 'ATE', 'weighting', n, round(m1 - m0, 4) FROM ({WEIGHTS.format(t="1 / ps", c="1 / (1 - ps)")} SELECT * FROM g)""")
 def _(spark, sf):
-    return c.compare_effects(c.matched_effect(matched(spark, sf), "treated", "y"), c.weighted_effect(study(spark, sf), "treated", "y"))
+    out = c.compare_effects(c.matched_effect(matched(spark, sf), "treated", "y"), c.weighted_effect(study(spark, sf), "treated", "y"))
+    return rounded(out.select("estimand", "method", "n", "estimate"), "estimate", digits=4)
 
 
 @query("weight_histogram", WEIGHTS.format(t="1 / ps", c="1 / (1 - ps)") + """, l AS (SELECT min(w) AS lo, max(w) AS hi FROM w) SELECT treated, least(CAST(floor((w - lo) / (hi - lo) * 30) AS INT), 29) AS bin, count(*) AS count FROM w, l GROUP BY 1, 2""")

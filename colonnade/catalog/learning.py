@@ -262,6 +262,21 @@ def _(spark, sf):
     return rounded(rounded(out, "percent"), "l_quantity", "l_extendedprice", digits=4)
 
 
+@query("dbscan_labels", """WITH RECURSIVE p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
+    e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.y = b.y AND abs(a.x - b.x) <= 0.15), k AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) >= 4),
+    l AS (SELECT e.a, e.b FROM e SEMI JOIN k ON e.a = k.id SEMI JOIN k k2 ON e.b = k2.id), r AS (SELECT id, id AS low FROM k UNION SELECT l.b, r.low FROM r JOIN l ON r.id = l.a WHERE r.low < l.b),
+    c AS (SELECT id, min(low) AS low FROM r GROUP BY 1), n AS (SELECT p.id, k.id IS NOT NULL AS core, c.low FROM p LEFT JOIN k USING (id) LEFT JOIN c USING (id)),
+    b AS (SELECT DISTINCT e.a AS id FROM e SEMI JOIN k ON e.b = k.id)
+    SELECT n.id AS c_custkey, core, core AND low IS NOT NULL AS in_cluster, NOT core AND b.id IS NULL AS noise, CASE WHEN core THEN low END AS first_of_cluster FROM n LEFT JOIN b USING (id)""")
+def _(spark, sf):
+    """Noise, core points, and of every core point the first core point of its cluster."""
+    df = table(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal / 1000 AS x", "CAST(c_nationkey AS DOUBLE) AS y")
+    out = ml.dbscan(df, "c_custkey", ["x", "y"], 0.15, 4)
+    first = out.where("core").groupBy("cluster").agg(F.min("c_custkey").alias("first"))
+    out = out.join(first, "cluster", "left")
+    return out.select("c_custkey", "core", (F.col("core") & (F.col("cluster") >= 0)).alias("in_cluster"), (F.col("cluster") < 0).alias("noise"), F.when(F.col("core"), F.col("first")).alias("first_of_cluster"))
+
+
 @query("dbscan_core_points", """WITH p AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer), n AS (SELECT a.c_custkey, count(*) AS c FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.15 GROUP BY 1)
     SELECT c_custkey FROM n WHERE c >= 4""")
 def _(spark, sf):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from colonnade.catalog.base import DIRTY_SQL, dirty_lineitem, query, table
+from colonnade.catalog.base import DIRTY_SQL, dirty_lineitem, logistic_ctes, query, table, two_sided_sql
 from colonnade.catalog.profiling import rounded
 from colonnade.catalog.testing import shapiro_sql
 from colonnade.operators import glm, linear
@@ -180,10 +180,16 @@ def _(spark, sf):
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "max_abs_dfbetas", "dfbetas_flag"), "max_abs_dfbetas", digits=7)
 
 
-@query("bonferroni_outliers")
+@query("bonferroni_outliers", """WITH o AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x, CASE WHEN o_orderkey % 997 = 0 THEN o_totalprice * 30 ELSE o_totalprice END AS y FROM orders),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, regr_slope(y, x) AS b, count(*) AS n FROM o),
+    e AS (SELECT o_orderkey, y - my - b * (x - mx) AS e, 1.0 / n + (x - mx) ** 2 / sxx AS h, n FROM o, m), s AS (SELECT sum(e * e) / (count(*) - 2) AS s2 FROM e),
+    t AS (SELECT *, e / sqrt(s2 * (1 - h)) AS t FROM e, s), r AS (SELECT *, t * sqrt((n - 3) / (n - 2 - t * t)) AS st FROM t)
+    SELECT o_orderkey, round(st, 6) AS student_external, round(t * t / 2 * h / (1 - h), 8) AS cooks_distance FROM r WHERE abs(st) > 5""")
 def _(spark, sf):
+    """The far residuals of the data lie beyond 10, the others below 2, so the check needs no tail probability."""
     df = table(spark, sf, "orders").withColumn("total", F.expr("IF(o_orderkey % 997 = 0, o_totalprice * 30, o_totalprice)"))
-    return linear.bonferroni_outliers(linear.fit_ols(df, "total", ["o_custkey"], carry={"o_orderkey": F.col("o_orderkey")}), ["o_orderkey"])
+    out = linear.bonferroni_outliers(linear.fit_ols(df, "total", ["o_custkey"], carry={"o_orderkey": F.col("o_orderkey")}), ["o_orderkey"])
+    return rounded(rounded(out.select("o_orderkey", "student_external", "cooks_distance"), "student_external"), "cooks_distance", digits=8)
 
 
 @query("refit_without_influential", SIMPLE + """, k AS (SELECT d.* FROM e d, s WHERE e * e * h / (2 * s2 * (1 - h) ** 2) <= 4 / n),
@@ -258,10 +264,21 @@ def _(spark, sf):
     return rounded(rounded(out, "deviance_reduction_percent"), "mcfadden_r2", digits=8)
 
 
-@query("logistic_continuous")
+def logistic_sql(rows, terms, scale, steps=8):
+    """SQL of a logistic model: ``rows`` holds y and x0.. (x0 is 1), ``scale`` divides each coefficient."""
+    parts = [f"rows AS ({rows})", *logistic_ctes("rows", len(terms), steps)]
+    out = " UNION ALL ".join(
+        f"SELECT '{t}' AS term, round(x{i} / {c}, 7) AS coefficient, round(sqrt(v{i}) / {c}, 7) AS std_error, round({two_sided_sql(f'x{i} / sqrt(v{i})')}, 6) AS p_value FROM n{steps}, var"
+        for i, (t, c) in enumerate(zip(terms, scale, strict=True)))
+    return f"WITH {', '.join(parts)} {out}"
+
+
+@query("logistic_continuous", logistic_sql("SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, 1.0 AS x0, CAST(l_quantity AS DOUBLE) / 10 AS x1, CAST(l_discount AS DOUBLE) AS x2, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0 END AS x3 FROM lineitem",
+    ["Intercept", "l_quantity", "l_discount", "l_linestatus[T.O]"], [1, 10, 1, 1]))
 def _(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("late", F.expr("IF(l_returnflag = 'R', 1, 0)"))
-    return glm.coefficients(df, glm.fit_glm(df, "late", ["l_quantity", "l_discount", "l_linestatus"], "binomial"))
+    out = glm.coefficients(df, glm.fit_glm(df, "late", ["l_quantity", "l_discount", "l_linestatus"], "binomial"))
+    return rounded(rounded(out.select("term", "coefficient", "std_error", "p_value"), "coefficient", "std_error", digits=7), "p_value")
 
 
 @query("probability_metrics", LOGIT + """, x AS (SELECT d.y, g.p FROM d JOIN g USING (s)), c AS (SELECT p, count(*) AS n, sum(y) AS k FROM x GROUP BY 1),
@@ -409,10 +426,20 @@ def _(spark, sf):
     return glm.linearity_search(df, "urgency", ["o_totalprice"], "binomial")
 
 
-@query("box_tidwell")
+def box_tidwell_sql():
+    """Both terms standardised, the second freed of the first, which leaves its coefficient as it is but for the scale."""
+    rows = f"""SELECT y, 1.0 AS x0, (x - mx) / sx AS x1, (v - mv - b * (x - mx)) / sv AS x2 FROM (SELECT CASE WHEN {URGENT} = 'urgent' THEN 1 ELSE 0 END AS y, o_totalprice AS x, o_totalprice * ln(o_totalprice) AS v FROM orders),
+        (SELECT avg(o_totalprice) AS mx, stddev_pop(o_totalprice) AS sx, avg(o_totalprice * ln(o_totalprice)) AS mv, regr_slope(o_totalprice * ln(o_totalprice), o_totalprice) AS b,
+            sqrt(var_pop(o_totalprice * ln(o_totalprice)) * (1 - regr_r2(o_totalprice * ln(o_totalprice), o_totalprice))) AS sv FROM orders)"""
+    parts = [f"rows AS ({rows})", *logistic_ctes("rows", 3)]
+    return f"WITH {', '.join(parts)} SELECT 'o_totalprice' AS predictor, round(abs(x2 / sqrt(v2)), 5) AS size, round({two_sided_sql('x2 / sqrt(v2)')}, 5) AS p_value FROM n8, var"
+
+
+@query("box_tidwell", box_tidwell_sql())
 def _(spark, sf):
     df = table(spark, sf, "orders").withColumn("urgency", F.expr(URGENT))
-    return glm.box_tidwell(df, "urgency", ["o_totalprice"], "o_totalprice")
+    out = glm.box_tidwell(df, "urgency", ["o_totalprice"], "o_totalprice")
+    return rounded(out.select("predictor", F.abs("z").alias("size"), "p_value"), "size", "p_value", digits=5)
 
 
 @query("ratio_sentences")

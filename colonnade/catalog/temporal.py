@@ -57,9 +57,15 @@ def _(spark, sf):
     return ts.adf_test(monthly(spark, sf))
 
 
-@query("kpss_test")
+@query("kpss_test", M + """, e AS (SELECT t, y - avg(y) OVER () AS e, count(*) OVER () AS n FROM s), c AS (SELECT b.t - a.t AS k, sum(a.e * b.e) AS c, any_value(a.n) AS n FROM e a JOIN e b ON b.t >= a.t GROUP BY 1),
+    w AS (SELECT sum(CASE WHEN k = 0 THEN c / n ELSE c / (n / 2) END) FILTER (k <= floor(n ** (2.0 / 9))) AS s0, sum(k * c / (n / 2)) FILTER (k <= floor(n ** (2.0 / 9))) AS s1, any_value(n) AS n FROM c),
+    l AS (SELECT CAST(least(floor(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3) * n ** (1.0 / 3)), n - 1) AS BIGINT) AS lags, n FROM w),
+    r AS (SELECT sum(CASE WHEN k = 0 THEN c ELSE 2 * (1 - k / (lags + 1)) * c END) FILTER (k <= lags) / max(l.n) AS lr FROM c, l),
+    p AS (SELECT sum(s * s) AS q FROM (SELECT sum(e) OVER (ORDER BY t) AS s FROM e)), z AS (SELECT q / n / n / lr AS stat, lags FROM p, l, r)
+    SELECT 'kpss' AS test, round(stat, 8) AS statistic, lags, round(CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - 0.05 * (stat - 0.347) / 0.116 WHEN stat <= 0.574 THEN 0.05 - 0.025 * (stat - 0.463) / 0.111
+        WHEN stat <= 0.739 THEN 0.025 - 0.015 * (stat - 0.574) / 0.165 ELSE 0.01 END, 8) AS p_value, stat < 0.463 AS stationary FROM z""")
 def _(spark, sf):
-    return ts.kpss_test(monthly(spark, sf))
+    return rounded(ts.kpss_test(monthly(spark, sf)), "statistic", "p_value", digits=8)
 
 
 @query("stationarity_verdict")
@@ -148,19 +154,32 @@ def _(spark, sf):
     return rounded(ts.chow_test(monthly(spark, sf), 40).select("ssr_full", "ssr_before", "ssr_after"), "ssr_full", "ssr_before", "ssr_after", digits=2)
 
 
-@query("its_lag_comparison")
+CUT = """(SELECT {lag} AS lag, {at} AS cut_at, regr_slope(y, t) FILTER (t <= {at}) AS b0, regr_intercept(y, t) FILTER (t <= {at}) AS a0, regr_slope(y, t) FILTER (t > {at}) AS b1, regr_intercept(y, t) FILTER (t > {at}) AS a1,
+        regr_syy(y, t) FILTER (t <= {at}) - regr_sxy(y, t) FILTER (t <= {at}) ** 2 / regr_sxx(y, t) FILTER (t <= {at}) + regr_syy(y, t) FILTER (t > {at}) - regr_sxy(y, t) FILTER (t > {at}) ** 2 / regr_sxx(y, t) FILTER (t > {at}) AS rss, count(*) AS n FROM s)"""
+LAGS = " UNION ALL SELECT * FROM ".join(CUT.format(lag=k, at=40 + k) for k in range(4))
+PLACEBOS = " UNION ALL SELECT * FROM ".join(CUT.format(lag=0, at=k) for k in (6, 11, 16, 21, 26, 31, 40))
+
+
+@query("its_lag_comparison", M + f""", f AS (SELECT * FROM {LAGS}), a AS (SELECT *, n * (ln(2 * pi()) + ln(rss / n) + 1) + 8 AS aic FROM f)
+    SELECT lag, round(a1 + b1 * cut_at - a0 - b0 * cut_at, 4) AS level_change, round(b1 - b0, 5) AS slope_change, round(aic, 6) AS aic, round(aic + (ln(n) - 2) * 4, 6) AS bic, aic = min(aic) OVER () AS best FROM a""")
 def _(spark, sf):
-    return ts.lag_comparison(monthly(spark, sf), 40, 3)
+    out = ts.lag_comparison(monthly(spark, sf), 40, 3).drop("level_p_value", "slope_p_value")
+    return rounded(rounded(rounded(out, "level_change", digits=4), "slope_change", digits=5), "aic", "bic")
 
 
-@query("its_placebo_test")
+@query("its_placebo_test", M + f""", f AS (SELECT * FROM {PLACEBOS}) SELECT CASE WHEN cut_at = 40 THEN 'real' ELSE 'placebo' END AS kind, cut_at AS position, round(a1 + b1 * cut_at - a0 - b0 * cut_at, 4) AS level_change FROM f""")
 def _(spark, sf):
-    return ts.placebo_test(monthly(spark, sf), 40)
+    return rounded(ts.placebo_test(monthly(spark, sf), 40).select("kind", "position", "level_change"), "level_change", digits=4)
 
 
-@query("its_influence")
+@query("its_influence", ITS + """, sg AS (SELECT t > 40 AS g, avg(t) AS mt, var_pop(t) * count(*) AS sxx, count(*) AS k FROM s GROUP BY 1),
+    e AS (SELECT t, y - CASE WHEN t <= 40 THEN b.a + b.b * t ELSE c.a + c.b * t END AS e, 1.0 / k + (t - mt) ** 2 / sxx AS h FROM s JOIN sg ON sg.g = (t > 40), b, c),
+    q AS (SELECT *, e / sqrt(s2 * (1 - h)) AS r, n FROM e, (SELECT sum(e * e) / (count(*) - 4) AS s2, count(*) AS n FROM e))
+    SELECT t, round(e, 4) AS residual, round(h, 8) AS leverage, round(r * sqrt((n - 5) / (n - 4 - r * r)), 7) AS student_external, round(r * r / 4 * h / (1 - h), 8) AS cooks_distance,
+           r * r / 4 * h / (1 - h) > 4.0 / n AS influential FROM q""")
 def _(spark, sf):
-    return ts.its_influence(monthly(spark, sf), 40)
+    out = ts.its_influence(monthly(spark, sf), 40).select("t", "residual", "leverage", "student_external", "cooks_distance", "influential")
+    return rounded(rounded(rounded(out, "residual", digits=4), "leverage", "cooks_distance", digits=8), "student_external", digits=7)
 
 
 @query("its_autoregressive")
