@@ -280,6 +280,11 @@ def _(spark, sf):
     return mixed.residuals_by_group(mixed.fit_random_intercept(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], "l_suppkey"))
 
 
+@query("mixed_normality")
+def _(spark, sf):
+    return mixed.normality(mixed.fit_random_intercept(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], "l_suppkey"))
+
+
 @query("gee_binomial")
 def _(spark, sf):
     df = table(spark, sf, "events").withColumn("bought", F.expr("IF(event_type = 'purchase', 1, 0)"))

@@ -109,6 +109,20 @@ def shapiro_sql(rows):
     SELECT CAST(max(w.n) AS BIGINT) AS n, round(sum(x * CASE WHEN i = w.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = w.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / k END) ** 2 / sum(x * x), 6) AS statistic FROM m, w"""
 
 
+SHAPIRO_GROUPS = f"""WITH o AS (SELECT o_custkey AS g, CAST(o_totalprice AS DOUBLE) - avg(o_totalprice) OVER w AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS i, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey)),
+    p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM o WHERE n > 5), m AS (SELECT g, x, i, n, {quantile_sql("p")} AS m FROM p),
+    s AS (SELECT g, sum(m * m) AS ss, max(n) AS k, 1 / sqrt(max(n)) AS u, max(CASE WHEN i = n THEN m END) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2 FROM m GROUP BY 1),
+    a AS (SELECT *, m1 / sqrt(ss) + {poly_sql(h.ROYSTON_A1, "u")} AS a1, m2 / sqrt(ss) + {poly_sql(h.ROYSTON_A2, "u")} AS a2 FROM s),
+    w AS (SELECT *, sqrt((ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS f FROM a)
+    SELECT CAST(g AS VARCHAR) AS "group", max(n) AS n, round(sum(x * CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / f END) ** 2 / sum(x * x), 7) AS statistic FROM m JOIN w USING (g) GROUP BY 1"""
+
+
+@query("normality_shapiro_by_group", SHAPIRO_GROUPS)
+def _(spark, sf):
+    out = h.shapiro_by_group(table(spark, sf, "orders"), "o_custkey", "o_totalprice").where("n > 5")
+    return rounded(out.select("group", "n", "statistic"), "statistic", digits=7)
+
+
 @query("normality_shapiro_wilk", shapiro_sql("SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem"))
 def _(spark, sf):
     return rounded(h.shapiro_wilk(table(spark, sf, "lineitem"), "l_extendedprice").select("n", "statistic"), "statistic")

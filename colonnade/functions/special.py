@@ -26,6 +26,30 @@ def normal_ppf(p: float) -> float:
     return _NORMAL.inv_cdf(p)
 
 
+# Wichura's (1988) algorithm AS 241 for the normal quantile, lowest power first.
+AS241 = [
+    ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+     (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)),
+    ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+     (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 0.00000000105075007164441684324)),
+    ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 0.000000201033439929228813265),
+     (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 0.0000184631831751005468180, 0.000000142151175831644588870, 0.00000000000000204426310338993978564)),
+]
+
+
+def normal_ppf_array(p: np.ndarray) -> np.ndarray:
+    """Normal quantiles of many probabilities strictly between 0 and 1."""
+    q = p - 0.5
+    tail = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+
+    def ratio(k: int, x: np.ndarray) -> np.ndarray:
+        top, bottom = AS241[k]
+        return np.polyval(top[::-1], x) / np.polyval(bottom[::-1], x)
+
+    outer = np.sign(q) * np.where(tail <= 5, ratio(1, tail - 1.6), ratio(2, tail - 5))
+    return np.where(np.abs(q) <= 0.425, q * ratio(0, 0.180625 - q * q), outer)
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 

@@ -172,27 +172,72 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
 SHAPIRO_CHUNK = 8192
 
 
-def _score_sums(spans: DataFrame, n: int) -> DataFrame:
-    """Adds s1 and s2: the sums of the normal scores of ranks lo..hi and of their squares.
+# Normal scores computed at once.
+SCORE_BLOCK = 2_000_000
+
+
+def _score_sums(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` with s1 and s2: the sums of the normal scores of ranks lo..hi among n, and of their squares.
 
     Spans are cut into chunks first, so the ranks of a hot value are spread over tasks.
     """
     edges = F.sequence(F.col("lo"), F.col("hi"), F.lit(SHAPIRO_CHUNK).cast("long"))
-    chunks = spans.select("value", F.explode(edges).alias("a"), F.col("hi").alias("z"))
-    chunks = chunks.select("value", "a", F.least(F.col("a") + SHAPIRO_CHUNK - 1, F.col("z")).alias("b"))
+    chunks = spans.select(*keys, "n", F.explode(edges).alias("a"), F.col("hi").alias("z"))
+    chunks = chunks.select(*keys, "n", "a", F.least(F.col("a") + SHAPIRO_CHUNK - 1, F.col("z")).alias("b"))
     chunks = chunks.repartition(spans.sparkSession.sparkContext.defaultParallelism * 2)
-    quantile = special.normal_ppf  # the function travels, not its module
+    quantile = special.normal_ppf_array  # the function travels, not its module
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s1, s2 = [], []
-            for a, b in zip(pdf["a"], pdf["b"]):
-                m = np.fromiter((quantile((i - 0.375) / (n + 0.25)) for i in range(a, b + 1)), float, b - a + 1)
-                s1.append(m.sum())
-                s2.append((m * m).sum())
-            yield pd.DataFrame({"value": pdf["value"], "s1": s1, "s2": s2})
+            first, size = pdf["a"].to_numpy(), (pdf["b"] - pdf["a"] + 1).to_numpy()
+            block = np.cumsum(size) // SCORE_BLOCK
+            for k in np.unique(block):
+                lo, hi = np.searchsorted(block, [k, k + 1])
+                many = size[lo:hi]
+                begin = np.cumsum(many) - many
+                rank = np.repeat(first[lo:hi] - begin, many) + np.arange(many.sum())
+                m = quantile((rank - 0.375) / (np.repeat(pdf["n"].to_numpy()[lo:hi], many) + 0.25))
+                yield pdf.iloc[lo:hi][list(keys)].assign(s1=np.add.reduceat(m, begin), s2=np.add.reduceat(m * m, begin))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*keys).schema)
+    return chunks.mapInPandas(score, f"{kinds}, s1 double, s2 double")
+
+
+def shapiro_by_group(df: DataFrame, group: str, col: str) -> DataFrame:
+    """Shapiro-Wilk of every group at once: group, n, statistic, p_value, p_value_fitted.
+
+    One running total ranks the distinct values of all groups, one grouping sums values times normal scores; what is left of
+    a group are nine numbers. Groups of fewer than 3 values, or of equal values, have no statistic.
+    """
+    rows = _complete(df, group, col)
+    means = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c")).join(means, "g")
+    centred = counts.select("g", (F.col("v") - F.col("mean")).alias("value"), "c", "n")
+    spans = keep(running_totals(centred, ["value"], {"c": "hi"}, ["g"]).withColumn("lo", F.col("hi") - F.col("c") + 1))
+    scores = _score_sums(spans, ["g", "value"]).groupBy("g").agg(F.sum(F.col("value") * F.col("s1")).alias("xs"), F.sum("s2").alias("ss"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (F.col("hi") >= rank), F.col("value")))
+
+    n = F.col("n")
+    rest = spans.groupBy("g").agg(
+        F.max("n").alias("n"), F.sum(F.col("value") * F.col("value") * F.col("c")).alias("squares"), F.count("*").alias("k"),
+        at(F.lit(1)).alias("e1"), at(F.lit(2)).alias("e2"), at(n - 1).alias("e3"), at(n).alias("e4"),
+    )
+    statistic, tail = shapiro_statistic, shapiro_p_value
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                w = None
+                if r.n >= 3 and r.k > 1:
+                    w = statistic(r.n, r.xs, r.ss, r.squares, {1: r.e1, 2: r.e2, r.n - 1: r.e3, r.n: r.e4})
+                out.append((r.g, r.n, w, None if w is None else tail(w, r.n), w is not None and r.n <= SHAPIRO_MAX))
+            yield pd.DataFrame(out, columns=["group", "n", "statistic", "p_value", "p_value_fitted"])
 
-    return chunks.mapInPandas(score, "value double, s1 double, s2 double")
+    schema = "group string, n long, statistic double, p_value double, p_value_fitted boolean"
+    return rest.join(scores, "g").mapInPandas(test, schema)
 
 
 def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
@@ -210,8 +255,8 @@ def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
             F.lit(None).cast("double").alias("p_value"), F.lit(False).alias("p_value_fitted"))
     centred = counts.select((F.col("value") - F.lit(whole["m"])).alias("value"), "c")
     spans = running_totals(centred, ["value"], {"c": "hi"}).withColumn("lo", F.col("hi") - F.col("c") + 1)
-    spans = keep(spans.select("value", "lo", "hi", "c"))
-    sums = _score_sums(spans, n).agg(F.sum(F.col("value") * F.col("s1")).alias("xs"), F.sum("s2").alias("ss")).first()
+    spans = keep(spans.select("value", "lo", "hi", "c", F.lit(n).cast("long").alias("n")))
+    sums = _score_sums(spans, ["value"]).agg(F.sum(F.col("value") * F.col("s1")).alias("xs"), F.sum("s2").alias("ss")).first()
     squares = spans.agg(F.sum(F.col("value") * F.col("value") * F.col("c")).alias("v")).first()["v"]
     ends = {i: None for i in (1, 2, n - 1, n)}
     for r in spans.where(" OR ".join(f"(lo <= {i} AND hi >= {i})" for i in ends)).collect():  # at most four rows
@@ -222,13 +267,17 @@ def shapiro_wilk(df: DataFrame, col: str) -> DataFrame:
     return table_of(df.sparkSession, [{"test": "shapiro_wilk", "n": n, "statistic": w, "p_value": shapiro_p_value(w, n), "p_value_fitted": n <= SHAPIRO_MAX}])
 
 
+# Under names of their own: a function that travels to workers takes these along, not their module.
+_normal_ppf, _normal_sf = special.normal_ppf, special.normal_sf
+
+
 def shapiro_statistic(n: int, xs: float, ss: float, squares: float, ends: dict[int, float]) -> float:
     """W from the sum of value times score, the sums of squared scores and centred values, and the outermost values."""
     if n == 3:
         top = math.sqrt(0.5) * (ends[3] - ends[1])
         return min(top * top / squares, 1.0)
-    m1 = special.normal_ppf((n - 0.375) / (n + 0.25))
-    m2 = special.normal_ppf((n - 1.375) / (n + 0.25))
+    m1 = _normal_ppf((n - 0.375) / (n + 0.25))
+    m2 = _normal_ppf((n - 1.375) / (n + 0.25))
     u = 1 / math.sqrt(n)
     last = m1 / math.sqrt(ss) + _poly(ROYSTON_A1, u)
     outer, inner = ends[n] - ends[1], ends[n - 1] - ends[2]
@@ -255,7 +304,7 @@ def shapiro_p_value(w: float, n: int) -> float:
         mean, sd = _poly(ROYSTON_SMALL_MEAN, n), math.exp(_poly(ROYSTON_SMALL_SD, n))
     else:
         mean, sd = _poly(ROYSTON_LARGE_MEAN, math.log(n)), math.exp(_poly(ROYSTON_LARGE_SD, math.log(n)))
-    return special.normal_sf((y - mean) / sd)
+    return _normal_sf((y - mean) / sd)
 
 
 def kolmogorov_smirnov(df: DataFrame, col: str) -> DataFrame:

@@ -18,6 +18,7 @@ from colonnade.functions.results import table_of
 from colonnade.operators import glm, linear
 from colonnade.operators.linear import coefficient_rows
 from colonnade.operators.profile import QUARTILES
+from colonnade.operators.hypothesis import shapiro_by_group
 from colonnade.session import broadcast_if_small, keep
 
 
@@ -277,6 +278,19 @@ def residuals_by_group(fit: MixedFit) -> DataFrame:
     return quantile_columns(residuals(fit), ["residual"], QUARTILES, ["group"]).drop("column")
 
 
+def normality(fit: MixedFit) -> DataFrame:
+    """Shapiro-Wilk of the predicted group effects, of all residuals, and of the residuals of every group: part, n, statistic, p_value.
+
+    ``part`` is "group effects", "residuals" or "group " with the group's name. One pass of grouped order statistics.
+    """
+    errors = residuals(fit)
+    effects = random_intercepts(fit).select(F.lit("group effects").alias("part"), F.col("effect").alias("value"))
+    own = errors.select(F.concat(F.lit("group "), F.col("group").cast("string")).alias("part"), F.col("residual").alias("value"))
+    whole = errors.select(F.lit("residuals").alias("part"), F.col("residual").alias("value"))
+    tested = shapiro_by_group(effects.unionAll(whole).unionAll(own), "part", "value")
+    return tested.select(F.col("group").alias("part"), "n", "statistic", "p_value", "p_value_fitted")
+
+
 # ---------------------------------------------------------------- generalised estimating equations
 
 

@@ -434,6 +434,19 @@ def test_drawn_copies(spark):
         assert np.std((c.d - c.a + 2 * c.b)[both]) == pytest.approx(0.5, rel=0.2)
 
 
+def test_grouped_shapiro_is_the_single_test_of_each_group(spark):
+    rng = np.random.default_rng(3)
+    sizes = {"a": 2, "b": 3, "c": 5, "d": 9, "e": 12, "f": 300, "flat": 6}
+    pdf = pd.DataFrame([(k, 4.0 if k == "flat" else float(np.round(rng.exponential(), 1 if k == "f" else 6))) for k, n in sizes.items() for _ in range(n)], columns=["g", "v"])
+    got = {r["group"]: r for r in hypothesis.shapiro_by_group(spark.createDataFrame(pdf), "g", "v").collect()}
+    assert got.keys() == sizes.keys() and got["a"]["statistic"] is None and got["flat"]["statistic"] is None
+    for k in "bcdef":
+        one = hypothesis.shapiro_wilk(spark.createDataFrame(pdf[pdf.g == k]), "v").first()
+        assert got[k]["statistic"] == pytest.approx(one["statistic"]) and got[k]["p_value"] == pytest.approx(one["p_value"])
+    p = np.r_[np.linspace(1e-12, 1 - 1e-12, 400), 1e-30, 1e-200]
+    assert np.allclose(special.normal_ppf_array(p), [special.normal_ppf(v) for v in p], rtol=1e-9, atol=1e-12)
+
+
 def test_exact_matching_balances_keys(spark):
     pdf = pd.DataFrame({"id": range(40), "t": [i % 4 == 0 for i in range(40)], "k": [i % 3 for i in range(40)]})
     df = spark.createDataFrame(pdf).withColumn("t", F.col("t").cast("int")).withColumn("k", F.col("k").cast("string"))
