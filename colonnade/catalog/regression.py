@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from colonnade.catalog.base import DIRTY_SQL, dirty_lineitem, logistic_ctes, query, table, two_sided_sql
 from colonnade.catalog.profiling import rounded
 from colonnade.catalog.testing import shapiro_sql
-from colonnade.operators import glm, linear
+from colonnade.operators import absorb, glm, linear
 
 # Two-predictor least squares from centred moments; y ~ a + b.
 OLS2 = """m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS saa,
@@ -446,3 +446,31 @@ def _(spark, sf):
 def _(spark, sf):
     df, fit = urgent_fit(spark, sf)
     return glm.ratio_sentences(glm.coefficients(df, fit), "odds")
+
+
+# One column a level would be as many columns as orders; the check demeans by order.
+WITHIN = """WITH d AS (SELECT l_orderkey AS g, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b FROM lineitem),
+    w AS (SELECT g, y - avg(y) OVER v AS y, a - avg(a) OVER v AS a, b - avg(b) OVER v AS b FROM d WINDOW v AS (PARTITION BY g)),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by", sum(y * y) AS yy, count(*) AS n, count(DISTINCT g) AS k FROM w),
+    c AS (SELECT *, (ay * bb - "by" * ab) / (aa * bb - ab * ab) AS ca, ("by" * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s),
+    v AS (SELECT *, (yy - ca * ay - cb * "by") / (n - k - 2) AS s2 FROM c)"""
+
+
+@query("ols_absorbed_levels", WITHIN + """ SELECT 'l_quantity' AS term, round(ca, 5) AS coefficient, round(sqrt(s2 * bb / (aa * bb - ab * ab)), 5) AS std_error, n, k AS levels FROM v
+    UNION ALL SELECT 'l_discount', round(cb, 5), round(sqrt(s2 * aa / (aa * bb - ab * ab)), 5), n, k FROM v""")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem")
+    out = absorb.absorbed_coefficients(df, absorb.fit_absorbed(df, "l_extendedprice", ["l_quantity", "l_discount"], "l_orderkey"))
+    return rounded(out.select("term", "coefficient", "std_error", "n", "levels"), "coefficient", "std_error", digits=5)
+
+
+@query("ols_level_effects", WITHIN + """ SELECT d.g AS level, count(*) AS n, round(avg(d.y) - any_value(ca) * avg(d.a) - any_value(cb) * avg(d.b), 4) AS effect FROM d, c GROUP BY 1""")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem")
+    return rounded(absorb.fit_absorbed(df, "l_extendedprice", ["l_quantity", "l_discount"], "l_orderkey").effects(), "effect", digits=4)
+
+
+@query("dummy_coding", """SELECT o_orderkey AS row_id, 'o_custkey' AS "column", dense_rank() OVER (ORDER BY o_custkey) - 1 AS code FROM orders QUALIFY code > 0
+    UNION ALL SELECT o_orderkey, 'o_orderstatus', dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS code FROM orders QUALIFY code > 0""")
+def _(spark, sf):
+    return absorb.sparse_coding(table(spark, sf, "orders"), "o_orderkey", ["o_custkey", "o_orderstatus"])

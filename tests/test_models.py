@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import risksets, special
 from colonnade.functions.gram import build_design, weighted_sums
-from colonnade.operators import causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
+from colonnade.operators import absorb, causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
 
 
 @pytest.fixture(scope="module")
@@ -434,6 +434,28 @@ def test_drawn_copies(spark):
         assert np.std((c.d - c.a + 2 * c.b)[both]) == pytest.approx(0.5, rel=0.2)
 
 
+def test_absorbed_levels_equal_a_column_for_each(spark):
+    rng = np.random.default_rng(9)
+    n = 500
+    pdf = pd.DataFrame({"k": rng.integers(0, 60, n).astype(str), "a": rng.normal(1000, 1, n), "b": rng.normal(size=n)})
+    pdf["y"] = 3 * pdf.a - 2 * pdf.b + pdf.k.astype(int) ** 2 + rng.normal(size=n)
+    pdf.loc[::50, "b"] = np.nan
+    pdf.loc[1, "k"] = None
+    full = pdf.dropna()
+    d = pd.get_dummies(full.k).to_numpy(float)
+    x = np.hstack([full[["a", "b"]].to_numpy(), d])
+    beta, rss, *_ = np.linalg.lstsq(x, full.y.to_numpy(), rcond=None)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, a double, b double, y double")
+    fit = absorb.fit_absorbed(df, "y", ["a", "b"], "k")
+    assert fit.beta == pytest.approx(beta[:2], rel=1e-6) and fit.levels == d.shape[1] and fit.n == len(full)
+    s2 = ((full.y.to_numpy() - x @ beta) ** 2).sum() / (len(full) - x.shape[1])
+    assert fit.covariance == pytest.approx(s2 * np.linalg.inv(x.T @ x)[:2, :2], rel=1e-4, abs=1e-9)
+    effects = {r["level"]: r["effect"] for r in fit.effects().collect()}
+    assert [effects[k] for k in sorted(effects)] == pytest.approx(beta[2:], rel=1e-4)
+    codes = absorb.sparse_coding(df.withColumn("id", F.monotonically_increasing_id()), "id", ["k"]).collect()
+    assert len(codes) == (pdf.k.notna() & (pdf.k != min(pdf.k.dropna()))).sum() and {r["code"] for r in codes} == set(range(1, d.shape[1]))
+
+
 def test_grouped_shapiro_is_the_single_test_of_each_group(spark):
     rng = np.random.default_rng(3)
     sizes = {"a": 2, "b": 3, "c": 5, "d": 9, "e": 12, "f": 300, "flat": 6}
