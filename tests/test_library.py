@@ -132,7 +132,9 @@ def test_no_sampling_and_no_local_checkpoint_in_models():
 
 
 QUICK = ["core_metrics", "profile_numeric", "outliers_iqr", "value_counts", "impute_group_median", "duplicate_preview", "ecdf_quantiles", "histogram_2d",
-         "kruskal_wallis", "ols_influence", "logistic_coefficients", "kaplan_meier_by_group", "decompose_additive", "matched_effect", "knn_classify", "html_tables"]
+         "kruskal_wallis", "ols_influence", "logistic_coefficients", "kaplan_meier_by_group", "decompose_additive", "matched_effect", "knn_classify", "html_tables",
+         "series_preparation", "series_preparation_unparsable", "correlation_test_kendall", "cox_one_predictor", "imputed_known_cells",
+         "impute_iterative_one_column", "ols_absorbed_levels", "dummy_coding", "dbscan_labels", "sarima_unit_roots", "normality_shapiro_by_group"]
 
 
 @pytest.mark.parametrize("name", entry_module.queries() if os.environ.get("ALL_QUERIES") else QUICK)
