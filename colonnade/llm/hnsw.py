@@ -3,14 +3,17 @@
 Equal vectors are one node. Nodes are dealt to shards by hash; each shard builds its own layered graph (bounded by
 ``SHARD_NODES``), so shards are independent tasks. Every node then searches every shard, in blocks of queries. A beam that
 is full of links is widened until it also holds something that is no link; past a width, the query is compared with its
-whole shard, so no number of links is cut off. Each block audits itself: for a sample of its
-queries the links are also computed by brute force, and the beams of the whole block are doubled until the audited recall
-reaches the target. Every link is verified by the cosine in double precision. Tasks return link counts and a spanning
-forest of their links; components are united over the forests.
+whole shard, so no number of links is cut off. Each block audits itself: for queries drawn at random, whatever was found
+for them, the links to other nodes are also computed by brute force, until a stated number of true links or a quarter of
+the block is reached; beams of the whole block are doubled until the audited recall reaches the target, at last up to the
+comparison with the whole shard. The audits of all blocks are added up as well: where links are too sparse for a block to
+judge, their sum decides whether the search runs again with beams twice as wide. Every link is verified by the cosine in
+double precision. Tasks return link counts and a spanning forest of their links; components are united over the forests.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing; vectors of
 different length do not link; equal vectors link with each other; a null vec_id takes part but names no component;
-repeated rows count as other vectors of equal value; an empty table gives an empty result.
+repeated rows count as other vectors of equal value; an empty table gives an empty result; other columns are not read,
+whatever their names; ``audited_recall`` is null where the audits met no true link.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from colonnade.context import ref
 from colonnade.llm.common import components, settle
 from colonnade.session import materialise
 
+# A shard holds no more nodes than this, and no more bytes of vectors: they travel in one cell.
 SHARD_NODES = 100_000
+SHARD_BYTES = 400_000_000
 LEAST_SHARDS = 4
 QUERY_BLOCK = 16_384  # least queries in a block; blocks grow with the table up to the size of a shard
 DEGREE = 16
@@ -37,7 +42,9 @@ SEARCH_BEAM = 48
 # A query whose links would need a wider beam than this is compared with every vector of the shard instead.
 WIDEST_BEAM = 1024
 TARGET_RECALL = 0.98
-AUDITED = 256
+# A block's audit ends at so many true links, or with this share of its queries.
+AUDIT_LINKS = 200
+AUDIT_SHARE = 0.25
 BATCH = 256
 
 
@@ -183,28 +190,49 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
 
 
-def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, target: float = TARGET_RECALL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Verified links (query, node) with cosine at least ``threshold``, and the recall audited last."""
+def audited_links(
+    graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, target: float = TARGET_RECALL, beam: int = SEARCH_BEAM
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Verified links (query, node) with cosine at least ``threshold``, true links of the last audit, and those found.
+
+    A query that equals a node is that node; the pair is returned but is no link to the audit.
+    """
     slack = 1e-4  # float32 search, double verification
     length = np.linalg.norm(vectors, axis=1)
     own = np.linalg.norm(queries, axis=1)
     small = unit(queries)
+    block = max(1, 8_000_000 // len(vectors))
 
     def verified(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cosine = np.einsum("ed,ed->e", queries[q], vectors[v]) / (own[q] * length[v])
         return q[cosine >= threshold], v[cosine >= threshold]
 
-    beam = SEARCH_BEAM
+    def compared(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.nonzero(small[part[lo : lo + block]] @ graph.base.T >= threshold - slack) for lo in range(0, len(part), block)]
+        empty = [np.zeros(0, dtype=int)]
+        return part[np.concatenate(empty + [r + i * block for i, (r, _) in enumerate(found)])], np.concatenate(empty + [c for _, c in found])
+
+    def others(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return (queries[q] != vectors[v]).any(axis=1)
+
+    drawn = np.random.default_rng(len(queries)).permutation(len(queries))
+    audited, true = np.zeros(len(queries), dtype=bool), 0
+    for lo in range(0, math.ceil(AUDIT_SHARE * len(queries)), block):
+        part = drawn[lo : min(lo + block, max(1, math.ceil(AUDIT_SHARE * len(queries))))]
+        audited[part] = True
+        true += int(others(*verified(*compared(part))).sum())
+        if true >= AUDIT_LINKS:
+            break
     while True:
         found_q, found_v = [], []
         todo, width = np.arange(len(queries)), min(beam, len(vectors))
+        # Beams as wide as the shard that still lose links leave only the comparison with the whole shard.
+        whole = beam > max(WIDEST_BEAM, len(vectors)) or beam >= 2 * len(vectors)
         while len(todo):
-            if width > WIDEST_BEAM:
-                size = max(1, 8_000_000 // len(vectors))
-                for lo in range(0, len(todo), size):
-                    r, c = np.nonzero(small[todo[lo : lo + size]] @ graph.base.T >= threshold - slack)
-                    found_q.append(todo[lo + r])
-                    found_v.append(c)
+            if whole or width > WIDEST_BEAM:
+                q, v = compared(todo)
+                found_q.append(q)
+                found_v.append(v)
                 break
             again = []
             size = max(1, min(512, 32_000_000 // (len(vectors) + 1)))
@@ -219,18 +247,19 @@ def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold:
                 found_v.append(ids[r, c])
             todo, width = np.concatenate(again), min(2 * width, len(vectors))
         q, v = verified(np.concatenate(found_q), np.concatenate(found_v))
-        linked = np.unique(q)
-        audit = np.unique(np.concatenate([linked[:: max(1, len(linked) // (AUDITED // 2))], np.arange(0, len(queries), max(1, 2 * len(queries) // AUDITED))]))
-        true = small[audit] @ graph.base.T >= threshold - slack
-        ti, tv = np.nonzero(true)
-        tq, tv = verified(audit[ti], tv)
-        have = np.isin(q, audit).sum()
-        recall = have / len(tq) if len(tq) else 1.0
-        if recall >= target or beam >= len(vectors):
-            return q, v, recall
+        seen = audited[q]
+        have = int(others(q[seen], v[seen]).sum())
+        if have >= target * true or whole:
+            return q, v, true, have
         beam *= 2
 
 
+def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, target: float = TARGET_RECALL) -> tuple[np.ndarray, np.ndarray, float]:
+    """Verified links (query, node) with cosine at least ``threshold``, and the recall audited last."""
+    q, v, true, have = audited_links(graph, vectors, queries, threshold, target)
+    return q, v, have / true if true else 1.0
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Spanning forest of the links of one task."""
     parent: dict[int, int] = {}
@@ -250,11 +279,15 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
-def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> DataFrame:
-    """Rows (a, b, n): a link of a task's forest when n is null, else n rows linked to node a as one task counted them."""
-    n = nodes.count()
-    shards = max(LEAST_SHARDS, math.ceil(n / SHARD_NODES))
-    blocks = max(1, math.ceil(n / min(SHARD_NODES, max(QUERY_BLOCK, n // 64))))
+def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> tuple[DataFrame, float | None]:
+    """Rows (a, b, n) and the audited recall, null where the audits met no true link.
+
+    A row is a link of a task's forest when n is null, else n rows linked to node a as one task counted them.
+    """
+    size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    n, most = size["n"], max(1, min(SHARD_NODES, SHARD_BYTES // (8 * (size["dim"] or 1))))
+    shards = max(LEAST_SHARDS, math.ceil(n / most))
+    blocks = max(1, math.ceil(n / min(most, max(QUERY_BLOCK, n // 64))))
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -271,29 +304,44 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> D
     right = nodes.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(blocks)).cast("int")).select("*", every_shard)
     keys = ["dim", "shard", "block"]
 
-    def query(index_rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(index_rows) or not len(queries):
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        row = index_rows.iloc[0]
-        dim = int(row["dim"])
-        vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
-        ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.int64)
-        own = queries["node"].to_numpy(np.int64)
-        q, v, _ = links_of(Graph.load(row["graph"], unit(vectors)), vectors, np.array(queries["vector"].tolist(), dtype=np.float64), threshold)
-        other = own[q] != ids[v]
-        q, v = q[other], v[other]
-        total = np.bincount(q, weights=counts[v], minlength=len(own)).astype(np.int64)
-        some = np.flatnonzero(total)
-        links = forest(np.stack([own[q], ids[v]], axis=1))
-        rows = pd.DataFrame({"a": own[some], "b": pd.array([None] * len(some), dtype="Int64"), "n": pd.array(total[some], dtype="Int64")})
-        more = pd.DataFrame({"a": links[:, 0], "b": pd.array(links[:, 1], dtype="Int64"), "n": pd.array([None] * len(links), dtype="Int64")})
-        return pd.concat([rows, more], ignore_index=True)
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(query, "a long, b long, n long")
+    def query(beam: int):
+        def run(index_rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            if not len(index_rows) or not len(queries):
+                return pd.DataFrame({"a": [], "b": [], "n": [], "hits": []})
+            row = index_rows.iloc[0]
+            dim = int(row["dim"])
+            vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
+            ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.int64)
+            own = queries["node"].to_numpy(np.int64)
+            asked = np.array(queries["vector"].tolist(), dtype=np.float64)
+            q, v, true, have = audited_links(Graph.load(row["graph"], unit(vectors)), vectors, asked, threshold, beam=beam)
+            other = own[q] != ids[v]
+            q, v = q[other], v[other]
+            total = np.bincount(q, weights=counts[v], minlength=len(own)).astype(np.int64)
+            some = np.flatnonzero(total)
+            links = forest(np.stack([own[q], ids[v]], axis=1))
+            parts = [
+                pd.DataFrame({"a": own[some], "n": total[some]}),
+                pd.DataFrame({"a": links[:, 0], "b": links[:, 1]}),
+                pd.DataFrame({"n": [true], "hits": [have]}),
+            ]
+            return pd.concat([p.astype("Int64").reindex(columns=["a", "b", "n", "hits"]) for p in parts], ignore_index=True).astype("Int64")
+
+        return run
+
+    beam = SEARCH_BEAM
+    while True:
+        found = materialise(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(query(beam), "a long, b long, n long, hits long"))
+        audit = found.where(F.col("a").isNull()).agg(F.sum("n").alias("true"), F.sum("hits").alias("hits")).first()
+        recall = audit["hits"] / audit["true"] if audit["true"] else None
+        # Single blocks stop at the comparison with the whole shard, which loses nothing; so does this.
+        if recall is None or recall >= TARGET_RECALL or beam > WIDEST_BEAM:
+            return found.where(F.col("a").isNotNull()).drop("hits"), recall
+        beam *= 2
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+    """One row per vector: vec_id, n_links, component_id, kept, and the recall audited over the whole search."""
     rows = vectors.select(ref(id_col).alias("vec_id"), ref(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
@@ -301,14 +349,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     equal = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     # The numbers of the nodes are fixed by the checkpoint.
     nodes = materialise(equal.withColumn("dim", F.size("vector")).withColumn("node", F.monotonically_increasing_id()))
-    found = materialise(search_shards(nodes.select("node", "dim", "vector", "copies"), threshold))
+    found, recall = search_shards(nodes.select("node", "dim", "vector", "copies"), threshold)
     labels = components(found.where(F.col("b").isNotNull()).select("a", "b"))
     counts = found.where(F.col("n").isNotNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = nodes.join(labels, "node", "left").join(counts, "node", "left")
     named = named.select("vector", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = settle(named.join(least, "component").select("vector", "n_links", "component_id"))
-    out = rows.withColumn("key", F.when(good, F.col("vector"))).join(named.withColumnRenamed("vector", "key"), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    linked = rows.where(good).join(named, "vector").select("vec_id", "n_links", "component_id")
+    # The others have no key to be joined by and would all meet in one task.
+    alone = rows.where(~good).select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("audited_recall", F.lit(recall).cast("double"))

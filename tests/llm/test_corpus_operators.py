@@ -287,6 +287,48 @@ def test_many_links_of_one_vector(monkeypatch):
     assert len(hnsw.links_of(again, x, x, 0.9)[0]) == len(q)
 
 
+def sparse_pairs(n=20_000, pairs=50):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 16))
+    x[pairs : 2 * pairs] = x[:pairs] + rng.normal(size=(pairs, 16)) * 0.02
+    return x
+
+
+class Losing(hnsw.Graph):
+    """A graph whose search finds nothing but the query itself."""
+
+    def search(self, queries, beam):
+        ids = np.full((len(queries), beam), -1)
+        sims = np.full((len(queries), beam), -3.0, dtype=np.float32)
+        near = queries @ self.base.T
+        ids[:, 0], sims[:, 0] = near.argmax(axis=1), near.max(axis=1)
+        return ids, sims
+
+
+def test_the_audit_sees_sparse_links_that_are_lost():
+    x = sparse_pairs()
+    graph = Losing(hnsw.unit(x), [])
+    q, v, true, have = hnsw.audited_links(graph, x, x, 0.9, target=0.0)  # the first search is taken as it is
+    assert true > 10 and have == 0
+    # Beams that go on losing links end in the comparison with the whole shard.
+    q, v, recall = hnsw.links_of(graph, x, x, 0.9)
+    assert recall == 1.0 and (q != v).sum() >= 100
+
+
+def test_small_shards_that_lose_links_are_compared_whole():
+    x = sparse_pairs(400, 40)
+    q, v, recall = hnsw.links_of(Losing(hnsw.unit(x), []), x, x, 0.9)
+    assert recall == 1.0 and (q != v).sum() >= 80
+
+
+def test_hnsw_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], "a", 1), (1, [1.0, 0.0], "b", 2), (2, [1.0, 0.001], None, 3), (None, [1.0, 0.0], "c", 4), (5, [0.0, 1.0], "d", 5), (None, None, "e", 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, component long")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(table).collect()), key=str)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (5, 0, 5, True), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+
+
 # pipeline
 
 
