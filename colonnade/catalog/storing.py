@@ -32,6 +32,27 @@ def _(spark, sf):
     return rounded(impute.impute_knn(knn_rows(spark, sf), "id", ["a", "b", "c"], 5).select("id", "a"), "a", digits=5)
 
 
+GAPPED = "SELECT id, CASE WHEN id % 7 <> 0 THEN a END AS a, CASE WHEN id % 5 <> 0 THEN b END AS b, CASE WHEN id % 3 <> 0 THEN c END AS c FROM rows"
+SHARED = "((q.a IS NOT NULL AND r.a IS NOT NULL)::INT + (q.b IS NOT NULL AND r.b IS NOT NULL)::INT + (q.c IS NOT NULL AND r.c IS NOT NULL)::INT)"
+APART = "(coalesce((q.a - r.a) * (q.a - r.a), 0) + coalesce((q.b - r.b) * (q.b - r.b), 0) + coalesce((q.c - r.c) * (q.c - r.c), 0))"
+
+
+def donor_sql(x: str) -> str:
+    """Mean of the five nearest donors of column ``x``, every pair compared."""
+    return f"""SELECT id, avg(v) AS g FROM (SELECT q.id, r.{x} AS v FROM d q JOIN d r ON q.{x} IS NULL AND r.{x} IS NOT NULL AND {SHARED} > 0
+    QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY sqrt({APART} * 3.0 / {SHARED}), r.id) <= 5) GROUP BY 1"""
+
+
+@query("impute_knn_many_gaps", f"""WITH rows AS ({KNN_ROWS}), d AS ({GAPPED}), fa AS ({donor_sql("a")}), fb AS ({donor_sql("b")}), fc AS ({donor_sql("c")}), m AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c FROM d)
+    SELECT d.id, round(coalesce(d.a, fa.g, m.a), 5) AS a, round(coalesce(d.b, fb.g, m.b), 5) AS b, round(coalesce(d.c, fc.g, m.c), 5) AS c
+    FROM d CROSS JOIN m LEFT JOIN fa ON fa.id = d.id LEFT JOIN fb ON fb.id = d.id LEFT JOIN fc ON fc.id = d.id""")
+def _(spark, sf):
+    """All three columns have gaps, in every combination."""
+    gaps = [f"CASE WHEN id % {m} <> 0 THEN {c} END AS {c}" for m, c in ((7, "a"), (5, "b"), (3, "c"))]
+    out = impute.impute_knn(knn_rows(spark, sf).selectExpr("id", *gaps), "id", ["a", "b", "c"], 5)
+    return rounded(rounded(rounded(out, "a", digits=5), "b", digits=5), "c", digits=5)
+
+
 @query("impute_iterative")
 def _(spark, sf):
     return impute.impute_iterative(dirty_lineitem(spark, sf), ["quantity", "price", "tax", "discount"]).select("quantity", "price", "tax", "discount")

@@ -135,7 +135,7 @@ def _search(k: int):
     return run
 
 
-def _smallest_ids(refs: DataFrame, k: int) -> DataFrame:
+def smallest_ids(refs: DataFrame, k: int) -> DataFrame:
     """At most the k smallest ids of every distinct vector: no other can be among the k nearest."""
     salted = refs.withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
     part = W.partitionBy("vec", "_salt").orderBy("rid")
@@ -149,7 +149,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, leaf_rows: int = LEAF_
 
     ``queries`` has (qid, vec), ``refs`` has (rid bigint, vec), both with equally long double arrays.
     """
-    refs = keep(_smallest_ids(refs.select("rid", "vec"), k))
+    refs = keep(smallest_ids(refs.select("rid", "vec"), k))
     n = refs.count()
     if not n:
         return queries.select("qid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank")).limit(0)

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colonnade.context import free_names, normalise_missing, numeric_columns, ref
 from colonnade.functions.gram import weighted_sums
-from colonnade.functions.neighbors import knn_join
+from colonnade.functions.partial_neighbors import nearest_donors
 from colonnade.session import broadcast_if_small, keep, materialise
 
 
@@ -24,51 +23,33 @@ def _usable(df: DataFrame, cols: Sequence[str]) -> list[str]:
 def impute_knn(df: DataFrame, row_id: str, cols: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """Mean of the k nearest donors that know the value; distance over the shared known columns, scaled up for gaps.
 
-    Rows are split by their pattern of gaps. For each pattern of receivers and of donors the shared columns are fixed,
-    so the neighbours come from an exact k-d tree join; the patterns' candidates are then ranked together. A value
-    without any donor gets the column mean. Ties go to the smaller row id.
+    One search serves all patterns of gaps and all columns (``functions/partial_neighbors.py``); equal rows ask once. A value
+    without any donor gets the column mean. Ties go to the smaller row id; rows without an id are filled but give nothing.
+    Complete rows pass through without a shuffle.
     """
     df = normalise_missing(df)
     cols = _usable(df, list(cols or [c for c in numeric_columns(df) if c != row_id]))
+    if not cols:
+        return df
     p = len(cols)
-    rows = keep(df.select(
-        ref(row_id).cast("long").alias("id"), *[ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
-        F.concat(*[F.when(ref(c).isNull(), "1").otherwise("0") for c in cols]).alias("gaps"),  # one sign per column
-    ))
-    patterns = sorted(r["gaps"] for r in rows.select("gaps").distinct().collect())  # the patterns that occur
-    means = rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)])
-    found = None
-    for mine in patterns:
-        if "1" not in mine:
-            continue
-        receivers = rows.where(F.col("gaps") == mine)
-        for theirs in patterns:
-            shared = [i for i in range(p) if mine[i] == theirs[i] == "0"]
-            targets = [i for i in range(p) if mine[i] == "1" and theirs[i] == "0"]
-            if not shared or not targets:
-                continue
-            scale = math.sqrt(p / len(shared))
-            vec = F.array(*[F.col(f"x{i}") * F.lit(scale) for i in shared])
-            donors = rows.where(F.col("gaps") == theirs)
-            near = knn_join(receivers.select(F.col("id").alias("qid"), vec.alias("vec")), donors.select(F.col("id").alias("rid"), vec.alias("vec")), k)
-            values = near.join(donors.select(F.col("id").alias("rid"), *[f"x{i}" for i in targets]), "rid")
-            cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in targets]))
-            part = values.select("qid", "rid", "distance", cells.alias("_c")).select("qid", "rid", "distance", "_c.i", "_c.v")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        filled = rows
-        guess = [F.lit(None).cast("double")] * p
-    else:
-        best = W.partitionBy("qid", "i").orderBy("distance", "rid")  # at most k rows per donor pattern
-        top = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-        wide = top.groupBy(F.col("qid").alias("id")).agg(*[F.avg(F.when(F.col("i") == i, F.col("v"))).alias(f"g{i}") for i in range(p)])
-        filled = rows.join(wide, "id", "left")
-        guess = [F.col(f"g{i}") for i in range(p)]
-    filled = filled.join(F.broadcast(means)).select(
-        F.col("id").alias("_id"), *[F.coalesce(f"x{i}", guess[i], F.col(f"m{i}")).alias(f"_v{i}") for i in range(p)]
-    )
-    joined = df.join(filled, ref(row_id).cast("long") == F.col("_id"))
-    return joined.select(*[F.col(f"_v{cols.index(c)}").alias(c) if c in cols else ref(c) for c in df.columns])
+    vec_name, *guesses = free_names(df.columns, "vec", *[f"g{i}" for i in range(p)])
+    vec = F.array(*[F.coalesce(ref(c).cast("double"), F.lit(float("nan"))) for c in cols])
+    rows = keep(df.select(ref(row_id).cast("long").alias("id"), vec.alias("vec")))
+    queries, found = nearest_donors(rows, p, k)
+    means = df.agg(*[F.avg(ref(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    wide = found.groupBy("qid").agg(*[F.avg(F.when(F.col("target") == i, F.col("value"))).alias(f"g{i}") for i in range(p)])
+    named = queries.join(wide, "qid", "left").select(
+        F.col("vec").alias(vec_name), *[F.coalesce(f"g{i}", F.lit(means[f"m{i}"])).alias(guesses[i]) for i in range(p)])
+    gap = F.lit(False)
+    for c in cols:
+        gap = gap | ref(c).isNull()
+    filled = df.where(gap).withColumn(vec_name, vec).join(named, vec_name, "left")
+
+    def shown(guess: Sequence[str | None]) -> list[Column]:
+        value = {c: F.coalesce(ref(c).cast("double"), *([ref(g)] if g else [])).alias(c) for c, g in zip(cols, guess, strict=True)}
+        return [value.get(c, ref(c)) for c in df.columns]
+
+    return df.where(~gap).select(*shown([None] * p)).unionByName(filled.select(*shown(guesses)))
 
 
 def bayesian_ridge(gram: np.ndarray, right: np.ndarray, yy: float, n: float, rounds: int = 300) -> tuple[np.ndarray, float, np.ndarray]:

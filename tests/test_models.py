@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from colonnade.functions import risksets, special
+from colonnade.functions import partial_neighbors, risksets, special
 from colonnade.functions.gram import build_design, weighted_sums
 from colonnade.operators import absorb, causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
 
@@ -384,6 +384,64 @@ def test_knn_imputation_with_gaps_in_donors(spark):
                 assert got.iloc[i]["abc"[c]] == pytest.approx(want, rel=1e-9)
 
 
+def brute_donor_means(x, k):
+    """Mean of the k nearest donors of every gap, computed pair by pair."""
+    out = x.copy()
+    for i, c in zip(*np.nonzero(np.isnan(x)), strict=True):
+        both = ~np.isnan(x[i]) & ~np.isnan(x)
+        d = np.sqrt(np.where(both, (np.nan_to_num(x) - np.nan_to_num(x[i])) ** 2, 0.0).sum(1) * x.shape[1] / np.maximum(both.sum(1), 1))
+        donors = [j for j in np.argsort(d, kind="stable") if both[j].any() and not np.isnan(x[j, c])]
+        out[i, c] = x[donors[:k], c].mean() if donors else np.nanmean(x[:, c])
+    return out
+
+
+@pytest.mark.parametrize("leaf_rows", [7, 100_000])
+def test_donors_of_partly_known_rows_against_brute_force(spark, monkeypatch, leaf_rows):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(700, 5)) * [1, 1, 5, 1, 1]
+    x[:, 4] = x[:, 4].round()
+    x[rng.random(x.shape) < [0.05, 0.3, 0.2, 0.1, 0.97]] = np.nan  # the last column has few donors
+    x[200:400] = x[0]  # a hot row
+    x[400] = np.nan
+    monkeypatch.setattr(partial_neighbors, "DONORS_PER_TASK", 50)
+    monkeypatch.setattr(partial_neighbors, "QUERIES_PER_TASK", 30)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    queries, found = partial_neighbors.nearest_donors(rows, 5, 4, leaf_rows)
+    got = {(r["qid"], r["target"]): r["v"] for r in found.groupBy("qid", "target").agg({"value": "avg"}).withColumnRenamed("avg(value)", "v").collect()}
+    number = {tuple(np.nan_to_num(r["vec"], nan=99.0)): r["qid"] for r in queries.collect()}
+    want = brute_donor_means(x, 4)
+    for i, c in zip(*np.nonzero(np.isnan(x)), strict=True):
+        if i != 400:
+            assert got[number[tuple(np.nan_to_num(x[i], nan=99.0))], c] == pytest.approx(want[i, c], rel=1e-9)
+    assert not any(q == number[(99.0,) * 5] for q, _ in got)  # nothing known, nothing shared
+
+
+def test_knn_imputation_jobs_do_not_grow_with_patterns(spark):
+    rng = np.random.default_rng(32)
+    jobs = []
+    for share in ([0, 0, 0, 0.3], [0.3, 0.3, 0.3, 0.3]):
+        x = rng.normal(size=(200, 4))
+        x[rng.random(x.shape) < share] = np.nan
+        frame = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(id=range(200)))
+        group = f"knn-{share[0]}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert impute.impute_knn(frame, "id", list("abcd"), 3).toPandas().notna().all().all()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[1] <= jobs[0] + 4  # plans adapt to sizes, not to patterns
+
+
+def test_knn_imputation_of_odd_tables(spark):
+    schema = "id long, a double, b double, vec string, g0 string, c double"
+    assert impute.impute_knn(spark.createDataFrame([], schema), "id", ["a", "b"]).count() == 0
+    rows = [(1, 1.0, 1.0, "x", "y", None), (1, 1.0, 1.0, "x", "y", None), (2, None, 1.0, None, None, None), (None, None, 1.0, "z", None, None), (None, 9.0, 1.0, "z", None, None), (3, None, None, "", "", None)]
+    out = impute.impute_knn(spark.createDataFrame(rows, schema), "id", ["a", "b", "c"], 2)
+    assert out.columns == ["id", "a", "b", "vec", "g0", "c"]
+    got = sorted(((r["id"], r["a"], r["b"], r["c"]) for r in out.collect()), key=str)
+    mean = 11 / 3
+    assert got == sorted([(1, 1.0, 1.0, None), (1, 1.0, 1.0, None), (2, 1.0, 1.0, None), (None, 1.0, 1.0, None), (None, 9.0, 1.0, None), (3, mean, 1.0, None)], key=str)
+
+
 def test_iterative_imputation_recovers_a_linear_relation(spark):
     rng = np.random.default_rng(15)
     a = rng.normal(size=300)
