@@ -79,14 +79,30 @@ def _(spark, sf):
     return rounded(m.match_with_replacement(units(spark, sf), 2, 0.01), "distance", digits=9)
 
 
-@query("match_greedy_caliper")
+def greedy_sql(k: int, caliper: str = "'infinity'::DOUBLE", stratum: str = "'all'") -> str:
+    """The sequential matching, one pick a step: treated units from the highest score down, each taking the nearest free control
+    above or below it. The free controls of a stratum are the ones in a text with a sign per control, in score order."""
+    return BASE.replace("WITH d", "WITH RECURSIVE d") + f""", o AS (SELECT *, {stratum} AS s, count(*) FILTER (treated = 0) OVER (PARTITION BY {stratum} ORDER BY ps DESC) AS above FROM d),
+    c AS (SELECT s, list(id ORDER BY ps DESC, id) AS cid, list(ps ORDER BY ps DESC, id) AS cps FROM o WHERE treated = 0 GROUP BY 1),
+    t AS (SELECT s, list(id ORDER BY ps DESC, id) AS tid, list(ps ORDER BY ps DESC, id) AS tps, list(above ORDER BY ps DESC, id) AS place FROM o WHERE treated = 1 GROUP BY 1),
+    u AS (SELECT * FROM t JOIN c USING (s)),
+    r AS (SELECT s, CAST(0 AS BIGINT) AS n, repeat('1', len(cid)) AS free, CAST(NULL AS BIGINT) AS pick FROM u UNION ALL
+        SELECT s, n + 1, CASE WHEN pick IS NULL THEN free ELSE left(free, pick - 1) || '0' || substr(free, pick + 1) END, pick FROM (
+        SELECT s, n, free, CAST(CASE WHEN least(up, down) <= {caliper} AND least(up, down) < 'infinity'::DOUBLE THEN CASE WHEN up <= down THEN hi ELSE lo END END AS BIGINT) AS pick FROM (
+        SELECT s, n, free, hi, lo, coalesce(cps[hi] - score, 'infinity'::DOUBLE) AS up, coalesce(score - cps[lo], 'infinity'::DOUBLE) AS down FROM (
+        SELECT s, n, free, cps, tps[n // {k} + 1] AS score, place[n // {k} + 1] + 1 - nullif(strpos(reverse(left(free, place[n // {k} + 1])), '1'), 0) AS hi,
+            place[n // {k} + 1] + nullif(strpos(substr(free, place[n // {k} + 1] + 1), '1'), 0) AS lo FROM r JOIN u USING (s) WHERE n < {k} * len(tid)))))
+    SELECT tid[(n - 1) // {k} + 1] AS treated_id, cid[pick] AS control_id, round(abs(cps[pick] - tps[(n - 1) // {k} + 1]), 9) AS distance FROM r JOIN u USING (s) WHERE pick IS NOT NULL"""
+
+
+@query("match_greedy_caliper", greedy_sql(1, "0.01"))
 def _(spark, sf):
-    return m.match_without_replacement(units(spark, sf), 1, 0.01)
+    return rounded(m.match_without_replacement(units(spark, sf), 1, 0.01), "distance", digits=9)
 
 
-@query("match_greedy_one_to_two")
+@query("match_greedy_one_to_two", greedy_sql(2))
 def _(spark, sf):
-    return m.match_without_replacement(units(spark, sf), 2)
+    return rounded(m.match_without_replacement(units(spark, sf), 2), "distance", digits=9)
 
 
 EXACT = BASE + """, r AS (SELECT id, treated, c_mktsegment || '|' || o_orderstatus AS k, row_number() OVER (PARTITION BY c_mktsegment, o_orderstatus, treated ORDER BY id) AS n FROM d),
@@ -102,9 +118,9 @@ def _(spark, sf):
     return exact_pairs(spark, sf)
 
 
-@query("match_exact_then_score")
+@query("match_exact_then_score", greedy_sql(1, "0.01", "c_mktsegment"))
 def _(spark, sf):
-    return m.match_without_replacement(units(spark, sf, ["c_mktsegment"]), 1, 0.01)
+    return rounded(m.match_without_replacement(units(spark, sf, ["c_mktsegment"]), 1, 0.01), "distance", digits=9)
 
 
 @query("match_mahalanobis_replacement", """WITH d AS (SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS t, s_acctbal AS a, CAST(s_nationkey AS DOUBLE) AS b FROM supplier), m AS (SELECT var_samp(a) AS va,
@@ -116,10 +132,18 @@ def _(spark, sf):
     return rounded(m.match_mahalanobis(df, "s_suppkey", "t", ["s_acctbal", "s_nationkey"]), "distance", digits=7)
 
 
-@query("match_mahalanobis_once")
+# Treated units in id order take the nearest control that is still free, step by step.
+@query("match_mahalanobis_once", """WITH RECURSIVE d AS (SELECT c_custkey AS id, c_custkey % 4 = 0 AS t, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer), m AS (SELECT var_samp(a) AS va,
+    var_samp(b) AS vb, covar_samp(a, b) AS vab FROM d), c AS (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM d WHERE NOT t), x AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM d WHERE t),
+    e AS (SELECT x.n, c.pos, c.id AS cid, sqrt((vb * (x.a - c.a) ** 2 - 2 * vab * (x.a - c.a) * (x.b - c.b) + va * (x.b - c.b) ** 2) / (va * vb - vab * vab)) AS distance FROM x, c, m),
+    l AS (SELECT n, list(pos ORDER BY distance, cid) AS near FROM e WHERE distance <= 1 GROUP BY 1), u AS (SELECT x.n, l.near FROM x LEFT JOIN l USING (n)),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, repeat('1', (SELECT count(*) FROM c)) AS free, CAST(NULL AS BIGINT) AS pick UNION ALL
+        SELECT n, CASE WHEN pick IS NULL THEN free ELSE left(free, pick - 1) || '0' || substr(free, pick + 1) END, pick FROM (
+        SELECT u.n, r.free, list_filter(u.near, lambda p: substr(r.free, p, 1) = '1')[1] AS pick FROM r JOIN u ON u.n = r.n + 1))
+    SELECT x.id AS treated_id, c.id AS control_id, round(e.distance, 7) AS distance FROM r JOIN x USING (n) JOIN c ON c.pos = r.pick JOIN e ON e.n = r.n AND e.pos = r.pick""")
 def _(spark, sf):
     df = table(spark, sf, "customer").withColumn("t", F.expr("IF(c_custkey % 4 = 0, 1, 0)"))
-    return m.match_mahalanobis(df, "c_custkey", "t", ["c_acctbal", "c_nationkey"], m.mahalanobis_caliper(0.05), False)
+    return rounded(m.match_mahalanobis(df, "c_custkey", "t", ["c_acctbal", "c_nationkey"], m.mahalanobis_caliper(0.05), False), "distance", digits=7)
 
 
 @query("match_summary", EXACT + """, t AS (SELECT sum(treated) AS t FROM d) SELECT count(*) AS pairs, count(DISTINCT treated_id) AS matched_treated, CAST(max(t) - count(*) AS BIGINT) AS unmatched_treated,
