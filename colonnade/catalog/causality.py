@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from colonnade.catalog.base import query, table
+from colonnade.catalog.base import erf_sql, query, table
 from colonnade.catalog.profiling import rounded
 from colonnade.operators import causal as c
 from colonnade.operators import matching as m
@@ -252,14 +252,37 @@ def _(spark, sf):
     return rounded(c.placebo_outcome(matched(spark, sf), "treated", "c_acctbal").select("placebo", "estimate"), "estimate", digits=4)
 
 
-@query("rosenbaum_bounds")
+def bounds_sql(y: str, counts: str, tail) -> str:
+    """Both bounds from the upper tail at the odds gamma and 1 / gamma, and the first gamma whose upper bound passes 0.05."""
+    return EXACT + f""", e AS (SELECT CAST(a.{y} AS DOUBLE) - CAST(b.{y} AS DOUBLE) AS e FROM p JOIN d a ON a.id = treated_id JOIN d b ON b.id = control_id WHERE a.{y} <> b.{y}), {counts},
+    g AS (SELECT CAST(unnest([1.0, 1.5, 2, 2.5, 3, 4]) AS DOUBLE) AS gamma), t AS (SELECT gamma, {tail("gamma / (1 + gamma)")} AS u, {tail("1 / (1 + gamma)")} AS v FROM g, w),
+    z AS (SELECT gamma, least(u, v) AS p_low, greatest(u, v) AS p_high FROM t)
+    SELECT gamma, round(p_low, 6) AS p_low, round(p_high, 6) AS p_high, (SELECT min(gamma) FROM z WHERE p_high > 0.05) AS critical_gamma FROM z"""
+
+
+def normal_tail(p: str) -> str:
+    z = f"((up - {p} * s1) / sqrt({p} * (1 - {p}) * s2))"
+    return f"(0.5 - sign({z}) * 0.5 * ({erf_sql(f'(abs({z}) / sqrt(2))')}))"
+
+
+def binomial_tail(p: str) -> str:
+    return f"list_sum(list_transform(range(CAST(up AS BIGINT), CAST(n AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
+
+
+SIGNED_RANKS = """k AS (SELECT e, (rank() OVER (ORDER BY abs(e)) + (count(*) OVER (ORDER BY abs(e)))) / 2.0 AS r FROM e),
+    w AS (SELECT sum(CASE WHEN e > 0 THEN r ELSE 0 END) AS up, sum(r) AS s1, sum(r * r) AS s2 FROM k)"""
+
+
+@query("rosenbaum_bounds", bounds_sql("y", SIGNED_RANKS, normal_tail))
 def _(spark, sf):
-    return c.rosenbaum_bounds(c.pair_outcomes(study(spark, sf), "id", "y", exact_pairs(spark, sf)), "treated_outcome", "control_outcome")
+    pairs = c.pair_outcomes(study(spark, sf), "id", "y", exact_pairs(spark, sf))
+    return rounded(c.rosenbaum_bounds(pairs, "treated_outcome", "control_outcome"), "p_low", "p_high")
 
 
-@query("rosenbaum_bounds_binary")
+@query("rosenbaum_bounds_binary", bounds_sql("big", "w AS (SELECT count(*) AS n, count(CASE WHEN e > 0 THEN 1 END) AS up FROM e)", binomial_tail))
 def _(spark, sf):
-    return c.rosenbaum_bounds(c.pair_outcomes(study(spark, sf), "id", "big", exact_pairs(spark, sf)), "treated_outcome", "control_outcome", "binary")
+    pairs = c.pair_outcomes(study(spark, sf), "id", "big", exact_pairs(spark, sf))
+    return rounded(c.rosenbaum_bounds(pairs, "treated_outcome", "control_outcome", "binary"), "p_low", "p_high")
 
 
 # ---------------------------------------------------------------- mixed models
