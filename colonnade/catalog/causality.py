@@ -1,5 +1,7 @@
 """Causal-inference and mixed-model queries: urgent orders as treatment, order total as outcome."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from colonnade.catalog.base import erf_sql, query, table
@@ -294,10 +296,32 @@ def _(spark, sf):
     return rounded(mixed.group_sizes(table(spark, sf, "lineitem"), "l_suppkey"), "mean_size")
 
 
-@query("mixed_null_model")
+def null_model_sql(rounds: int = 7) -> str:
+    """Maximum likelihood over the variance ratio: a grid on the log scale, then ever finer ones around the best point."""
+    ctes = [
+        "y AS (SELECT user_id AS g, value - (SELECT avg(value) FROM events) AS y FROM events)", "o AS (SELECT count(*) AS nn, sum(y * y) AS yy FROM y)",
+        "k AS (SELECT n, count(*) AS k, sum(s) AS s, sum(s * s) AS ss FROM (SELECT g, count(*) AS n, sum(y) AS s FROM y GROUP BY 1) GROUP BY 1)",
+    ]
+    step = (math.log(1e3) - math.log(1e-7)) / 40
+    grid = f"SELECT ln(1e-7) + {step!r} * range AS x FROM range(41)"
+    for r in range(rounds):
+        ctes += [
+            f"l{r} AS (SELECT x, exp(x) AS lam FROM ({grid}))",
+            f"""p{r} AS (SELECT x, lam, any_value(nn) AS nn, sum(k * ln(1 + n * lam)) AS logdet, any_value(yy) - sum(lam / (1 + n * lam) * ss) - sum(s / (1 + n * lam)) ** 2 / sum(k * n / (1 + n * lam)) AS rss
+                FROM l{r}, k, o GROUP BY 1, 2)""",
+            f"b{r} AS (SELECT *, -nn / 2.0 * (ln(2 * pi() * rss / nn) + 1) - logdet / 2 AS ll, rss / nn AS s2 FROM p{r} ORDER BY ll DESC LIMIT 1)",
+        ]
+        step /= 20
+        grid = f"SELECT b{r}.x + {step!r} * (range - 20) AS x FROM b{r}, range(41)"
+    return f"""WITH {', '.join(ctes)} SELECT round(lam * s2, 3) AS var_intercept, round(s2, 3) AS var_residual, round(lam / (1 + lam), 7) AS icc, CAST(NULL AS DOUBLE) AS var_slope, CAST(NULL AS DOUBLE) AS covariance,
+        CAST(NULL AS DOUBLE) AS correlation, round(ll, 4) AS log_likelihood, round(6 - 2 * ll, 4) AS aic FROM b{rounds - 1}"""
+
+
+@query("mixed_null_model", null_model_sql())
 def _(spark, sf):
     df = table(spark, sf, "events")
-    return mixed.variance_components(df, mixed.null_model(df, "value", "user_id"))
+    out = rounded(mixed.variance_components(df, mixed.null_model(df, "value", "user_id")), "var_intercept", "var_residual", digits=3)
+    return rounded(rounded(out, "icc", digits=7), "log_likelihood", "aic", digits=4)
 
 
 @query("mixed_random_intercept")

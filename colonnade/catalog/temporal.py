@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from colonnade.catalog.base import query, table
+from colonnade.catalog.base import query, table, two_sided_sql
 from colonnade.catalog.profiling import rounded
 from colonnade.operators import sarima
 from colonnade.operators import timeseries as ts
@@ -117,9 +117,20 @@ def _(spark, sf):
     return rounded(ts.its_coefficients(monthly(spark, sf), 40).select("term", "coefficient"), "coefficient", digits=4)
 
 
-@query("its_hac_errors")
+# Every coefficient is a sum over the residuals with weights known from its own segment; lagged products of these terms give its error.
+HAC = M + f""", a AS (SELECT t <= 40 AS pre, count(*) AS n, avg(t) AS mid, var_pop(t) * count(*) AS q, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM s GROUP BY 1),
+    e AS (SELECT t, CASE WHEN pre THEN 1 ELSE 0 END AS own, CASE WHEN pre THEN -1 ELSE 1 END AS side, a.a, a.b, (y - a.a - a.b * t) * (1.0 / n - mid * (t - mid) / q) AS u, (y - a.a - a.b * t) * (t - mid) / q AS w FROM s JOIN a ON pre = (t <= 40)),
+    i AS (SELECT 'Intercept' AS term, t, own * u AS f, own * a AS c FROM e UNION ALL SELECT 'time_index', t, own * w, own * b FROM e
+        UNION ALL SELECT 'level', t, side * (u + 40 * w), side * (a + 40 * b) FROM e UNION ALL SELECT 'time_after', t, side * w, side * b FROM e),
+    v AS (SELECT x.term, sqrt(sum(x.f * y.f * (1 - abs(x.t - y.t) / 5.0))) AS se FROM i x JOIN i y ON x.term = y.term AND abs(x.t - y.t) <= 4 GROUP BY 1),
+    c AS (SELECT term, sum(c) AS c FROM (SELECT DISTINCT term, c FROM i) GROUP BY 1), z AS (SELECT term, c, se, c / se AS z FROM c JOIN v USING (term))
+    SELECT term, round(c, 3) AS coefficient, round(se, 3) AS std_error, round(z, 5) AS statistic, round({two_sided_sql("z")}, 6) AS p_value, round(c - 1.959963984540054 * se, 3) AS ci_low, round(c + 1.959963984540054 * se, 3) AS ci_high FROM z"""
+
+
+@query("its_hac_errors", HAC)
 def _(spark, sf):
-    return ts.its_coefficients(monthly(spark, sf), 40)
+    out = rounded(ts.its_coefficients(monthly(spark, sf), 40), "coefficient", "std_error", "ci_low", "ci_high", digits=3)
+    return rounded(rounded(out, "statistic", digits=5), "p_value")
 
 
 @query("its_seasonal")
