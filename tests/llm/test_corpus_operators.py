@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colonnade.llm import common, hnsw, linededup, mixing, simhash, warc
@@ -230,6 +231,46 @@ def test_mix_meets_budget_and_repeats(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_mix_rows_against_plain_permutations(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 64)
+    rows = [(i, "w " * (1 + (i * 7919) % 90), "en", f"s{min(i % 11, 3)}" if i % 13 else None) for i in range(3000)]
+    docs = documents(spark, rows)
+    hashed = docs.select("doc_id", *[mixing.order_key(F.lit(e).cast("long"), mixing.row_hash("doc_id", "text")).alias(f"h{e}") for e in range(3)])
+    place = {r["doc_id"]: r for r in hashed.collect()}
+    words = {r[0]: len(r[1].split()) for r in rows}
+    groups = collections.defaultdict(list)
+    for i, _, _, s in rows:
+        groups[s].append(i)
+    size = {s: sum(words[i] for i in g) for s, g in groups.items()}
+    total = sum(size.values())
+    for budget, repeats in [(total, 1.3), (total // 3, 0.9), (2 * total, 2.4)]:
+        low, high = 0.0, 1.0
+
+        def most(a):
+            z = sum((t / total) ** a for t in size.values())
+            return max(budget * (t / total) ** a / z / t for t in size.values())
+
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if most(mid) <= repeats else (mid, high)
+        alpha = 0.0 if most(0.0) <= repeats else high
+        z = sum((t / total) ** alpha for t in size.values())
+        want = collections.Counter()
+        for s, g in groups.items():
+            quota = budget * (size[s] / total) ** alpha / z
+            whole = int(quota / size[s] + 1e-9)
+            rest, used = quota - whole * size[s], 0
+            for i in g:
+                want[i] += whole
+            for i in sorted(g, key=lambda i: place[i][f"h{whole}"]):
+                used += words[i]
+                if used > rest:
+                    break
+                want[i] += 1
+        got = collections.Counter(r["doc_id"] for r in mixing.mix(docs, budget=budget, max_repeats=repeats, columns=["doc_id"]).collect())
+        assert got == +want
+
+
 def test_mix_meets_entropy(spark):
     rows = [(i, "w " * (1 + i % 50), "en", f"s{min(i % 7, 3)}") for i in range(400)]
     docs = documents(spark, rows)
