@@ -277,6 +277,22 @@ def _(spark, sf):
     return out.select("c_custkey", "core", (F.col("core") & (F.col("cluster") >= 0)).alias("in_cluster"), (F.col("cluster") < 0).alias("noise"), F.when(F.col("core"), F.col("first")).alias("first_of_cluster"))
 
 
+@query("dbscan_ten_columns", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
+      ON sqrt(list_sum(list_transform(range(1, 11), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) <= 0.25),
+    k AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) >= 4),
+    l AS (SELECT e.a, e.b FROM e SEMI JOIN k ON e.a = k.id SEMI JOIN k k2 ON e.b = k2.id), r AS (SELECT id, id AS low FROM k UNION SELECT l.b, r.low FROM r JOIN l ON r.id = l.a WHERE r.low < l.b),
+    c AS (SELECT id, min(low) AS low FROM r GROUP BY 1), b AS (SELECT DISTINCT e.a AS id FROM e SEMI JOIN k ON e.b = k.id)
+    SELECT vec_id, k.id IS NOT NULL AS core, b.id IS NULL AS noise, c.low AS first_of_cluster FROM embeddings LEFT JOIN k ON vec_id = k.id LEFT JOIN c ON vec_id = c.id LEFT JOIN b ON vec_id = b.id""")
+def _(spark, sf):
+    """Ten columns: an offset grid would have nine values a column, 9^10 cells around each."""
+    names = [f"e{i}" for i in range(10)]
+    df = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    out = ml.dbscan(df, "vec_id", names, 0.25, 4)
+    first = out.where("core").groupBy("cluster").agg(F.min("vec_id").alias("first"))
+    out = out.join(first, "cluster", "left")
+    return out.select("vec_id", "core", (F.col("cluster") < 0).alias("noise"), F.when(F.col("core"), F.col("first")).alias("first_of_cluster"))
+
+
 @query("dbscan_core_points", """WITH p AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer), n AS (SELECT a.c_custkey, count(*) AS c FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.15 GROUP BY 1)
     SELECT c_custkey FROM n WHERE c >= 4""")
 def _(spark, sf):

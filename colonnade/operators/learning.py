@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.context import normalise_missing, numeric_columns, ref
+from colonnade.functions.cells import near_cells
 from colonnade.functions.expressions import ratio
 from colonnade.functions.neighbors import knn_join
 from colonnade.functions.results import table_of
@@ -500,23 +501,21 @@ def dbscan(rows: DataFrame, row_id: str, cols: Sequence[str], eps: float, min_sa
 
     Equal points are folded with their counts. Space is cut into cells of side eps/sqrt(d), so points of one cell are
     neighbours of each other: a cell holding min_samples is core as a whole, and inside a cell no pair is ever formed.
-    Points meet the points of nearby cells only; clusters are the connected components of the core cells.
+    Points meet the points of nearby occupied cells only, found by going down the tree of cell coordinates, so many
+    columns are no obstacle; clusters are the connected components of the core cells.
     """
     d = len(cols)
     side = eps / math.sqrt(d)
-    reach = math.ceil(math.sqrt(d))
     data = normalise_missing(rows).dropna(subset=list(cols))
     pts = data.groupBy(*[ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).agg(F.count("*").alias("n"), F.min(ref(row_id)).alias("first"))
     cell = F.array(*[F.floor(F.col(f"x{i}") / side).cast("long") for i in range(d)])
     pts = materialise(pts.withColumn("cell", cell))
     coords = [f"x{i}" for i in range(d)]
     sizes = pts.groupBy("cell").agg(F.sum("n").alias("size"))
-    grid = np.stack(np.meshgrid(*[np.arange(-reach, reach + 1)] * d, indexing="ij"), -1).reshape(-1, d)
-    near = [tuple(int(v) for v in g) for g in grid if any(g) and math.sqrt(sum(max(abs(int(v)) - 1, 0) ** 2 for v in g)) * side <= eps]
-    moves = F.array(*[F.array(*[F.lit(v).cast("long") for v in g]) for g in near])
+    near = materialise(near_cells(sizes, d, d))  # eps is the root of d sides
 
     def shifted(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_m", F.explode(moves)).withColumn("other", F.zip_with("cell", "_m", lambda a, b: a + b)).drop("_m")
+        return frame.join(near, "cell")
 
     sized = pts.join(broadcast_if_small(sizes), "cell")
     dense = sized.where(F.col("size") >= min_samples)
@@ -551,20 +550,29 @@ def dbscan(rows: DataFrame, row_id: str, cols: Sequence[str], eps: float, min_sa
 
 
 PAIR_PART = 20_000
+FEW_PAIRS = 1024
+DISTANCE_BLOCK = 1_000_000  # numbers in one block of differences
 
 
 def _linked_cells(cores: DataFrame, coords: Sequence[str], shifted, eps: float) -> DataFrame:
     """Pairs of core cells holding core points within eps of each other.
 
-    Each core point looks for one close point in the other cell; both cells meet as two groups of arrays in a task
-    that stops at the first hit, so pairs of points are never written out.
+    Pairs of cells with few points, as most are in many columns, compare them in a plain join. Crowded pairs meet as
+    two groups of arrays in a task that stops at the first hit, so their pairs of points are never written out.
     """
     pairs = shifted(cores.select("cell").distinct()).join(cores.select(F.col("cell").alias("other")).distinct(), "other").where(F.col("cell") < F.col("other"))
     pairs = materialise(pairs.select("cell", "other"))
     # Crowded cells are dealt into parts of bounded size; every part meets every part of the other cell.
-    parts = cores.groupBy("cell").agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("k"))
-    sized = pairs.join(parts.withColumnRenamed("k", "kl"), "cell").join(parts.select(F.col("cell").alias("other"), F.col("k").alias("kr")), "other")
-    sized = materialise(sized.select("cell", "other", "kl", "kr"))
+    parts = cores.groupBy("cell").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / PAIR_PART).cast("int"))
+    sized = pairs.join(parts.select("cell", F.col("n").alias("nl"), F.col("k").alias("kl")), "cell")
+    sized = sized.join(parts.select(F.col("cell").alias("other"), F.col("n").alias("nr"), F.col("k").alias("kr")), "other")
+    sized = materialise(sized.select("cell", "other", "nl", "nr", "kl", "kr"))
+    few = sized.where(F.col("nl") * F.col("nr") <= FEW_PAIRS).select("cell", "other")
+    far = cores.select(F.col("cell").alias("other"), F.struct(*coords).alias("q"))
+    gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"q.{c}"), 2) for c in coords), F.lit(0.0)))
+    linked = few.join(cores, "cell").join(far, "other").where(gap <= eps)
+    linked = linked.select(F.col("cell").alias("a"), F.col("other").alias("b")).distinct()
+    sized = sized.where(F.col("nl") * F.col("nr") > FEW_PAIRS)
     own = F.xxhash64(*coords)
     left = sized.join(cores, "cell").select(
         "cell", "other", *coords, F.pmod(own, F.col("kl")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("kr") - 1)).alias("r"))
@@ -574,22 +582,28 @@ def _linked_cells(cores: DataFrame, coords: Sequence[str], shifted, eps: float)
                          F.pmod(F.xxhash64(*[f"q{i}" for i in range(len(coords))]), F.col("kr")).cast("int").alias("r2"))
     names, others = list(coords), [f"q{i}" for i in range(len(coords))]
 
+    def box_gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        gap = np.maximum(np.maximum(y.min(0) - x, x - y.max(0)), 0.0)
+        return np.sqrt((gap * gap).sum(1))
+
     def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
         if not len(a) or not len(b):
             return nothing
-        q = b[others].to_numpy()
-        lo, hi = q.min(0), q.max(0)
-        p = a[names].to_numpy()
-        gap = np.maximum(np.maximum(lo - p, p - hi), 0.0)
-        p = p[np.sqrt((gap * gap).sum(1)) <= eps]
-        for x in p:
-            if (np.sqrt(((q - x) ** 2).sum(1)) <= eps).any():
+        p, q = a[names].to_numpy(), b[others].to_numpy()
+        p = p[box_gap(p, q) <= eps]
+        if len(p):
+            q = q[box_gap(q, p) <= eps]
+        if not len(p) or not len(q):
+            return nothing
+        size = max(1, DISTANCE_BLOCK // q.size)
+        for i in range(0, len(p), size):
+            if (np.sqrt(((q[None] - p[i : i + size, None]) ** 2).sum(2)) <= eps).any():
                 return pd.DataFrame({"a": [list(a["cell"].iloc[0])], "b": [list(a["other"].iloc[0])]})
         return nothing
 
     hits = left.groupBy("cell", "other", "l", "r").cogroup(right.groupBy("cell2", "other2", "l2", "r2"))
-    return hits.applyInPandas(close, "a array<bigint>, b array<bigint>").distinct()
+    return linked.unionByName(hits.applyInPandas(close, "a array<bigint>, b array<bigint>").distinct())
 
 
 def components(cells: DataFrame, links: DataFrame) -> DataFrame:

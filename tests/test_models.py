@@ -11,6 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from colonnade.functions import partial_neighbors, risksets, special
+from colonnade.functions.cells import near_cells
 from colonnade.functions.gram import build_design, weighted_sums
 from colonnade.operators import absorb, causal, glm, hypothesis, impute, learning, linear, matching, mixed, survival, timeseries
 
@@ -342,6 +343,38 @@ def test_adf_matches_numpy(spark):
     assert r["lags"] == best and r["statistic"] == pytest.approx(fit(best, best)[1], rel=1e-6)
 
 
+def test_near_cells_against_all_pairs(spark):
+    rng = np.random.default_rng(31)
+    for d, radius in [(1, 1), (2, 2), (5, 5), (3, 7)]:
+        cells = np.unique(rng.integers(-6, 7, (150, d)), axis=0)
+        got = near_cells(spark.createDataFrame([(c.tolist(),) for c in cells], "cell array<bigint>"), d, radius).collect()
+        gap = (np.maximum(np.abs(cells[:, None] - cells[None]) - 1, 0) ** 2).sum(2) <= radius
+        np.fill_diagonal(gap, False)
+        want = [(tuple(cells[i]), tuple(cells[j])) for i, j in np.argwhere(gap)]
+        assert sorted((tuple(r.cell), tuple(r.other)) for r in got) == sorted(want)
+
+
+def test_dbscan_in_ten_columns(spark):
+    rng = np.random.default_rng(14)
+    x = np.r_[rng.normal(0, 0.1, (90, 10)), rng.normal(1, 0.1, (90, 10)), rng.uniform(-1, 2, (40, 10))]
+    names = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(220)))
+    got = learning.dbscan(df, "id", names, 0.45, 5).toPandas().sort_values("id")
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.45
+    core = near.sum(1) >= 5
+    assert 20 < core.sum() < 200 and (got.core.to_numpy() == core).all()
+    assert ((got.cluster.to_numpy() < 0) == ~(near & core[None]).any(1)).all()
+    mine = got.cluster.to_numpy()
+    reached = near & core[None] & core[:, None]
+    while True:
+        more = (reached.astype(int) @ reached.astype(int)) > 0
+        if (more == reached).all():
+            break
+        reached = more
+    c = np.flatnonzero(core)
+    assert ((mine[c][:, None] == mine[c][None]) == reached[np.ix_(c, c)]).all()
+
+
 def test_dbscan_matches_brute_force(spark):
     rng = np.random.default_rng(13)
     x = np.r_[rng.normal(0, 0.3, (80, 2)), rng.normal(3, 0.3, (80, 2)), rng.uniform(-2, 5, (40, 2))]
