@@ -202,9 +202,16 @@ def _(spark, sf):
     return rounded(out, "coefficient_all", "coefficient_reduced", digits=3)
 
 
-@query("ols_health_checklist")
+@query("ols_health_checklist", D2 + """, e AS (SELECT (y - b0 - ba * a - bb * b) ** 2 AS u, a, b, rss / (n - 3) AS s2, n,
+    1 / n + (sbb * (a - ma) ** 2 - 2 * sab * (a - ma) * (b - mb) + saa * (b - mb) ** 2) / det AS h FROM d, g),
+    w AS (SELECT covar_pop(a, u) AS ua, covar_pop(b, u) AS ub, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, var_pop(u) AS uu, count(*) AS n,
+    count(CASE WHEN u * h / (3 * s2 * (1 - h) ** 2) > 4.0 / n THEN 1 END) AS far FROM e),
+    c AS (SELECT 1 / (1 - ab * ab / (aa * bb)) AS vif, exp(-n * (ua * (bb * ua - ab * ub) + ub * (aa * ub - ab * ua)) / (aa * bb - ab * ab) / uu / 2) AS p, far FROM w)
+    SELECT 'multicollinearity' AS "check", round(vif, 6) AS value, CASE WHEN vif > 10 THEN 'problem' WHEN vif > 5 THEN 'warning' ELSE 'passed' END AS status FROM c
+    UNION ALL SELECT 'homoscedasticity', round(p, 6), CASE WHEN p < 0.05 THEN 'problem' ELSE 'passed' END FROM c
+    UNION ALL SELECT 'influential rows', far, CASE WHEN far > 0 THEN 'warning' ELSE 'passed' END FROM c""")
 def _(spark, sf):
-    return linear.health_checklist(table(spark, sf, "lineitem"), price_fit(spark, sf))
+    return rounded(linear.health_checklist(table(spark, sf, "lineitem"), price_fit(spark, sf)), "value")
 
 
 @query("residual_normality", shapiro_sql("""SELECT y - (my + b * (x - mx)) AS x FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem),
@@ -226,7 +233,10 @@ def _(spark, sf):
     return rounded(linear.durbin_watson(e, "e", "t"), "durbin_watson")
 
 
-@query("coefficient_sentences")
+# A t value is significant beyond the normal quantile and its first correction for the degrees of freedom.
+@query("coefficient_sentences", D2 + """, t AS (SELECT 'l_quantity' AS term, ba AS c, sqrt(rss / (n - 3) * sbb / det) AS se, n FROM g UNION ALL SELECT 'l_discount', bb, sqrt(rss / (n - 3) * saa / det), n FROM g)
+    SELECT term, printf('one unit more of %s goes with %.4f %s price (%s)', term, abs(c), CASE WHEN c > 0 THEN 'higher' ELSE 'lower' END,
+    CASE WHEN abs(c / se) > 1.959964 + 2.3723 / (n - 3) THEN 'significant' ELSE 'not significant' END) AS sentence FROM t""")
 def _(spark, sf):
     df = table(spark, sf, "lineitem")
     return linear.coefficient_sentences(linear.coefficients(df, price_fit(spark, sf)), "price")
@@ -442,7 +452,10 @@ def _(spark, sf):
     return rounded(out.select("predictor", F.abs("z").alias("size"), "p_value"), "size", "p_value", digits=5)
 
 
-@query("ratio_sentences")
+@query("ratio_sentences", LOGIT + """, c AS (SELECT 'o_orderstatus[T.' || s || ']' AS term, p / (1 - p) / (p1 / (1 - p1)) AS ratio,
+    sqrt(1 / k + 1 / (n - k) + 1 / k1 + 1 / (n1 - k1)) AS se FROM g, r WHERE s <> 'F')
+    SELECT term, printf('one unit more of %s goes with %.2f%% %s odds (%s)', term, abs(ratio - 1) * 100, CASE WHEN ratio >= 1 THEN 'higher' ELSE 'lower' END,
+    CASE WHEN abs(ln(ratio)) / se > 1.959964 THEN 'significant' ELSE 'not significant' END) AS sentence FROM c""")
 def _(spark, sf):
     df, fit = urgent_fit(spark, sf)
     return glm.ratio_sentences(glm.coefficients(df, fit), "odds")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from colonnade.catalog.base import DIRTY_LINEITEM, DIRTY_SQL, DUPED_SQL, TAILED_SQL, dirty_lineitem, duped_orders, query, table, tailed_orders
-from colonnade.catalog.profiling import rounded
+from colonnade.catalog.profiling import rounded, union_sql
 from colonnade.operators import impute, linear, reshape
 from colonnade.plans.cleaning import CleaningPlan
 from colonnade.plans.quality import html_report, quality_overview, quality_reports, recommendation_counts, recommendations
@@ -104,12 +104,33 @@ def _(spark, sf):
     return rounded(plan.apply(df), "total", "wave", digits=4)
 
 
-@query("quality_recommendations")
+ADVICE_NUMERIC, ADVICE_TEXT = ("l_orderkey", "l_suppkey", "quantity", "price", "discount", "tax"), ("returnflag", "linestatus", "fixed")
+ADVICE_SQL = f"WITH d AS ({DIRTY_SQL}), s AS (" + union_sql(
+    """SELECT '{c}' AS c, count(*) AS n, count({c}) AS k, count(DISTINCT {c}) AS u, count(TRY_CAST(CAST({c} AS VARCHAR) AS DATE)) AS dates FROM d""", ADVICE_NUMERIC + ADVICE_TEXT
+) + "), q AS (" + union_sql("SELECT '{c}' AS c, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM d", ADVICE_NUMERIC) + "), o AS (" + union_sql(
+    """SELECT '{c}' AS c, count(CASE WHEN {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) THEN 1 END) AS far, count({c}) AS k FROM d, q WHERE c = '{c}'""", ADVICE_NUMERIC
+) + f"""), f AS (SELECT c, (n - k) * 100.0 / n AS missing, c IN {ADVICE_TEXT} AS text, u <= 1 AS constant, dates > 0.7 * k AS dated, u > 0.9 * n OR regexp_matches(c, 'id|code|number') AS named,
+    u > 50 AS many FROM s), r AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS same FROM d), advice AS (
+    SELECT 'dataset size' AS area, CASE WHEN n < 100 THEN 'Medium' ELSE 'Low' END AS priority, CASE WHEN n < 100 THEN 'fewer than 100 rows: conclude with care' ELSE 'enough rows to explore' END AS recommendation FROM r
+    UNION ALL SELECT 'duplicates', CASE WHEN same > 0 THEN 'Medium' ELSE 'Low' END, CASE WHEN same > 0 THEN same || ' duplicate rows: remove them first' ELSE 'no duplicate rows' END FROM r
+    UNION ALL SELECT 'missing values', CASE WHEN missing < 5 THEN 'Low' WHEN missing <= 30 THEN 'Medium' ELSE 'High' END, c || ' ' || CAST(round_even(missing, 2) AS DOUBLE) || ' % missing; ' ||
+        CASE WHEN missing < 5 THEN 'low: remove the rows or impute' WHEN missing <= 30 THEN 'moderate: impute before modelling' ELSE 'high: decide whether to keep, impute or drop' END || '; ' ||
+        CASE WHEN text THEN 'use the mode or an Unknown category' ELSE 'the median is safer than the mean' END FROM f WHERE missing > 0
+    UNION ALL SELECT 'missing values', 'Low', 'no missing values' FROM f HAVING sum(missing) = 0
+    UNION ALL SELECT 'constant columns', 'High', 'one value only: ' || string_agg(c, ', ' ORDER BY c) FROM f WHERE constant HAVING count(*) > 0
+    UNION ALL SELECT 'id columns', 'Medium', 'identifiers, leave out of models: ' || string_agg(c, ', ' ORDER BY c) FROM f WHERE named HAVING count(*) > 0
+    UNION ALL SELECT 'high cardinality', 'Medium', 'many categories, group or encode: ' || string_agg(c, ', ' ORDER BY c) FROM f WHERE text AND many HAVING count(*) > 0
+    UNION ALL SELECT 'date columns', 'Low', 'dates held as text: ' || string_agg(c, ', ' ORDER BY c) FROM f WHERE text AND dated HAVING count(*) > 0
+    UNION ALL SELECT 'outliers', 'Medium', c || ' ' || CAST(round_even(far * 100.0 / k, 2) AS DOUBLE) || ' % outside the fences: check them' FROM o WHERE far > 0
+    UNION ALL SELECT 'outliers', 'Low', 'no outliers' FROM o HAVING sum(far) = 0) """
+
+
+@query("quality_recommendations", ADVICE_SQL + "SELECT * FROM advice")
 def _(spark, sf):
     return recommendations(dirty_lineitem(spark, sf))
 
 
-@query("recommendation_counts")
+@query("recommendation_counts", ADVICE_SQL + """SELECT priority, count(*) AS "count" FROM advice GROUP BY 1""")
 def _(spark, sf):
     return recommendation_counts(recommendations(dirty_lineitem(spark, sf)))
 
