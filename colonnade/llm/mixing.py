@@ -36,7 +36,9 @@ SEED = 11
 
 
 def tokens(text_col: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(ref(text_col), F.lit(r"\S+")), F.lit(0)).cast("long")
+    # One letter a word, then the letters alone: counting matches would make an object of every word of a text.
+    letters = F.regexp_replace(F.regexp_replace(ref(text_col), r"\S+", "x"), r"\s+", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def source_key(source_col: str) -> Column:
@@ -80,6 +82,14 @@ def find_exponent(sources: DataFrame, budget: float, total: float, target_entrop
     return high
 
 
+def entropy_between(sources: DataFrame, total: float, flatness: float) -> float:
+    """Entropy (nats) that lies ``flatness`` of the way from that of the sources' own shares (0) to that of equal weights (1)."""
+    p = F.col("t") / F.lit(float(total))
+    row = sources.where(F.col("t") > 0).agg(F.count("*").alias("n"), F.sum(-p * F.log(p)).alias("own")).first()
+    own = row["own"] or 0.0
+    return own + flatness * (math.log(max(row["n"], 1)) - own)
+
+
 def plan(
     docs: DataFrame,
     budget: int | None = None,
@@ -88,6 +98,7 @@ def plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    flatness: float | None = None,
 ) -> DataFrame:
     """Per source key: tokens, docs, weight, quota, epochs, whole epochs, and the last hash of the part epoch (cut)."""
     rows = docs.select(
@@ -96,6 +107,8 @@ def plan(
     rows = materialise(rows)
     sources = materialise(rows.groupBy("sid").agg(F.sum("n").alias("t"), F.count("*").alias("docs")))
     total = float(sources.agg(F.sum("t")).first()[0] or 0)
+    if flatness is not None:
+        target_entropy = entropy_between(sources, max(total, 1.0), flatness)
     wanted = min(float(budget if budget is not None else total), max_repeats * total)
     alpha = find_exponent(sources, wanted, max(total, 1.0), target_entropy, max_repeats)
     power = F.when(F.col("t") > 0, F.exp(F.log(F.col("t") / F.lit(max(total, 1.0))) * F.lit(alpha))).otherwise(0.0)
@@ -146,13 +159,15 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    flatness: float | None = None,
 ) -> DataFrame:
     """The mixture: ``columns`` of ``docs`` (default all) once per copy, plus epoch, mix_tokens, mix_weight, mix_position,
     mix_block.
 
+    ``flatness`` sets the target entropy between the sources' own shares (0) and equal weights (1), whatever their sizes are.
     mix_position (0 to 1) orders the mixture; each source is spread evenly over it. Blocks hold about a million tokens.
     """
-    sources = plan(docs, budget, target_entropy, max_repeats, id_col, text_col, source_col)
+    sources = plan(docs, budget, target_entropy, max_repeats, id_col, text_col, source_col, flatness)
     spent = float(sources.agg(F.sum("quota")).first()[0] or 0.0)
     mix_blocks = max(1, math.ceil(spent / MIX_BLOCK_TOKENS))
     small = broadcast_if_small(sources.select(*[F.col(c).alias(f"_mix_{c}") for c in ("sid", "weight", "epochs", "whole", "cut")]))

@@ -1,8 +1,12 @@
 """Steps that must not grow faster than their rows: size estimates in loops, rows per task, rows moved."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from colonnade.llm import mixing
 from colonnade.operators import learning
+from colonnade.session import spread
 
 
 def test_components_keep_a_finite_size_estimate(spark):
@@ -13,3 +17,50 @@ def test_components_keep_a_finite_size_estimate(spark):
     labels = learning.components(cells, links)
     assert int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**7
     assert labels.select("label").distinct().count() == 1 and labels.count() == n
+
+
+def test_silhouette_sends_rows_to_a_settled_number_of_blocks():
+    assert [learning.silhouette_blocks(n) for n in (0, 1, 800, 801)] == [1, 1, 1, 2]
+    assert learning.silhouette_blocks(10_256) == learning.silhouette_blocks(102_564) == learning.silhouette_blocks(384_000) == 12
+    assert learning.silhouette_blocks(640_000) == 20
+
+
+def test_spread_bounds_rows_of_a_partition(spark):
+    small = spark.range(5_000).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == 1
+    large = spread(spark.range(1_200_000).coalesce(1))
+    sizes = [r["count"] for r in large.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1_200_000 and len(sizes) >= 8 and max(sizes) <= 160_000
+
+
+def test_regressor_rows_are_dealt_out(spark, tmp_path):
+    """One compressed file of parts must not leave all rows to one task."""
+    n = 30_000
+    part = spark.range(n).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "concat('Brand#', id % 5) AS p_brand", "id % 97 / 3.0D AS p_retailprice")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.catalog.clearCache()
+    out = {r["split"]: r for r in queries()["regressor_linear"](spark, str(tmp_path)).collect()}
+    assert set(out) == {"train", "test"}
+    kept = [r.numPartitions() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo() if r.numPartitions() > 1]
+    assert kept and max(kept) >= 3
+
+
+def test_tokens_are_counted_without_an_array_of_words(spark):
+    texts = [None, "", " ", "a", " a  b\t\n c\x0b\x0cd\r", "é ü  x", "😀 😀😀", "x" * 50 + " y" * 500, "a\x00b c$1 \\d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(mixing.tokens().alias("n"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("want"))
+    assert all(r["n"] == r["want"] for r in got.collect())
+    assert "regexp_extract_all" not in got.select("n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in str(mixing.tokens())
+
+
+def test_mix_by_flatness_moves_a_large_source(spark):
+    """A limit of 1.05 epochs moved a tenth of what equal weights would; halfway in entropy moves a good part of it."""
+    df = spark.range(4_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'big', concat('s', id % 19)) AS source", "'a b c d' AS text")
+    made = mixing.plan(df, flatness=0.5).toPandas()
+    own = made["t"] / made["t"].sum()
+    moved, flat = (made["weight"] - own).abs().sum() / 2, (own - 1 / len(made)).abs().sum() / 2
+    assert 0.3 * flat < moved < 0.8 * flat and 0.05 < made["exponent"].iloc[0] < 0.95
+    entropy = -(made["weight"] * np.log(made["weight"])).sum()
+    assert abs(entropy - (-(own * np.log(own)).sum() + np.log(len(made))) / 2) < 1e-6
+    assert mixing.plan(df.limit(0), flatness=0.5).count() == 0
