@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their rows: size estimates in loops, rows per task, rows moved."""
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -64,3 +65,15 @@ def test_mix_by_flatness_moves_a_large_source(spark):
     entropy = -(made["weight"] * np.log(made["weight"])).sum()
     assert abs(entropy - (-(own * np.log(own)).sum() + np.log(len(made))) / 2) < 1e-6
     assert mixing.plan(df.limit(0), flatness=0.5).count() == 0
+
+
+def test_split_ranks_only_the_rows_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(learning, "SPLIT_ROWS", 50)
+    df = spark.range(5000, numPartitions=4).selectExpr("CAST(id - id % 3 AS STRING) AS row_id", "IF(id % 5 = 0, NULL, id % 2) AS y", "spark_partition_id() AS at")
+    out = learning.stratified_split(df, "row_id", "y").withColumn("moved", F.spark_partition_id() - F.col("at")).persist()
+    # Rows that stay in their partition are all moved by the same number of partitions.
+    assert out.groupBy("moved").count().agg(F.max("count")).first()[0] > 4500
+    order = W.partitionBy("y").orderBy(F.xxhash64("row_id", F.lit(42)), "row_id")
+    take = F.bround(F.count("*").over(W.partitionBy("y")) * 0.2)
+    want = df.withColumn("r", F.row_number().over(order)).withColumn("take", take).select("row_id", "y", F.expr("IF(r <= take, 'test', 'train')").alias("split"))
+    assert sorted(map(str, out.select("row_id", "y", "split").collect())) == sorted(map(str, want.collect()))
