@@ -22,14 +22,15 @@ def _advice(area: str, priority: Column, text: Column) -> list[Column]:
     return [F.lit(area).alias("area"), priority.alias("priority"), text.alias("recommendation")]
 
 
-def recommendations(df: DataFrame, cardinality_threshold: int = 50) -> DataFrame:
+def recommendations(df: DataFrame, cardinality_threshold: int = 50, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """Rule-based advice on size, missing values, duplicates, constant, identifier, high-cardinality and date columns
-    and outliers, most urgent first. Every rule is an expression over a report table."""
+    and outliers, most urgent first. Every rule is an expression over a report table; ``known`` holds those at hand."""
+    known = known or {}
     df = normalise_missing(df)
     numeric, categorical = numeric_columns(df), categorical_columns(df)
     # Report tables of one row per column, each read by several rules.
-    core = keep(profile.core_metrics(df))
-    flags = keep(profile.column_flags(df, cardinality_threshold))
+    core = known["summary"] if "summary" in known else keep(profile.core_metrics(df))
+    flags = known["flags"] if "flags" in known else keep(profile.column_flags(df, cardinality_threshold))
     missing = profile.missing_report(df).where("missing_count > 0")
     share = F.col("missing_percent")
     advice = F.when(share < 5, "low: remove the rows or impute").when(share <= 30, "moderate: impute before modelling").otherwise(
@@ -55,7 +56,7 @@ def recommendations(df: DataFrame, cardinality_threshold: int = 50) -> DataFrame
         names = profile.date_like_columns(df).where("date_like").agg(F.array_sort(F.collect_list("column")).alias("n")).where(F.size("n") > 0)
         parts.append(names.select(*_advice("date columns", F.lit("Low"), F.concat(F.lit("dates held as text: "), F.concat_ws(", ", "n")))))
     if numeric:
-        out = keep(profile.outliers_iqr(df, numeric))
+        out = known["outliers"] if "outliers" in known else keep(profile.outliers_iqr(df, numeric))
         some = out.where("outliers > 0")
         parts.append(some.select(*_advice("outliers", F.lit("Medium"), F.concat_ws(" ", "column", F.bround("outlier_percent", 2).cast("string"), F.lit("% outside the fences: check them")))))
         none = out.agg(F.sum("outliers").alias("k")).where("k = 0")
@@ -71,13 +72,18 @@ def quality_reports(df: DataFrame, cardinality_threshold: int = 50) -> dict[str,
     """All report tables of a dataset by name, computed when read."""
     df = normalise_missing(df)
     numeric = numeric_columns(df)
+    # Of one row per column each; the grouping of all cells behind three of them, and of all rows, is done once.
+    columns = keep(profile.dtype_report(df))
+    known = {"summary": keep(profile.core_metrics(df)), "flags": keep(profile.column_flags(df, cardinality_threshold, columns))}
+    if numeric:
+        known["outliers"] = keep(profile.outliers_iqr(df, numeric))
     out = {
-        "summary": profile.core_metrics(df), "missing": profile.missing_report(df), "column_types": profile.dtype_report(df),
-        "unique": profile.unique_report(df), "flags": profile.column_flags(df, cardinality_threshold),
-        "duplicates": rows.duplicate_preview(df), "recommendations": recommendations(df, cardinality_threshold),
+        "summary": known["summary"], "missing": profile.missing_report(df), "column_types": columns,
+        "unique": profile.unique_report(df, columns), "flags": known["flags"],
+        "duplicates": rows.duplicate_preview(df), "recommendations": recommendations(df, cardinality_threshold, known),
     }
     if numeric:
-        out["outliers"] = profile.outliers_iqr(df, numeric)
+        out["outliers"] = known["outliers"]
     return out
 
 

@@ -77,3 +77,30 @@ def test_split_ranks_only_the_rows_at_the_cut(spark, monkeypatch):
     take = F.bround(F.count("*").over(W.partitionBy("y")) * 0.2)
     want = df.withColumn("r", F.row_number().over(order)).withColumn("take", take).select("row_id", "y", F.expr("IF(r <= take, 'test', 'train')").alias("split"))
     assert sorted(map(str, out.select("row_id", "y", "split").collect())) == sorted(map(str, want.collect()))
+
+
+def test_quality_reports_group_the_cells_once(spark, monkeypatch):
+    from colonnade.operators import profile
+    from colonnade.plans import quality
+
+    calls = []
+    for name in ("dtype_report", "core_metrics", "outliers_iqr"):
+        made = getattr(profile, name)
+        monkeypatch.setattr(profile, name, lambda *a, made=made, name=name, **k: calls.append(name) or made(*a, **k))
+    df = spark.range(300).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "concat('2024-01-0', 1 + id % 9) AS day")
+    reports = quality.quality_reports(df)
+    assert sorted(calls) == ["core_metrics", "dtype_report", "outliers_iqr"]
+    assert {r["column"]: r["unique_values"] for r in reports["unique"].collect()} == {"id": 300, "x": 7, "day": 9}
+    assert reports["recommendations"].where("area = 'date columns'").count() == 1
+
+
+def test_dates_are_tried_once_a_text(spark):
+    from colonnade.operators import profile
+
+    pad = " " * 80
+    df = spark.createDataFrame([("2024-01-01", f"2024-01-01{pad}", None)] * 8 + [("x", "y" * 90, None), (None, None, None)], "a string, b string, c string")
+    out = profile.date_like_columns(df)
+    assert {r["column"]: (r["parsed_share"], r["date_like"]) for r in out.collect()} == {"a": (8 / 9, True), "b": (8 / 9, True), "c": (None, False)}
+    assert profile.date_like_columns(df.limit(0)).count() == 3
+    # Grouped by text, summed by column, turned to one row; a single sum over all rows before.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
