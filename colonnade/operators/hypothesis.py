@@ -210,10 +210,11 @@ def shapiro_by_group(df: DataFrame, group: str, col: str) -> DataFrame:
     a group are nine numbers. Groups of fewer than 3 values, or of equal values, have no statistic.
     """
     rows = _complete(df, group, col)
-    means = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c")).join(means, "g")
-    centred = counts.select("g", (F.col("v") - F.col("mean")).alias("value"), "c", "n")
-    spans = keep(running_totals(centred, ["value"], {"c": "hi"}, ["g"]).withColumn("lo", F.col("hi") - F.col("c") + 1))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c")).withColumn("s", F.col("v") * F.col("c"))
+    # Sizes and means come with the running totals, range by range: a join on the group would send a hot one to one task.
+    placed = running_totals(counts, ["v"], {"c": "hi", "s": "upto"}, ["g"], grand=True)
+    centred = F.col("v") - F.col("upto_all") / F.col("hi_all")
+    spans = keep(placed.select("g", centred.alias("value"), "c", F.col("hi_all").alias("n"), "hi", (F.col("hi") - F.col("c") + 1).alias("lo")))
     scores = _score_sums(spans, ["g", "value"]).groupBy("g").agg(F.sum(F.col("value") * F.col("s1")).alias("xs"), F.sum("s2").alias("ss"))
 
     def at(rank: Column) -> Column:

@@ -104,3 +104,18 @@ def test_dates_are_tried_once_a_text(spark):
     assert profile.date_like_columns(df.limit(0)).count() == 3
     # Grouped by text, summed by column, turned to one row; a single sum over all rows before.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
+
+
+def test_grouped_normality_does_not_join_rows_on_the_group(spark, monkeypatch):
+    """A group that holds most rows would meet its size and mean in one task."""
+    from colonnade.operators import hypothesis
+
+    seen = []
+    made = hypothesis.running_totals
+    monkeypatch.setattr(hypothesis, "running_totals", lambda df, *a, **k: seen.append(df) or made(df, *a, **k))
+    df = spark.range(400).selectExpr("IF(id % 10 = 0, 'b', 'a') AS g", "CAST(id * id % 97 AS DOUBLE) AS v")
+    out = {r["group"]: r for r in hypothesis.shapiro_by_group(df, "g", "v").collect()}
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    for g in "ab":
+        alone = hypothesis.shapiro_wilk(df.where(F.col("g") == g), "v").first()
+        assert out[g]["n"] == alone["n"] and abs(out[g]["statistic"] - alone["statistic"]) < 1e-9
