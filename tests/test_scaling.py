@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their rows: size estimates in loops, rows per task, rows moved."""
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -120,3 +121,14 @@ def test_grouped_normality_does_not_join_rows_on_the_group(spark, monkeypatch):
     for g in "ab":
         alone = hypothesis.shapiro_wilk(df.where(F.col("g") == g), "v").first()
         assert out[g]["n"] == alone["n"] and abs(out[g]["statistic"] - alone["statistic"]) < 1e-9
+
+
+def test_forests_keep_the_nodes_that_rows_have_reached(spark):
+    """Without that, every level walks each row down every tree from its root; the trees themselves are the same."""
+    rows = spark.range(600).selectExpr("array(id % 30, id * 7 % 25) AS a", "IF(id * 13 % 11 < 4, 1.0D, 0.0D) AS label", "1.0D AS weight")
+    rows = rows.select(array_to_vector(F.col("a").cast("array<double>")).alias("features"), "label", "weight").cache()
+    for made in (learning.classifier("random_forest", depth=8), learning.regressor("random_forest", depth=8)):
+        assert made.getOrDefault("cacheNodeIds")
+        made.setNumTrees(5)
+        plain = made.copy({made.cacheNodeIds: False, made.maxMemoryInMB: 256})
+        assert made.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
