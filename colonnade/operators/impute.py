@@ -228,9 +228,10 @@ def multiple_imputation(df: DataFrame, row_id: str, cols: Sequence[str] | None =
     """``m`` completed copies with drawn values, told apart by ``_imputation``.
 
     Every regression draws its coefficients from their posterior and every cell a normal error, which depends on row id,
-    seed, copy, round and column only, so a recomputed task repeats it. One pass a round sums, for all copies together and
-    per gap pattern, the cross products of cells and errors; the round's regressions run on these, and one checkpoint
-    keeps the new cells of all copies. Tables of more gap patterns than the driver can hold are refused.
+    seed, copy, round and column only, so a recomputed task repeats it. One pass a round over the rows with gaps sums, for all
+    copies together and per gap pattern, the cross products of cells and errors; the round's regressions run on these and on
+    those of the complete rows, summed once, and one checkpoint keeps the new cells of all copies. Complete rows are copied at
+    the end only. Tables of more gap patterns than the driver can hold are refused.
     """
     df = normalise_missing(df)
     cols = _usable(df, list(cols or [c for c in numeric_columns(df) if c != row_id]))
@@ -243,7 +244,17 @@ def multiple_imputation(df: DataFrame, row_id: str, cols: Sequence[str] | None =
     size = 1 + p + len(todo)
     if _many_patterns(rows, pattern, size * m):
         raise ValueError("too many patterns of gaps for multiple imputation; choose fewer columns")
-    work = materialise(rows.withColumn(chain, copies))
+    # A complete row is the same in every copy and every round: its cross products are summed once, without errors.
+    gaps = F.lit(False)
+    for i in todo:
+        gaps = gaps | ref(cols[i]).isNull()
+    rows = keep(rows)
+    whole = rows.where(~gaps)
+    fixed = {}
+    for r in _gram_rows(whole, [pattern], [F.lit(1.0), *[F.col(names[i]) for i in range(p)]]).collect():
+        fixed[r[pattern]] = np.zeros((size, size))
+        fixed[r[pattern]][: p + 1, : p + 1] = _square(r["_g"], p + 1)
+    work = materialise(rows.where(gaps).withColumn(chain, copies))
     for step in range(max_iter):
         draws = []
         for i in todo:
@@ -256,7 +267,7 @@ def multiple_imputation(df: DataFrame, row_id: str, cols: Sequence[str] | None =
         found = _gram_rows(with_draws, [chain, pattern], inputs).collect()
         table = []
         for copy in range(1, m + 1):
-            mine = {r[pattern]: _square(r["_g"], size) for r in found if r[chain] == copy}
+            mine = fixed | {r[pattern]: _square(r["_g"], size) for r in found if r[chain] == copy}
             missing = {k: [i for i, c in zip(todo, k, strict=True) if c == "1"] for k in mine}
             state = GapPatterns(missing, mine, p, size)
             rng = np.random.default_rng([seed, copy, step])
@@ -268,5 +279,6 @@ def multiple_imputation(df: DataFrame, row_id: str, cols: Sequence[str] | None =
         moved = with_draws.join(broadcast_if_small(moves), [chain, pattern], "left")
         new = [F.when(ref(cols[i]).isNull(), _applied(maps, i, size, inputs)).otherwise(F.col(names[i])).alias(names[i]) if i in todo else F.col(names[i]) for i in range(p)]
         work = materialise(moved.select(*[ref(c) for c in df.columns], *new, pattern, chain))
+    work = work.unionByName(whole.withColumn(chain, copies).select(*work.columns))
     filled = {c: F.coalesce(ref(c).cast("double"), F.lit(float(stats[f"m{i}"])) + F.col(names[i])) for i, c in enumerate(cols)}
     return work.select(*[filled[c].alias(c) if c in filled else ref(c) for c in df.columns], F.col(chain).alias("_imputation"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from colonnade.catalog.learning import prepared
 from colonnade.llm import mixing
-from colonnade.operators import learning
+from colonnade.operators import impute, learning
 from colonnade.session import spread
 
 
@@ -132,3 +132,14 @@ def test_forests_keep_the_nodes_that_rows_have_reached(spark):
         made.setNumTrees(5)
         plain = made.copy({made.cacheNodeIds: False, made.maxMemoryInMB: 256})
         assert made.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
+
+
+def test_rounds_of_multiple_imputation_carry_rows_with_gaps_only(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id", "IF(id % 10 = 0, NULL, id % 37 * 1.0D) AS a", "id % 23 * 1.0D AS b")
+    sizes, cut = [], impute.materialise
+    monkeypatch.setattr(impute, "materialise", lambda d: sizes.append((out := cut(d)).count()) or out)
+    out = impute.multiple_imputation(df, "id", ["a", "b"], 3, 2).toPandas()
+    assert sizes == [90, 90, 90]
+    assert len(out) == 900 and out["a"].notna().all() and (out.groupby("_imputation")["id"].nunique() == 300).all()
+    known = out[out["id"] % 10 != 0]
+    assert (known["a"] == known["id"] % 37).all()
