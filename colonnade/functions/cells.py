@@ -1,49 +1,58 @@
 """Pairs of occupied cells of a grid that may hold points within a radius, without listing the empty neighbours.
 
 The cells form a prefix tree, one coordinate a level. Pairs of prefixes go down the tree together: a pair is extended
-by coordinates that occur below both prefixes, and dropped once the gap between its boxes exceeds the radius. So work
-follows the occupied pairs; the (2r+1)^d offsets around a cell are never built.
+by coordinates that occur below both prefixes, and dropped once the gap between the boxes of the points below them exceeds
+the radius. So work follows the occupied pairs; the (2r+1)^d offsets around a cell are never built.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.session import materialise
 
 
-def near_cells(cells: DataFrame, d: int, radius_squared: int) -> DataFrame:
+def near_cells(cells: DataFrame, d: int, radius_squared: float, side: float = 1.0) -> DataFrame:
     """(cell, other): both directions of every pair of different cells whose boxes are at most the radius apart.
 
-    ``cells`` has ``cell``, an array of ``d`` whole coordinates; ``radius_squared`` is in sides of a cell, squared.
+    ``cells`` has ``cell``, an array of ``d`` whole coordinates, and may have ``low`` and ``high``, the least and largest
+    coordinates of the points in it; without them the box is the whole cell. ``radius_squared`` and the boxes are in the
+    unit of ``side``. In many columns nearly every cell holds one point: its box is then the point, and of the many cells
+    that lie next to each other only those with close points make a pair.
     """
-    reach = math.isqrt(radius_squared) + 1
-    cells = materialise(cells.select("cell").distinct())
+    if "low" not in cells.columns:
+        cells = cells.select("cell", F.transform("cell", lambda v: v * F.lit(side)).alias("low"), F.transform("cell", lambda v: (v + 1) * F.lit(side)).alias("high"))
+    cells = cells.groupBy("cell").agg(*[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(d) for c, f in (("low", F.min), ("high", F.max))])
+    cells = materialise(cells)
     seen = cells.agg(*[F.approx_count_distinct(F.col("cell")[i]).alias(f"n{i}") for i in range(d)]).first()
     # The coordinate with most values first: it parts the most pairs.
     order = sorted(range(d), key=lambda i: (-seen[f"n{i}"], i))
     turned = F.array(*[F.col("cell")[i] for i in order])
-    tree = materialise(cells.select(turned.alias("c")))
-    offsets = F.array(*[F.lit(v).cast("long") for v in range(-reach, reach + 1)])
-    step = F.greatest(F.abs("off") - 1, F.lit(0))
+    tree = materialise(cells.select(turned.alias("c"), *[F.col(f"{c}{i}").alias(f"{c[0]}{j}") for j, i in enumerate(order) for c in ("low", "high")]))
+    limit = F.lit(radius_squared * (1 + 1e-9))
     pairs = None
     for level in range(d):
-        kids = tree.select(F.slice("c", 1, level).alias("p"), F.col("c")[level].alias("v")).distinct()
+        # The box of a prefix covers the points below it, in the coordinates so far.
+        boxes = [f(F.col(f"{c}{j}")).alias(f"{c}{j}") for j in range(level + 1) for c, f in (("l", F.min), ("h", F.max))]
+        kids = tree.groupBy(F.slice("c", 1, level).alias("p"), F.col("c")[level].alias("v")).agg(*boxes)
         if pairs is None:
-            left = kids.select(F.slice("p", 1, 0).alias("a"), F.slice("p", 1, 0).alias("b"), F.lit(0).cast("long").alias("gap"), F.lit(True).alias("same"), "v")
+            left = kids.withColumnsRenamed({"p": "a"}).withColumns({"b": F.col("a"), "gap": F.lit(0.0), "same": F.lit(True)})
         else:
             left = pairs.join(kids.withColumnRenamed("p", "a"), "a")
-        left = left.withColumn("off", F.explode(offsets)).withColumn("gap", F.col("gap") + step * step)
+        reach = F.sqrt(F.greatest(limit - F.col("gap"), F.lit(0.0)))
+        first = F.floor((F.col(f"l{level}") - reach) / F.lit(side) - 1e-6).cast("long")
+        last = F.floor((F.col(f"h{level}") + reach) / F.lit(side) + 1e-6).cast("long")
         # Each unordered pair once: equal prefixes part upwards only.
-        left = left.where((F.col("gap") <= radius_squared) & (~F.col("same") | (F.col("off") >= 0)))
-        left = left.select("a", "b", "gap", "same", "off", "v", (F.col("v") + F.col("off")).alias("w"))
-        found = left.join(kids.select(F.col("p").alias("b"), F.col("v").alias("w")), ["b", "w"])
-        pairs = materialise(found.select(
-            F.concat("a", F.array("v")).alias("a"), F.concat("b", F.array("w")).alias("b"), "gap",
-            (F.col("same") & (F.col("off") == 0)).alias("same")))
+        left = left.withColumn("w", F.explode(F.sequence(F.when(F.col("same"), F.col("v")).otherwise(F.least(first, F.col("v"))), F.greatest(last, F.col("v")))))
+        right = kids.select(F.col("p").alias("b"), F.col("v").alias("w"), *[F.col(f"{c}{j}").alias(f"{c}{c}{j}") for j in range(level + 1) for c in "lh"])
+        found = left.drop("gap").join(right, ["b", "w"]).withColumn("same", F.col("same") & (F.col("v") == F.col("w")))
+        gap = F.lit(0.0)
+        for j in range(level + 1):
+            apart = F.greatest(F.col(f"l{j}") - F.col(f"hh{j}"), F.col(f"ll{j}") - F.col(f"h{j}"), F.lit(0.0))
+            gap = gap + apart * apart
+        pairs = materialise(found.withColumn("gap", gap).where(F.col("gap") <= limit).select(
+            F.concat("a", F.array("v")).alias("a"), F.concat("b", F.array("w")).alias("b"), "gap", "same"))
     back = [order.index(i) for i in range(d)]
     cell, other = (F.array(*[F.col(c)[j] for j in back]) for c in "ab")
     half = pairs.where("NOT same").select(cell.alias("cell"), other.alias("other"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from colonnade.catalog.learning import prepared
+from colonnade.functions.cells import near_cells
 from colonnade.llm import mixing
 from colonnade.operators import impute, learning
 from colonnade.session import spread
@@ -143,3 +144,17 @@ def test_rounds_of_multiple_imputation_carry_rows_with_gaps_only(spark, monkeypa
     assert len(out) == 900 and out["a"].notna().all() and (out.groupby("_imputation")["id"].nunique() == 300).all()
     known = out[out["id"] % 10 != 0]
     assert (known["a"] == known["id"] % 37).all()
+
+
+def test_near_cells_pair_points_not_their_cells(spark):
+    """Thirty points in ten columns, one to a cell, all cells next to each other: only close points make a pair."""
+    x = np.random.default_rng(5).uniform(0.0, 1.999, (30, 10))
+    cells = np.floor(x)
+    rows = [(c.astype(int).tolist(), p.tolist(), p.tolist()) for c, p in zip(cells, x)]
+    df = spark.createDataFrame(rows, "cell array<bigint>, low array<double>, high array<double>")
+    got = {(tuple(r.cell), tuple(r.other)) for r in near_cells(df, 10, 1.5**2).collect()}
+    names = [tuple(c.astype(int)) for c in cells]
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(names[i], names[j]) for i in range(30) for j in range(30) if i != j and far[i, j] <= 1.5}
+    assert len(set(names)) == 30 and got == want and 0 < len(want) < 30 * 29 / 2
+    assert near_cells(df.select("cell"), 10, 10.0).count() == 30 * 29
