@@ -52,7 +52,15 @@ class Cut:
         self._grow(rows[~left], 2 * node + 2, level + 1, bottom, high)
 
 
-def _leaf_udf(cut: Cut):
+def cut_of(rows: DataFrame, n: int, leaf_rows: int) -> Cut:
+    """Cut of the ``n`` vectors ``vec`` into leaves of about ``leaf_rows``, shaped by a sample of them."""
+    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(n / leaf_rows, 1))))))
+    share = min(1.0, SAMPLE_ROWS / n)
+    sample = rows if share == 1.0 else rows.sample(share, seed=7)
+    return Cut(np.stack(sample.select("vec").limit(2 * SAMPLE_ROWS).toPandas()["vec"].to_numpy()), depth)
+
+
+def leaf_of(cut: Cut):
     depth, dims, values = cut.depth, cut.dim, cut.value
 
     def leaf(v: pd.Series) -> pd.Series:
@@ -153,12 +161,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, leaf_rows: int = LEAF_
     n = refs.count()
     if not n:
         return queries.select("qid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank")).limit(0)
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(n / leaf_rows, 1))))))
-    share = min(1.0, SAMPLE_ROWS / n)
-    sample = refs if share == 1.0 else refs.sample(share, seed=7)
-    rows = sample.select("vec").limit(2 * SAMPLE_ROWS).toPandas()["vec"].to_numpy()
-    cut = Cut(np.stack(rows), depth)
-    leaf, touch = _leaf_udf(cut), _touch_udf(cut)
+    cut = cut_of(refs, n, leaf_rows)
+    leaf, touch, depth = leaf_of(cut), _touch_udf(cut), cut.depth
     refs = keep(refs.withColumn("leaf", leaf("vec")))
     vectors = keep(queries.select(F.col("vec").alias("qvec")).distinct().withColumn("own", leaf("qvec")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colonnade.context import ref
-from colonnade.functions.neighbors import knn_join
+from colonnade.functions.neighbors import cut_of, knn_join, leaf_of
 from colonnade.functions.ordering import positions, running_totals
 from colonnade.session import keep, materialise
 
@@ -242,7 +242,11 @@ def mahalanobis_caliper(caliper: float | None) -> float | None:
     return None if caliper is None else max(caliper * 10, 1.0)
 
 
-FIRST_CANDIDATES = 4
+# Nearest places of controls that a place of treated units asks for first, and by how much a list grows that ran out.
+FIRST_CANDIDATES = 8
+MORE_CANDIDATES = 4
+# Treated units that one task goes through, about.
+REGION_UNITS = 20_000
 
 
 def match_mahalanobis(
@@ -250,41 +254,117 @@ def match_mahalanobis(
 ) -> DataFrame:
     """Nearest control by Mahalanobis distance within the (already scaled) caliper; treated units in id order.
 
-    Without replacement, units propose to their nearest controls and a control keeps the smallest treated id; that
-    settles on the sequential result. Candidate lists grow only for units that exhaust theirs.
+    Without replacement every control is used at most once, see ``_match_once``.
     """
     vec, _ = whiten(df, cols)
     rows = keep(df.select(ref(unit_id).cast("long").alias("id"), ref(treatment).cast("int").alias("treated"), vec.alias("vec")))
+    if not with_replacement:
+        return _match_once(rows, caliper)
     refs = rows.where("treated = 0").select(F.col("id").alias("rid"), "vec")
-    todo = rows.where("treated = 1").select(F.col("id").alias("qid"), "vec")
-    inside = F.lit(True) if caliper is None else F.col("distance") <= caliper
-    if with_replacement:
-        near = knn_join(todo, refs, 1)
-        return near.where(inside).select(F.col("qid").alias("treated_id"), F.col("rid").alias("control_id"), "distance")
-    k = FIRST_CANDIDATES
-    n_refs = refs.count()
-    edges = materialise(knn_join(todo, refs, k).where(inside))
-    lists = materialise(edges.groupBy("qid").agg(F.max("rank").alias("have"), F.lit(k).alias("asked")))
-    place = materialise(todo.select("qid", F.lit(1).alias("at")))
+    near = knn_join(rows.where("treated = 1").select(F.col("id").alias("qid"), "vec"), refs, 1)
+    near = near if caliper is None else near.where(F.col("distance") <= caliper)
+    return near.select(F.col("qid").alias("treated_id"), F.col("rid").alias("control_id"), "distance")
+
+
+TAKES = "region int, place bigint, qid bigint, rid bigint, distance double"
+
+
+def _take(key, places: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+    """The treated units of one region in id order, each taking the nearest control that no smaller id has taken.
+
+    ``seen`` holds the spots of the lists with their controls, and the smallest id that other regions gave a control
+    to. A unit whose list ran out although more controls may be near reports no control.
+    """
+    spots = seen[seen["rids"].notna()]
+    rids = {s: r.tolist() for s, r in zip(spots["spot"], spots["rids"], strict=True)}
+    given = seen[seen["rids"].isna()]
+    elsewhere = dict(zip(given["rid"].astype("int64"), given["taker"].astype("int64"), strict=True))
+    lists, ends = [], []
+    for s, d, whole in zip(places["spots"], places["distances"], places["whole"], strict=True):
+        lists.append((s.tolist(), d.tolist()))
+        # Spots unseen may be as near as the last ones of a list that was cut off.
+        ends.append(len(d) if whole else int(np.searchsorted(d, d[-1])))
+    units = sorted((q, i) for i, ids in enumerate(places["qids"]) for q in ids.tolist())
+    at, first, taken, rows = [0] * len(lists), dict.fromkeys(rids, 0), set(), []
+    for qid, i in units:
+        near, away = lists[i]
+        end, best, j = ends[i], None, at[i]
+        while j < end and (best is None or away[j] == best[0]):
+            spot = near[j]
+            free, n = rids[spot], first[spot]
+            while n < len(free) and (free[n] in taken or elsewhere.get(free[n], qid) < qid):
+                n += 1
+            first[spot] = n
+            if n < len(free):
+                best = (away[j], free[n]) if best is None else min(best, (away[j], free[n]))
+            elif j == at[i]:  # later ids find this spot full as well
+                at[i] += 1
+            j += 1
+        if best:
+            taken.add(best[1])
+            rows.append((places["place"].iloc[i], qid, best[1], best[0]))
+        elif not places["whole"].iloc[i]:
+            rows.append((places["place"].iloc[i], qid, None, None))
+    out = pd.DataFrame(rows, columns=["place", "qid", "rid", "distance"]).astype({"rid": "Int64", "distance": "float64"})
+    out.insert(0, "region", key[0])
+    return out
+
+
+def _match_once(rows: DataFrame, caliper: float | None) -> DataFrame:
+    """Pairs of (id, treated, vec) when treated units in id order take the nearest control still free.
+
+    Units at one point share a place, controls at one point a spot, and a place has the list of its nearest spots. The
+    places are dealt to regions that lie together. All regions go through their units in parallel; the controls that other
+    regions gave to smaller ids enter the next round. What a unit gets depends on smaller ids only, so the rounds settle
+    on exactly the sequential result. Lists grow only for places that exhaust theirs.
+    """
+    known = rows.where(F.col("id").isNotNull())
+    points = lambda t, name: known.where(F.col("treated") == t).groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias(name))
+    spots = materialise(points(0, "rids").withColumn("spot", F.monotonically_increasing_id()))
+    places = materialise(points(1, "qids").withColumn("place", F.monotonically_increasing_id()))
+    n_spots, n_places = spots.count(), places.count()
+    if not n_places or not n_spots:
+        return rows.sparkSession.createDataFrame([], "treated_id bigint, control_id bigint, distance double")
+    units = places.agg(F.sum(F.size("qids"))).first()[0]
+    region = leaf_of(cut_of(places, n_places, max(1, int(REGION_UNITS * n_places / units))))
+    places = keep(places.withColumn("region", region("vec")))
+
+    def lists_of(asked: DataFrame, k: int) -> DataFrame:
+        near = knn_join(asked.select(F.col("place").alias("qid"), "vec"), spots.select(F.col("spot").alias("rid"), "vec"), k)
+        near = near if caliper is None else near.where(F.col("distance") <= caliper)
+        near = near.groupBy(F.col("qid").alias("place")).agg(F.array_sort(F.collect_list(F.struct("distance", "rid"))).alias("_l"))
+        whole = (F.size("_l") < k) | F.lit(k >= n_spots)
+        return asked.select("region", "place", "qids").join(near, "place").select(
+            "region", "place", "qids", F.col("_l.rid").alias("spots"), F.col("_l.distance").alias("distances"), whole.alias("whole"))
+
+    k, lists, mark = FIRST_CANDIDATES, materialise(lists_of(places, FIRST_CANDIDATES)), None
     while True:
-        offers = edges.join(place, "qid").where(F.col("rank") == F.col("at"))
-        held = offers.groupBy("rid").agg(F.min("qid").alias("_keep"))
-        judged = offers.join(held, "rid")
-        losers = judged.where(F.col("qid") != F.col("_keep")).select("qid", F.lit(1).alias("_lost"))
-        place = materialise(place.join(losers, "qid", "left").withColumn("at", F.col("at") + F.coalesce("_lost", F.lit(0))).drop("_lost"))
-        # Units past their list ask for a longer one when their list may have been cut off.
-        short = place.join(lists, "qid").where((F.col("at") > F.col("have")) & (F.col("have") == F.col("asked")) & (F.col("asked") < n_refs))
-        ids = materialise(short.select("qid"))
-        waiting = ids.count()
-        if waiting:
-            k *= 2
-            more = knn_join(todo.join(ids, "qid"), refs, k).where(inside)
-            edges = materialise(edges.join(ids, "qid", "left_anti").unionByName(more))
-            lists = materialise(edges.groupBy("qid").agg(F.max("rank").alias("have")).join(ids.withColumn("_n", F.lit(k)), "qid", "left").join(
-                lists.select("qid", F.col("asked").alias("_old")), "qid", "left").select("qid", "have", F.coalesce("_n", "_old").alias("asked")))
-        elif not losers.take(1):
-            break
-    return judged.where(F.col("qid") == F.col("_keep")).select(F.col("qid").alias("treated_id"), F.col("rid").alias("control_id"), "distance")
+        if mark is None:
+            seen = lists.select("region", F.explode("spots").alias("spot")).distinct().join(spots.select("spot", "rids"), "spot")
+            seen = materialise(seen)
+            shared = seen.groupBy("spot").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("spot")
+            contested = keep(seen.join(shared, "spot").select(F.col("region").alias("_to"), F.explode("rids").alias("rid")).distinct())
+            alone, takes = not contested.take(1), None
+        known_of = seen.select(F.col("region").alias("_to"), "spot", "rids")
+        if takes is not None:
+            given = takes.where(F.col("rid").isNotNull()).join(contested, "rid").where(F.col("_to") != F.col("region"))
+            given = given.groupBy("_to", "rid").agg(F.min("qid").alias("taker"))
+            known_of = known_of.unionByName(given, allowMissingColumns=True)
+        else:
+            known_of = known_of.withColumns({"rid": F.lit(None).cast("long"), "taker": F.lit(None).cast("long")})
+        takes = materialise(lists.groupBy("region").cogroup(known_of.groupBy("_to")).applyInPandas(_take, TAKES))
+        state = takes.agg(
+            F.count("*").alias("n"), F.sum(F.xxhash64("qid", "rid").cast("decimal(38,0)")).alias("h"), F.count_if(F.col("rid").isNull()).alias("short")).first()
+        now = (state["n"], state["h"])
+        settled, mark = alone or now == mark, now
+        if settled and not state["short"]:
+            return takes.select(F.col("qid").alias("treated_id"), F.col("rid").alias("control_id"), "distance")
+        if settled:
+            # Only when the regions agree is a list known to be too short.
+            k *= MORE_CANDIDATES
+            short = keep(takes.where(F.col("rid").isNull()).select("place").distinct())
+            lists = materialise(lists.join(short, "place", "left_anti").unionByName(lists_of(places.join(short, "place"), k)))
+            mark = None
 
 
 def matched_rows(df: DataFrame, unit_id: str, pairs: DataFrame) -> DataFrame:

@@ -250,6 +250,48 @@ def test_mahalanobis_without_replacement_equals_sequential(spark):
     assert got == want
 
 
+def _sequential_pairs(df, cols, caliper):
+    """Treated units in id order, each with the nearest control still free, ties by the smaller id; every pair compared."""
+    root = matching.whiten(df, cols)[1]
+    rows = sorted((r["id"], r["t"], tuple(r[c] for c in cols)) for r in df.collect())
+    at = {i: np.array([sum((root[a, b] * v[b] for b in range(len(v))), 0.0) for a in range(len(v))]) for i, _, v in rows}
+    free, out = [i for i, t, _ in rows if not t], []
+    for i, t, _ in rows:
+        if t and free:
+            d, j = min((float(np.sqrt(((at[j] - at[i]) ** 2).sum())), j) for j in free)
+            if caliper is None or d <= caliper:
+                out.append((i, j))
+                free.remove(j)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("caliper", [None, 0.4])
+def test_mahalanobis_once_in_many_regions(spark, monkeypatch, caliper):
+    rng = np.random.default_rng(61)
+    x = np.round(rng.normal(size=(420, 2)) * 3) + 0.0  # a lattice: shared points and equal distances
+    x[200:300] = x[7]  # a crowded point
+    t = (rng.random(420) < 0.45).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": rng.permutation(420), "t": t, "a": x[:, 0], "b": x[:, 1]}))
+    monkeypatch.setattr(matching, "REGION_UNITS", 30)
+    monkeypatch.setattr(matching, "FIRST_CANDIDATES", 2)
+    got = matching.match_mahalanobis(df, "id", "t", ["a", "b"], caliper, False).collect()
+    assert sorted((r.treated_id, r.control_id) for r in got) == _sequential_pairs(df, ["a", "b"], caliper)
+
+
+def test_mahalanobis_once_jobs_do_not_grow_with_repeats(spark):
+    """Units at one point went one place down their common list a round."""
+    jobs = []
+    for n in (4, 40):
+        rows = [(i, int(i % 3 == 0), float(i // (6 * n)), float((i // (6 * n)) ** 2 % 5)) for i in range(6 * n * 6)]
+        group = f"mahalanobis-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = matching.match_mahalanobis(spark.createDataFrame(rows, "id long, t int, a double, b double"), "id", "t", ["a", "b"], 1.0, False)
+        assert out.count() == 12 * n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[1] <= jobs[0] + 4
+
+
 def test_kendall_in_many_ranges(spark):
     rng = np.random.default_rng(6)
     x = np.r_[rng.normal(size=150), np.zeros(80)]
