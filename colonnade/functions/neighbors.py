@@ -51,6 +51,25 @@ class Cut:
         self._grow(rows[left], 2 * node + 1, level + 1, low, top)
         self._grow(rows[~left], 2 * node + 2, level + 1, bottom, high)
 
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), dtype=int)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dim[node]] > self.value[node])
+        return node - (2**self.depth - 1)
+
+    def touched(self, x: np.ndarray, home: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+        """The leaves besides ``home`` that a ball of radius ``bound`` (NaN: without end) touches, for every vector."""
+        out: list[np.ndarray] = []
+        reach = np.where(np.isnan(bound), np.inf, bound * (1 + 1e-12) + 1e-300)
+        size = max(1, BLOCK_CELLS // self.low.size)
+        for i in range(0, len(x), size):
+            part = x[i : i + size, None, :]
+            gap = np.maximum(np.maximum(self.low[None] - part, part - self.high[None]), 0.0)
+            near = np.sqrt((gap * gap).sum(2)) <= reach[i : i + size, None]
+            near[np.arange(len(near)), home[i : i + size]] = False
+            out += [np.flatnonzero(row).astype("int32") for row in near]
+        return out
+
 
 def cut_of(rows: DataFrame, n: int, leaf_rows: int) -> Cut:
     """Cut of the ``n`` vectors ``vec`` into leaves of about ``leaf_rows``, shaped by a sample of them."""
@@ -61,37 +80,15 @@ def cut_of(rows: DataFrame, n: int, leaf_rows: int) -> Cut:
 
 
 def leaf_of(cut: Cut):
-    depth, dims, values = cut.depth, cut.dim, cut.value
-
     def leaf(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype="int32")
-        x = np.stack(v.to_numpy())
-        node = np.zeros(len(x), dtype=int)
-        for _ in range(depth):
-            node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > values[node])
-        return pd.Series((node - (2**depth - 1)).astype("int32"))
+        return pd.Series(cut.leaf(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
 
     return F.pandas_udf(leaf, T.IntegerType())
 
 
 def _touch_udf(cut: Cut):
-    low, high = cut.low, cut.high
-
     def touch(v: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        if not len(v):
-            return pd.Series(out, dtype=object)
-        x, home = np.stack(v.to_numpy()), own.to_numpy()
-        reach = np.where(np.isnan(b := bound.to_numpy(dtype=float)), np.inf, b * (1 + 1e-12) + 1e-300)
-        size = max(1, BLOCK_CELLS // low.size)
-        for i in range(0, len(x), size):
-            part = x[i : i + size, None, :]
-            gap = np.maximum(np.maximum(low[None] - part, part - high[None]), 0.0)
-            near = np.sqrt((gap * gap).sum(2)) <= reach[i : i + size, None]
-            near[np.arange(len(near)), home[i : i + size]] = False
-            out += [np.flatnonzero(row).astype("int32") for row in near]
-        return pd.Series(out)
+        return pd.Series(cut.touched(np.stack(v.to_numpy()), own.to_numpy(), bound.to_numpy(dtype=float)) if len(v) else [], dtype=object)
 
     return F.pandas_udf(touch, T.ArrayType(T.IntegerType()))
 
@@ -100,9 +97,11 @@ def _touch_udf(cut: Cut):
 BLOCK_CELLS = 4_000_000
 
 
-def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, columns: int = 1, shared: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, reference row, distance) of the k nearest references of each query, ties by the smaller id.
 
+    Squared distances are scaled by ``columns`` / ``shared``.
+
     One matrix product shortlists every reference whose squared distance is, within rounding, among the k smallest;
     the distances of the shortlist are then computed from the differences.
     """
@@ -116,7 +115,7 @@ def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> t
     else:
         qi, ri = np.repeat(np.arange(len(q)), len(r)), np.tile(np.arange(len(r)), len(q))
     gap = r[ri] - q[qi]
-    d = np.sqrt((gap * gap).sum(1))
+    d = np.sqrt((gap * gap).sum(1) * columns / shared)
     order = np.lexsort((ids[ri], d, qi))
     qi, ri, d = qi[order], ri[order], d[order]
     place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
@@ -143,13 +142,13 @@ def _search(k: int):
     return run
 
 
-def smallest_ids(refs: DataFrame, k: int) -> DataFrame:
-    """At most the k smallest ids of every distinct vector: no other can be among the k nearest."""
+def smallest_ids(refs: DataFrame, k: int, point: tuple[str, ...] = ("vec",)) -> DataFrame:
+    """At most the k smallest ids of every distinct vector (or ``point``): no other can be among the k nearest."""
     salted = refs.withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
-    part = W.partitionBy("vec", "_salt").orderBy("rid")
+    part = W.partitionBy(*point, "_salt").orderBy("rid")
     few = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
-    whole = W.partitionBy("vec").orderBy("rid")
-    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k).select("rid", "vec")
+    whole = W.partitionBy(*point).orderBy("rid")
+    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k).select(*refs.columns)
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:

@@ -6,6 +6,10 @@ values and how many of its rows know each column, which bounds the distance of a
 from below. A query first searches one promising leaf per column it lacks; the k-th distances found there select the other
 leaves that could hold a nearer donor. Two rounds of search serve all patterns and all columns together.
 
+Where few patterns of gaps occur, a query and the donors that share the same columns with it lie in a common space of just
+these columns. All spaces are searched together, each with a cut of its own, so a column that a query lacks never decides
+which leaves it has to visit, and vectors that are equal in a space are folded.
+
 Distance is taken over the columns that both rows know, scaled up to the number of columns. Unknown coordinates are NaN.
 """
 
@@ -20,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.functions.neighbors import BLOCK_CELLS, LEAF_ROWS, QUERIES_PER_TASK, SAMPLE_ROWS, smallest_ids
+from colonnade.functions.neighbors import BLOCK_CELLS, LEAF_ROWS, MAX_DEPTH, QUERIES_PER_TASK, SALTS, SAMPLE_ROWS, Cut, nearest_in_block, smallest_ids
 from colonnade.session import keep, materialise
 
 # Leaves times columns; the bounds of all leaves travel with the tasks.
@@ -200,6 +204,109 @@ def _search(k: int):
     return run
 
 
+# Patterns of gaps, and spaces of shared columns, up to which the spaces are searched one by one in the same jobs.
+PATTERNS = 16
+MASK_COLUMNS = 30
+SPACES = 100
+
+
+def _spaces(masks: list[int], columns: int) -> list[tuple[int, int, int]]:
+    """Every (known to the query, shared, wanted column) that two of the patterns ``masks`` give, columns as bits."""
+    return sorted({(q, q & d, t) for q in masks for d in masks if q & d for t in range(columns) if d >> t & 1 and not q >> t & 1})
+
+
+def _by_space(run):
+    """Apply ``run(space, positions)`` to the rows of each space of a batch."""
+    def each(space: pd.Series, out: list) -> list:
+        at = space.to_numpy()
+        for s in np.unique(at):
+            rows = np.flatnonzero(at == s)
+            for i, x in zip(rows, run(int(s), rows), strict=True):
+                out[i] = x
+        return out
+
+    return each
+
+
+def _donors_by_space(queries: DataFrame, refs: DataFrame, masks: list[int], columns: int, k: int, leaf_rows: int) -> DataFrame:
+    """The donors of ``nearest_donors``, searched in the spaces that queries and donors share."""
+    spark = queries.sparkSession
+    spaces = _spaces(masks, columns)
+    asking = spark.createDataFrame([(q, i, s, t) for i, (q, s, t) in enumerate(spaces)], "mask long, space int, shared long, target int")
+    giving = spark.createDataFrame([(d, i, s, t) for i, (q, s, t) in enumerate(spaces) for d in masks if d & q == s and d >> t & 1], "mask long, space int, shared long, target int")
+    shown = F.array(*[F.when(F.col("shared").bitwiseAND(1 << i) != 0, F.col("vec")[i]).otherwise(0.0) for i in range(columns)])
+    asks = queries.withColumn("mask", _mask(columns)).join(F.broadcast(asking), "mask")
+    asks = keep(asks.select("qid", "space", "target", shown.alias("point"), F.pmod(F.xxhash64("qid"), F.lit(SALTS)).alias("_salt")))
+    donors = refs.withColumn("mask", _mask(columns)).join(F.broadcast(giving), "mask")
+    donors = donors.select("space", shown.alias("point"), "rid", F.element_at("vec", F.col("target") + 1).alias("value"))
+    donors = keep(smallest_ids(donors, k, ("space", "point")))
+    sizes = {r["space"]: r["n"] for r in donors.groupBy("space").agg(F.count("*").alias("n")).collect()}
+    n = max(1, sum(sizes.values()))
+    seen = donors.sample(min(1.0, 4 * SAMPLE_ROWS / n), seed=7).select("space", "point").limit(8 * SAMPLE_ROWS).toPandas()
+    seen = {s: np.stack(part.to_numpy()) for s, part in seen.groupby("space")["point"]}
+    cuts, offsets, total = {}, {}, 0
+    for s in sizes:
+        depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(sizes[s] / leaf_rows, 1)))))) if s in seen else 0
+        cuts[s], offsets[s] = Cut(seen.get(s, np.zeros((1, columns))), depth), total
+        total += 2**depth
+    wide = {s: columns / bin(shared).count("1") for s, (_, shared, _) in enumerate(spaces)}
+
+    def leaf(space: pd.Series, v: pd.Series) -> pd.Series:
+        run = _by_space(lambda s, rows: cuts[s].leaf(np.stack(v.iloc[rows].to_numpy())) + offsets[s])
+        return pd.Series(run(space, [0] * len(v)), dtype="int32")
+
+    def touch(space: pd.Series, v: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
+        def near(s: int, rows: np.ndarray):
+            reach = bound.iloc[rows].to_numpy(dtype=float) / np.sqrt(wide[s])
+            found = cuts[s].touched(np.stack(v.iloc[rows].to_numpy()), own.iloc[rows].to_numpy() - offsets[s], reach)
+            return [x + np.int32(offsets[s]) for x in found]
+
+        return pd.Series(_by_space(near)(space, [None] * len(v)), dtype=object)
+
+    leaf, touch = F.pandas_udf(leaf, T.IntegerType()), F.pandas_udf(touch, T.ArrayType(T.IntegerType()))
+
+    def search(points: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({n: pd.Series([], dtype=object) for n in ("space", "point", "rid", "distance", "value")})]
+        if len(points) and len(refs):
+            s, asked = int(refs["space"].iloc[0]), points["point"].to_numpy()
+            q, r, ids, values = np.stack(asked), np.stack(refs["point"].to_numpy()), refs["rid"].to_numpy(), refs["value"].to_numpy()
+            size = max(1, BLOCK_CELLS // len(r))
+            for i in range(0, len(q), size):
+                qi, ri, d = nearest_in_block(q[i : i + size], r, ids, k, columns, bin(spaces[s][1]).count("1"))
+                out.append(pd.DataFrame({"space": s, "point": asked[qi + i], "rid": ids[ri], "distance": d, "value": values[ri]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    donors = keep(donors.withColumn("leaf", leaf("space", "point")))
+    points = asks.select("space", "point").distinct().where(F.col("space").isin(list(sizes)))
+    points = keep(points.withColumn("own", leaf("space", "point")))
+
+    def visit(asked: DataFrame) -> DataFrame:
+        # As in ``knn_join``: crowded leaves are split by a hash of the point.
+        parts = F.broadcast(keep(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("_parts"))))  # one row a leaf
+        left = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")).cast("int"))
+        right = donors.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        return (
+            left.select("leaf", "part", "point").groupBy("leaf", "part")
+            .cogroup(right.select("leaf", "part", "space", "point", "rid", "value").groupBy("leaf", "part"))
+            .applyInPandas(search, "space int, point array<double>, rid bigint, distance double, value double")
+        )
+
+    first = keep(visit(points.select(F.col("own").alias("leaf"), "point")))
+    bounds = first.groupBy("space", "point").agg(F.when(F.count("*") >= k, F.max("distance")).alias("_b"))
+    others = points.join(bounds, ["space", "point"], "left").select("point", F.explode(touch("space", "point", "own", "_b")).alias("leaf"))
+    best = F.row_number().over(W.partitionBy("space", "point").orderBy("distance", "rid"))
+    top = first.unionByName(visit(keep(others))).withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+    # A point that many queries share meets them in parts.
+    top = top.join(asks.select("space", "point", "_salt").distinct(), ["space", "point"])
+    return asks.join(top, ["space", "point", "_salt"]).select("qid", "target", "rid", "distance", "value")
+
+
+def _mask(columns: int):
+    """The known columns of ``vec`` as bits."""
+    bits = [F.when(~F.isnan(F.col("vec")[i]), 1 << i).otherwise(0) for i in range(columns)]
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def nearest_donors(rows: DataFrame, columns: int, k: int, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
     """Queries (qid, vec) and their donors (qid, target, rid, distance, value).
 
@@ -214,6 +321,12 @@ def nearest_donors(rows: DataFrame, columns: int, k: int, leaf_rows: int = LEAF_
     n = refs.count()
     if not n:
         return queries, queries.sparkSession.createDataFrame([], FOUND)
+    ranked = F.row_number().over(W.partitionBy("qid", "target").orderBy("distance", "rid"))  # few times k rows a task
+    if columns <= MASK_COLUMNS:
+        masks = [r["mask"] for r in rows.select(_mask(columns).alias("mask")).distinct().limit(PATTERNS + 1).collect()]
+        if len(masks) <= PATTERNS and 0 < len(_spaces(masks, columns)) <= SPACES:
+            found = _donors_by_space(queries, refs, masks, columns, k, leaf_rows)
+            return queries, found.withColumn("_r", ranked).where(F.col("_r") <= k).drop("_r")
     share = min(1.0, SAMPLE_ROWS / n)
     sample = refs if share == 1.0 else refs.sample(share, seed=7)
     shown = np.stack(sample.select("vec").limit(2 * SAMPLE_ROWS).toPandas()["vec"].to_numpy())
@@ -240,7 +353,6 @@ def nearest_donors(rows: DataFrame, columns: int, k: int, leaf_rows: int = LEAF_
             .cogroup(right.select(*keys, "rid", "vec").groupBy(*keys)).applyInPandas(_search(k), FOUND)
         )
 
-    ranked = F.row_number().over(W.partitionBy("qid", "target").orderBy("distance", "rid"))  # at most k rows a task
     queries_at = keep(queries.withColumn("home", _first_leaves(leaves, k)("vec")))
     first = keep(visit(queries_at.select("qid", "vec", F.explode("home").alias("leaf"))).withColumn("_r", ranked).where(F.col("_r") <= k).drop("_r"))
     limits = first.groupBy("qid", "target").agg(F.when(F.count("*") >= k, F.max("distance")).alias("b")).groupBy("qid").agg(*[

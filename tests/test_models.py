@@ -491,6 +491,25 @@ def test_donors_of_partly_known_rows_against_brute_force(spark, monkeypatch, lea
     assert not any(q == number[(99.0,) * 5] for q, _ in got)  # nothing known, nothing shared
 
 
+def test_donors_in_the_columns_shared_with_the_query(spark, monkeypatch):
+    """The cut took the widest column, so a query that lacks it was dealt to nearly every leaf."""
+    rng = np.random.default_rng(33)
+    x = np.column_stack([rng.normal(size=900).round(2), rng.integers(0, 6, 900), np.sqrt(np.arange(900)) * 40])
+    x[rng.random(x.shape) < [0.3, 0.2, 0.3]] = np.nan
+    x[100:160], x[500] = x[0], np.nan
+    monkeypatch.setattr(partial_neighbors, "QUERIES_PER_TASK", 30)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    monkeypatch.setattr(partial_neighbors, "PartialCut", None)  # few patterns need no tree over partly known rows
+    queries, found = partial_neighbors.nearest_donors(rows, 3, 5, 20)
+    got = {(r["qid"], r["target"]): r["v"] for r in found.groupBy("qid", "target").agg({"value": "avg"}).withColumnRenamed("avg(value)", "v").collect()}
+    number = {tuple(np.nan_to_num(r["vec"], nan=-99.0)): r["qid"] for r in queries.collect()}
+    want = brute_donor_means(x, 5)
+    assert {q for q, _ in got} == set(number.values()) - {number[(-99.0,) * 3]}
+    for i, c in zip(*np.nonzero(np.isnan(x)), strict=True):
+        if not np.isnan(x[i]).all():
+            assert got[number[tuple(np.nan_to_num(x[i], nan=-99.0))], c] == pytest.approx(want[i, c], rel=1e-9)
+
+
 def test_knn_imputation_jobs_do_not_grow_with_patterns(spark):
     rng = np.random.default_rng(32)
     jobs = []
