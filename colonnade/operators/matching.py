@@ -266,46 +266,49 @@ def match_mahalanobis(
     return near.select(F.col("qid").alias("treated_id"), F.col("rid").alias("control_id"), "distance")
 
 
-TAKES = "region int, place bigint, qid bigint, rid bigint, distance double"
+TAKES = "region int, place bigint, qid bigint, spot bigint, rid bigint, distance double"
 
 
 def _take(key, places: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
     """The treated units of one region in id order, each taking the nearest control that no smaller id has taken.
 
-    ``seen`` holds the spots of the lists with their controls, and the smallest id that other regions gave a control
-    to. A unit whose list ran out although more controls may be near reports no control.
+    ``seen`` holds the spots of the lists with their controls, and the ids of other regions that take one there. The n-th id
+    at a spot gets its n-th control. A unit whose list ran out although more controls may be near reports no control.
     """
     spots = seen[seen["rids"].notna()]
     rids = {s: r.tolist() for s, r in zip(spots["spot"], spots["rids"], strict=True)}
     given = seen[seen["rids"].isna()]
-    elsewhere = dict(zip(given["rid"].astype("int64"), given["taker"].astype("int64"), strict=True))
-    lists, ends = [], []
-    for s, d, whole in zip(places["spots"], places["distances"], places["whole"], strict=True):
+    others = {s: t.tolist() for s, t in zip(given["spot"], given["takers"], strict=True)}
+    names, whole, lists, ends = places["place"].tolist(), places["whole"].tolist(), [], []
+    for s, d, all_of in zip(places["spots"], places["distances"], places["whole"], strict=True):
         lists.append((s.tolist(), d.tolist()))
         # Spots unseen may be as near as the last ones of a list that was cut off.
-        ends.append(len(d) if whole else int(np.searchsorted(d, d[-1])))
+        ends.append(len(d) if all_of else int(np.searchsorted(d, d[-1])))
     units = sorted((q, i) for i, ids in enumerate(places["qids"]) for q in ids.tolist())
-    at, first, taken, rows = [0] * len(lists), dict.fromkeys(rids, 0), set(), []
+    at, own, passed, rows = [0] * len(lists), dict.fromkeys(rids, 0), dict.fromkeys(others, 0), []
     for qid, i in units:
         near, away = lists[i]
         end, best, j = ends[i], None, at[i]
         while j < end and (best is None or away[j] == best[0]):
             spot = near[j]
-            free, n = rids[spot], first[spot]
-            while n < len(free) and (free[n] in taken or elsewhere.get(free[n], qid) < qid):
-                n += 1
-            first[spot] = n
-            if n < len(free):
-                best = (away[j], free[n]) if best is None else min(best, (away[j], free[n]))
+            n = own[spot]
+            if spot in others:
+                ids = others[spot]
+                while passed[spot] < len(ids) and ids[passed[spot]] < qid:
+                    passed[spot] += 1
+                n += passed[spot]
+            if n < len(rids[spot]):
+                found = (away[j], rids[spot][n], spot)
+                best = found if best is None else min(best, found)
             elif j == at[i]:  # later ids find this spot full as well
                 at[i] += 1
             j += 1
         if best:
-            taken.add(best[1])
-            rows.append((places["place"].iloc[i], qid, best[1], best[0]))
-        elif not places["whole"].iloc[i]:
-            rows.append((places["place"].iloc[i], qid, None, None))
-    out = pd.DataFrame(rows, columns=["place", "qid", "rid", "distance"]).astype({"rid": "Int64", "distance": "float64"})
+            own[best[2]] += 1
+            rows.append((names[i], qid, best[2], best[1], best[0]))
+        elif not whole[i]:
+            rows.append((names[i], qid, None, None, None))
+    out = pd.DataFrame(rows, columns=["place", "qid", "spot", "rid", "distance"]).astype({"spot": "Int64", "rid": "Int64", "distance": "float64"})
     out.insert(0, "region", key[0])
     return out
 
@@ -314,11 +317,12 @@ def _match_once(rows: DataFrame, caliper: float | None) -> DataFrame:
     """Pairs of (id, treated, vec) when treated units in id order take the nearest control still free.
 
     Units at one point share a place, controls at one point a spot, and a place has the list of its nearest spots. The
-    places are dealt to regions that lie together. All regions go through their units in parallel; the controls that other
-    regions gave to smaller ids enter the next round. What a unit gets depends on smaller ids only, so the rounds settle
+    places are dealt to regions that lie together. All regions go through their units in parallel; the ids that took a control
+    at a common spot in other regions enter the next round, and only how many they are matters. What a unit gets depends on smaller ids only, so the rounds settle
     on exactly the sequential result. Lists grow only for places that exhaust theirs.
     """
-    known = rows.where(F.col("id").isNotNull())
+    # An id at several points counts once.
+    known = keep(rows.where(F.col("id").isNotNull()).groupBy("treated", "id").agg(F.min("vec").alias("vec")))
     points = lambda t, name: known.where(F.col("treated") == t).groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias(name))
     spots = materialise(points(0, "rids").withColumn("spot", F.monotonically_increasing_id()))
     places = materialise(points(1, "qids").withColumn("place", F.monotonically_increasing_id()))
@@ -343,18 +347,18 @@ def _match_once(rows: DataFrame, caliper: float | None) -> DataFrame:
             seen = lists.select("region", F.explode("spots").alias("spot")).distinct().join(spots.select("spot", "rids"), "spot")
             seen = materialise(seen)
             shared = seen.groupBy("spot").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("spot")
-            contested = keep(seen.join(shared, "spot").select(F.col("region").alias("_to"), F.explode("rids").alias("rid")).distinct())
+            contested = keep(seen.join(shared, "spot").select(F.col("region").alias("_to"), "spot"))
             alone, takes = not contested.take(1), None
         known_of = seen.select(F.col("region").alias("_to"), "spot", "rids")
         if takes is not None:
-            given = takes.where(F.col("rid").isNotNull()).join(contested, "rid").where(F.col("_to") != F.col("region"))
-            given = given.groupBy("_to", "rid").agg(F.min("qid").alias("taker"))
+            given = takes.where(F.col("spot").isNotNull()).join(contested, "spot").where(F.col("_to") != F.col("region"))
+            given = given.groupBy("_to", "spot").agg(F.sort_array(F.collect_list("qid")).alias("takers"))
             known_of = known_of.unionByName(given, allowMissingColumns=True)
         else:
-            known_of = known_of.withColumns({"rid": F.lit(None).cast("long"), "taker": F.lit(None).cast("long")})
+            known_of = known_of.withColumn("takers", F.lit(None).cast("array<long>"))
         takes = materialise(lists.groupBy("region").cogroup(known_of.groupBy("_to")).applyInPandas(_take, TAKES))
         state = takes.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("qid", "rid").cast("decimal(38,0)")).alias("h"), F.count_if(F.col("rid").isNull()).alias("short")).first()
+            F.count("*").alias("n"), F.sum(F.xxhash64("qid", "spot").cast("decimal(38,0)")).alias("h"), F.count_if(F.col("rid").isNull()).alias("short")).first()
         now = (state["n"], state["h"])
         settled, mark = alone or now == mark, now
         if settled and not state["short"]:
