@@ -390,3 +390,12 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_first_stage_drops_mixtures_of_languages(spark):
+    german, english = "und der die das ist nicht und mit von der die ", "the and of that with this have from the and of "
+    taught = [(i, (german if i % 2 else english) * 4, "de" if i % 2 else "en", "s") for i in range(40)]
+    asked = [(100, german * 5 + english * 5, None, "s"), (101, german * 9 + english, None, "s"), (102, english * 9, None, "s"), (103, "12 34", None, "s")]
+    docs = documents(spark, taught + asked)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {*range(40), 101, 102}
