@@ -9,6 +9,8 @@ the block is reached; beams of the whole block are doubled until the audited rec
 comparison with the whole shard. The audits of all blocks are added up as well: where links are too sparse for a block to
 judge, their sum decides whether the search runs again with beams twice as wide. Every link is verified by the cosine in
 double precision. Tasks return link counts and a spanning forest of their links; components are united over the forests.
+Links are verified and counted slice by slice, and a shard travels in pieces, so the memory of a task follows the nodes of a
+shard and not their links.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing; vectors of
 different length do not link; equal vectors link with each other; a null vec_id takes part but names no component;
@@ -26,16 +28,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.context import ref
 from colonnade.llm.common import components, settle
 from colonnade.session import materialise
 
-# A shard holds no more nodes than this, and no more bytes of vectors: they travel in one cell.
+# A shard holds no more nodes than this, and no more bytes of vectors (in double precision); a task holds a whole one.
 SHARD_NODES = 100_000
-SHARD_BYTES = 400_000_000
+SHARD_BYTES = 100_000_000
 LEAST_SHARDS = 4
-QUERY_BLOCK = 16_384  # least queries in a block; blocks grow with the table up to the size of a shard
+# Bytes of a shard that travel in one row.
+PIECE_BYTES = 4_000_000
+QUERY_BLOCK = 16_384  # least queries in a block; blocks are as large as a shard once there are SEARCH_TASKS of them
+SEARCH_TASKS = 48  # pairs of shard and block that keep the cores busy: every further block copies all shards once more
 DEGREE = 16
 BUILD_BEAM = 48
 SEARCH_BEAM = 48
@@ -46,6 +52,8 @@ TARGET_RECALL = 0.98
 AUDIT_LINKS = 200
 AUDIT_SHARE = 0.25
 BATCH = 256
+# Numbers in the largest array that a step over candidates or links makes.
+SLICE_CELLS = 8_000_000
 
 
 def select(base: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
@@ -62,6 +70,18 @@ def select(base: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> np
     return np.take_along_axis(ids, rank, 1)
 
 
+class Lists:
+    """Neighbour lists of the members of a layer, asked for by node; those of other nodes are empty."""
+
+    def __init__(self, members: np.ndarray, rows: np.ndarray, nodes: int):
+        self.rows = np.concatenate([rows, np.full((1, rows.shape[1]), -1, dtype=rows.dtype)])
+        self.at = np.full(nodes, len(rows), dtype=np.int32)
+        self.at[members] = np.arange(len(rows), dtype=np.int32)
+
+    def __getitem__(self, nodes: np.ndarray) -> np.ndarray:
+        return self.rows[self.at[nodes]]
+
+
 class Graph:
     """Layers of neighbour lists over unit vectors; layer 0 holds every node."""
 
@@ -117,8 +137,9 @@ class Graph:
         width = min(2 * DEGREE, every.shape[1])
         fits = size <= 2 * DEGREE
         links[nodes[fits], :width] = every[fits][:, :width]
-        for lo in range(0, int((~fits).sum()), 512):
-            crowd, who = every[~fits][lo : lo + 512], nodes[~fits][lo : lo + 512]
+        at_once = max(1, min(512, SLICE_CELLS // (every.shape[1] * max(every.shape[1], base.shape[1]))))
+        for lo in range(0, int((~fits).sum()), at_once):
+            crowd, who = every[~fits][lo : lo + at_once], nodes[~fits][lo : lo + at_once]
             near = np.where(crowd < 0, -3.0, np.einsum("acd,ad->ac", base[crowd], base[who]))
             links[who] = select(base, crowd, near, 2 * DEGREE)
 
@@ -176,66 +197,111 @@ class Graph:
         return ids, sims
 
     def dump(self) -> bytes:
+        """The layers as bytes, of each the neighbour lists of its members only."""
         out = io.BytesIO()
-        np.savez(out, count=len(self.layers), **{f"m{i}": m for i, (m, _) in enumerate(self.layers)}, **{f"l{i}": x for i, (_, x) in enumerate(self.layers)})
+        np.savez(out, count=len(self.layers), **{f"m{i}": m for i, (m, _) in enumerate(self.layers)}, **{f"l{i}": x[m] for i, (m, x) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes, base: np.ndarray) -> Graph:
         got = np.load(io.BytesIO(raw))
-        return cls(base, [(got[f"m{i}"], got[f"l{i}"]) for i in range(int(got["count"]))])
+        layers = []
+        for i in range(int(got["count"])):
+            layers.append((got[f"m{i}"], Lists(got[f"m{i}"], got[f"l{i}"], len(base))))
+        return cls(base, layers)
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths in double precision, without a copy of all rows."""
+    size = max(1, SLICE_CELLS // max(1, rows.shape[1]))
+    parts = [np.linalg.norm(rows[lo : lo + size].astype(np.float64), axis=1) for lo in range(0, len(rows), size)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(rows.shape, dtype=np.float32)
+    size = max(1, SLICE_CELLS // max(1, rows.shape[1]))
+    for lo in range(0, len(rows), size):
+        part = rows[lo : lo + size].astype(np.float64)
+        out[lo : lo + size] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return out
+
+
+class Pairs:
+    """Takes links (query, node) in slices and keeps them all."""
+
+    def __init__(self):
+        self.q, self.v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def add(self, q: np.ndarray, v: np.ndarray) -> None:
+        self.q.append(q)
+        self.v.append(v)
 
 
 def audited_links(
     graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, target: float = TARGET_RECALL, beam: int = SEARCH_BEAM
 ) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Verified links (query, node) with cosine at least ``threshold``, true links of the last audit, and those found.
+    """Verified links (query, node) with cosine at least ``threshold``, true links of the last audit, and those found."""
+    got, true, have = audited_search(graph, vectors, queries, threshold, Pairs, target, beam)
+    return np.concatenate(got.q), np.concatenate(got.v), true, have
 
-    A query that equals a node is that node; the pair is returned but is no link to the audit.
+
+def audited_search(
+    graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, sink, target: float = TARGET_RECALL, beam: int = SEARCH_BEAM
+) -> tuple:
+    """What a ``sink()`` made of the verified links, handed to its ``add`` in slices; true links of the last audit, and those found.
+
+    A query that equals a node is that node; the pair is handed on but is no link to the audit.
     """
     slack = 1e-4  # float32 search, double verification
-    length = np.linalg.norm(vectors, axis=1)
-    own = np.linalg.norm(queries, axis=1)
-    small = unit(queries)
+    length, own, small = lengths(vectors), lengths(queries), unit(queries)
+    dim = max(1, vectors.shape[1])
     block = max(1, 8_000_000 // len(vectors))
+    some = max(1, SLICE_CELLS // 4 // dim)
 
-    def verified(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cosine = np.einsum("ed,ed->e", queries[q], vectors[v]) / (own[q] * length[v])
-        return q[cosine >= threshold], v[cosine >= threshold]
+    def verified(q: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(q), some):
+            a, b = q[lo : lo + some], v[lo : lo + some]
+            cosine = np.einsum("ed,ed->e", queries[a].astype(np.float64), vectors[b].astype(np.float64)) / (own[a] * length[b])
+            good = cosine >= threshold
+            yield a[good], b[good]
 
-    def compared(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.nonzero(small[part[lo : lo + block]] @ graph.base.T >= threshold - slack) for lo in range(0, len(part), block)]
-        empty = [np.zeros(0, dtype=int)]
-        return part[np.concatenate(empty + [r + i * block for i, (r, _) in enumerate(found)])], np.concatenate(empty + [c for _, c in found])
+    def compared(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size = max(1, block // 4)  # every pair may be a link, and takes more room than its similarity
+        for lo in range(0, len(part), size):
+            r, c = np.nonzero(small[part[lo : lo + size]] @ graph.base.T >= threshold - slack)
+            yield from verified(part[lo + r], c)
 
-    def others(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return (queries[q] != vectors[v]).any(axis=1)
+    def others(q: np.ndarray, v: np.ndarray) -> int:
+        return sum(int((queries[q[lo : lo + some]] != vectors[v[lo : lo + some]]).any(axis=1).sum()) for lo in range(0, len(q), some))
 
     drawn = np.random.default_rng(len(queries)).permutation(len(queries))
     audited, true = np.zeros(len(queries), dtype=bool), 0
     for lo in range(0, math.ceil(AUDIT_SHARE * len(queries)), block):
         part = drawn[lo : min(lo + block, max(1, math.ceil(AUDIT_SHARE * len(queries))))]
         audited[part] = True
-        true += int(others(*verified(*compared(part))).sum())
+        true += sum(others(*found) for found in compared(part))
         if true >= AUDIT_LINKS:
             break
     while True:
-        found_q, found_v = [], []
+        got, have = sink(), 0
         todo, width = np.arange(len(queries)), min(beam, len(vectors))
+
+        def take(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
+            seen = 0
+            for q, v in found:
+                got.add(q, v)
+                seen += others(q[audited[q]], v[audited[q]])
+            return seen
+
         # Beams as wide as the shard that still lose links leave only the comparison with the whole shard.
         whole = beam > max(WIDEST_BEAM, len(vectors)) or beam >= 2 * len(vectors)
         while len(todo):
             if whole or width > WIDEST_BEAM:
-                q, v = compared(todo)
-                found_q.append(q)
-                found_v.append(v)
+                have += take(compared(todo))
                 break
             again = []
-            size = max(1, min(512, 32_000_000 // (len(vectors) + 1)))
+            size = max(1, min(512, 32_000_000 // (len(vectors) + 1), SLICE_CELLS // (8 * DEGREE * dim)))
             for lo in range(0, len(todo), size):
                 part = todo[lo : lo + size]
                 ids, sims = graph.search(small[part], width)
@@ -243,14 +309,10 @@ def audited_links(
                 again.append(part[full])
                 near = (sims >= threshold - slack) & (ids >= 0) & ~full[:, None]
                 r, c = np.nonzero(near)
-                found_q.append(part[r])
-                found_v.append(ids[r, c])
+                have += take(verified(part[r], ids[r, c]))
             todo, width = np.concatenate(again), min(2 * width, len(vectors))
-        q, v = verified(np.concatenate(found_q), np.concatenate(found_v))
-        seen = audited[q]
-        have = int(others(q[seen], v[seen]).sum())
         if have >= target * true or whole:
-            return q, v, true, have
+            return got, true, have
         beam *= 2
 
 
@@ -260,23 +322,41 @@ def links_of(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold:
     return q, v, have / true if true else 1.0
 
 
-def forest(pairs: np.ndarray) -> np.ndarray:
-    """Spanning forest of the links of one task."""
-    parent: dict[int, int] = {}
+class Tally:
+    """Takes links (query, node) in slices; keeps the rows linked to every query and a spanning forest of the links."""
+
+    def __init__(self, own: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.own, self.ids, self.counts = own, ids, counts
+        self.total = np.zeros(len(own), dtype=np.int64)
+        self.parent: dict[int, int] = {}
+        self.kept: list[tuple[int, int]] = []
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    kept = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            parent[x] = y
-            kept.append((a, b))
-    return np.array(kept, dtype=np.int64).reshape(-1, 2)
+    def add(self, q: np.ndarray, v: np.ndarray) -> None:
+        other = self.own[q] != self.ids[v]
+        q, v = q[other], v[other]
+        np.add.at(self.total, q, self.counts[v])
+        for a, b in zip(self.own[q].tolist(), self.ids[v].tolist()):
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.parent[x] = y
+                self.kept.append((a, b))
+
+
+def as_matrix(cells: pd.Series) -> np.ndarray:
+    """The vectors of a column, in single precision where they have no other digits."""
+    return np.array(cells.tolist(), dtype=getattr(cells.iloc[0], "dtype", np.float64))
+
+
+def block_count(n: int, shards: int, most: int) -> int:
+    """Blocks of queries: no larger than a shard, no smaller than QUERY_BLOCK once there are SEARCH_TASKS pairs with shards."""
+    return max(1, math.ceil(n / most), min(math.ceil(n / min(most, QUERY_BLOCK)), math.ceil(SEARCH_TASKS / shards)))
 
 
 def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> tuple[DataFrame, float | None]:
@@ -287,15 +367,19 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> t
     size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
     n, most = size["n"], max(1, min(SHARD_NODES, SHARD_BYTES // (8 * (size["dim"] or 1))))
     shards = max(LEAST_SHARDS, math.ceil(n / most))
-    blocks = max(1, math.ceil(n / min(most, max(QUERY_BLOCK, n // 64))))
+    blocks = block_count(n, shards, most)
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(pdf["vector"].tolist(), dtype=np.float64)
-        raw = Graph.build(unit(vectors), degree_seed).dump()
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [raw], "vectors": [vectors.tobytes()], "ids": [pdf["node"].to_numpy(np.int64).tobytes()], "counts": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+        vectors = as_matrix(pdf["vector"])
+        out = io.BytesIO()
+        graph = np.frombuffer(Graph.build(unit(vectors), degree_seed).dump(), dtype=np.uint8)
+        np.savez(out, graph=graph, vectors=vectors, ids=pdf["node"].to_numpy(np.int64), counts=pdf["copies"].to_numpy(np.int64))
+        raw = out.getvalue()
+        pieces = [raw[lo : lo + PIECE_BYTES] for lo in range(0, len(raw), PIECE_BYTES)]
+        return pd.DataFrame({"dim": key[0], "shard": key[1], "part": range(len(pieces)), "piece": pieces})
 
-    index = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary, vectors binary, ids binary, counts binary")
+    index = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, part int, piece binary")
     index = materialise(index)
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
@@ -308,18 +392,13 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> t
         def run(index_rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             if not len(index_rows) or not len(queries):
                 return pd.DataFrame({"a": [], "b": [], "n": [], "hits": []})
-            row = index_rows.iloc[0]
-            dim = int(row["dim"])
-            vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
-            ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.int64)
-            own = queries["node"].to_numpy(np.int64)
-            asked = np.array(queries["vector"].tolist(), dtype=np.float64)
-            q, v, true, have = audited_links(Graph.load(row["graph"], unit(vectors)), vectors, asked, threshold, beam=beam)
-            other = own[q] != ids[v]
-            q, v = q[other], v[other]
-            total = np.bincount(q, weights=counts[v], minlength=len(own)).astype(np.int64)
+            shard = np.load(io.BytesIO(b"".join(index_rows.sort_values("part")["piece"])))
+            vectors, own = shard["vectors"], queries["node"].to_numpy(np.int64)
+            graph = Graph.load(shard["graph"].tobytes(), unit(vectors))
+            asked, ids, counts = as_matrix(queries["vector"]), shard["ids"], shard["counts"]
+            got, true, have = audited_search(graph, vectors, asked, threshold, lambda: Tally(own, ids, counts), beam=beam)
+            total, links = got.total, np.array(got.kept, dtype=np.int64).reshape(-1, 2)
             some = np.flatnonzero(total)
-            links = forest(np.stack([own[q], ids[v]], axis=1))
             parts = [
                 pd.DataFrame({"a": own[some], "n": total[some]}),
                 pd.DataFrame({"a": links[:, 0], "b": links[:, 1]}),
@@ -342,9 +421,11 @@ def search_shards(nodes: DataFrame, threshold: float, degree_seed: int = 5) -> t
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, and the recall audited over the whole search."""
-    rows = vectors.select(ref(id_col).alias("vec_id"), ref(vector_col).cast("array<double>").alias("vector"))
+    # Vectors of single precision stay as they are: they take half the room, and every sum over them is in double precision.
+    single = isinstance(getattr(vectors.select(ref(vector_col)).schema[0].dataType, "elementType", None), T.FloatType)
+    rows = vectors.select(ref(id_col).alias("vec_id"), ref(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     good = F.coalesce(finite & (length > 0), F.lit(False))
     equal = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     # The numbers of the nodes are fixed by the checkpoint.

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -362,6 +363,38 @@ def test_small_shards_that_lose_links_are_compared_whole():
     assert recall == 1.0 and (q != v).sum() >= 80
 
 
+def test_dense_links_are_verified_in_slices():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 64)) * 0.02 + 1.0  # every vector links with every other
+    graph = hnsw.Graph.build(hnsw.unit(x))
+    assert len(graph.dump()) < 1.5 * len(x) * (8 * hnsw.DEGREE + 8)  # lists of members only
+    tracemalloc.start()
+    got, true, have = hnsw.audited_search(hnsw.Graph.load(graph.dump(), graph.base), x, x, 0.9, lambda: hnsw.Tally(np.arange(1200), np.arange(1200), np.full(1200, 2)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000  # all links at once would take 1.4 GB in double precision
+    assert have == true > 0 and (got.total == 2 * 1199).all() and len(got.kept) == 1199
+
+
+def test_shards_travel_in_pieces_and_single_precision_counts_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[150:] = x[:150] + rng.normal(size=(150, 8)).astype(np.float32) * 0.2
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)]
+    got = {}
+    for kind, size in (("double", 4_000_000), ("float", 4_000_000), ("float", 1000)):
+        monkeypatch.setattr(hnsw, "PIECE_BYTES", size)
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got[kind, size] = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(table).collect())
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.9).sum(1) - 1
+    assert len(set(map(tuple, got.values()))) == 1 and [n for _, n, _ in got["float", 1000]] == want.tolist()
+
+
+def test_blocks_of_queries_follow_shards():
+    assert [hnsw.block_count(n, max(4, -(-n // 100_000)), 100_000) for n in (0, 10_256, 51_282, 615_000, 6_150_000)] == [1, 1, 4, 7, 62]
+
+
 def test_hnsw_repeated_rows_null_ids_and_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], "a", 1), (1, [1.0, 0.0], "b", 2), (2, [1.0, 0.001], None, 3), (None, [1.0, 0.0], "c", 4), (5, [0.0, 1.0], "d", 5), (None, None, "e", 6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, component long")
