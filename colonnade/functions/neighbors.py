@@ -44,6 +44,9 @@ class Cut:
             return
         dim = int(np.argmax(rows.max(0) - rows.min(0))) if len(rows) else 0
         value = float(np.median(rows[:, dim])) if len(rows) else 0.0
+        below = rows[rows[:, dim] < value, dim] if len(rows) else rows
+        if len(below) and value == rows[:, dim].max():
+            value = float(below.max())  # a value that half the rows share and none exceeds would part nothing
         self.dim[node], self.value[node] = dim, value
         left = rows[:, dim] <= value
         top, bottom = high.copy(), low.copy()

@@ -1,15 +1,20 @@
 """Steps that must not grow faster than their rows: size estimates in loops, rows per task, rows moved."""
 
+import os
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from colonnade.catalog.learning import prepared
+from colonnade.functions import cells
 from colonnade.functions.cells import near_cells
+from colonnade.functions.neighbors import Cut
 from colonnade.llm import mixing
 from colonnade.operators import impute, learning
-from colonnade.session import spread
+from colonnade.session import shared_folder, spread
 
 
 def test_components_keep_a_finite_size_estimate(spark):
@@ -22,6 +27,45 @@ def test_components_keep_a_finite_size_estimate(spark):
     assert labels.select("label").distinct().count() == 1 and labels.count() == n
 
 
+def written(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_dbscan_writes_no_pairs(spark, monkeypatch):
+    """Points of ten columns nearly all of which are near each other: a million pairs of cells."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.06, (700, 10)), rng.normal(2, 0.06, (500, 10)), rng.uniform(-9, 9, (40, 10)), np.full((2, 10), np.inf)])
+    names = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(len(x))))
+    folder = shared_folder(spark)
+    before = written(folder)
+    got = learning.dbscan(df, "id", names, 0.6, 5)
+    assert written(folder) - before < 20_000_000
+    got = got.toPandas().sort_values("id")
+    with np.errstate(invalid="ignore"):
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.6
+    core = near.sum(1) >= 5
+    assert (got["core"].to_numpy() == core).all()
+    assert (got["cluster"].to_numpy() >= 0).tolist() == (near & core[None]).any(1).tolist()
+    inside = got["cluster"].to_numpy()
+    assert len(set(inside[:700][core[:700]])) == len(set(inside[700:1200][core[700:1200]])) == 1 and inside[:700].max() != inside[700:1200].max()
+
+
+def test_close_pairs_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for d, spread_, reach in ((2, 20.0, 0.3), (7, 1.0, 0.9), (1, 0.0, 0.0)):
+        p, q = rng.normal(1e3, spread_, (1500, d)), rng.normal(1e3, spread_, (700, d))
+        got = [(int(a), int(b)) for i, j in cells.within(p, q, reach) for a, b in zip(i, j)]
+        want = np.argwhere(np.sqrt(((p[:, None] - q[None]) ** 2).sum(2)) <= reach)
+        assert sorted(got) == [tuple(w) for w in want.tolist()] and len(got) == len(set(got)) > 0
+
+
+def test_cut_parts_rows_that_share_the_largest_value():
+    rows = np.minimum(np.arange(1000.0), 300.0)[:, None]
+    assert np.bincount(Cut(rows, 2).leaf(rows)).max() <= 701 and len(set(Cut(rows, 2).leaf(rows).tolist())) > 1
+
+
 def test_silhouette_sends_rows_to_a_settled_number_of_blocks():
     assert [learning.silhouette_blocks(n) for n in (0, 1, 800, 801)] == [1, 1, 1, 2]
     assert learning.silhouette_blocks(10_256) == learning.silhouette_blocks(102_564) == learning.silhouette_blocks(384_000) == 12
