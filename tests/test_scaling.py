@@ -202,3 +202,22 @@ def test_near_cells_pair_points_not_their_cells(spark):
     want = {(names[i], names[j]) for i in range(30) for j in range(30) if i != j and far[i, j] <= 1.5}
     assert len(set(names)) == 30 and got == want and 0 < len(want) < 30 * 29 / 2
     assert near_cells(df.select("cell"), 10, 10.0).count() == 30 * 29
+
+
+def test_elbow_moves_all_starts_in_one_pass(spark):
+    rng = np.random.default_rng(21)
+    rows = spark.createDataFrame([(r.tolist(),) for r in rng.uniform(0, 1, (400, 3))], "v array<double>").select(array_to_vector("v").alias("features")).persist()
+    rows.count()
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    ks, at = (2, 4, 6), jobs()
+    want = []
+    for k in ks:
+        model, cost = learning.kmeans(rows, k, 4)
+        want.append((k, cost, learning.silhouette_squared(model.transform(rows), "prediction").first()["silhouette"]))
+    one_by_one, at = jobs() - at, jobs()
+    got = learning.elbow(rows, ks, 4).collect()
+    assert jobs() - at < 0.8 * one_by_one
+    for r, (k, cost, score) in zip(sorted(got, key=lambda r: r["k"]), want, strict=True):
+        assert r["k"] == k and np.isclose(r["inertia"], cost, rtol=1e-9) and np.isclose(r["silhouette"], score, rtol=1e-9), (r, k, cost, score)
+    exact = learning.elbow(rows, (4,), 2, exact=True).first()["silhouette"]
+    assert -1 < exact < 1
